@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.llm import packing, perplexity, quality, urlrules, warc
+from speechloom.llm import decontaminate, editcount, packing, perplexity, personal, quality, urlrules, warc
 from speechloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048, end_id=1)
 
 
+def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.perplexity_rules(table(spark, sf_dir, "documents"))
 
@@ -35,11 +39,28 @@ def op7_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits in every document: words put in at a quarter, a joined suffix at half, a cut at three quarters."""
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = editcount.build_state(table(spark, sf_dir, "documents"), ranks, pattern)
+    n = F.length("text")
+    edits = [(n / 4, 7, " newly revised "), (n / 2, 0, "n't"), (n * 3 / 4, 12, "")]
+    one = [F.struct(F.floor(at).cast("long").alias("pos"), F.lit(cut).cast("long").alias("deleted"), F.lit(put).alias("inserted")) for at, cut, put in edits]
+    done = editcount.apply_edits(state.withColumn("edits", F.array(*one)), ranks, pattern)
+    return done.select(F.col("id").alias("doc_id"), "tokens_before", F.col("n_tokens").alias("tokens_after"), "n_edits", "encoded_pieces", F.md5("text").alias("text_md5"))
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op4_perplexity_bands, op6_url_rules, op7_subword_classifier, op10_seekable_warc)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op3_contextual_pii, op4_perplexity_bands, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc)}
 ORACLES = {"op6_url_rules": urlrules.ORACLE, "op10_seekable_warc": warc.ORACLE}
 
 #: Stages of corpus_pipeline.py: (name, function).
