@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import queries
+from speechloom.llm import stages
 from speechloom.llm.common import staged, table
 
-STAGES = queries.STAGES
+STAGES = stages.STAGES
 
 #: Training and tokenizing are not expressible in SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None

@@ -125,10 +125,12 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[
     keep = keep or ["doc_id"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
+    text_at = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = model.value
         for batch in batches:
-            values = texts(batch.column(len(keep)))
+            values = texts(batch.column(text_at))
             sums, counts = np.zeros(len(values)), np.zeros(len(values))
             for _, parts in blocks(values):
                 data = np.frombuffer(b"".join(b" " + p + b" " for _, p in parts), dtype=np.uint8)
@@ -142,4 +144,4 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[
             score = 1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + base, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, score double")
+    return docs.select(*keep, *[] if "text" in keep else ["text"]).mapInArrow(run, f"{fields}, score double")

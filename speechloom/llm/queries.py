@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, editcount, packing, perplexity, personal, quality, urlrules, warc
+from speechloom.llm import decontaminate, editcount, neardup, packing, perplexity, personal, quality, urlrules, warc
 from speechloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.perplexity_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(table(spark, sf_dir, "pages"), urlrules.HOST_PATH_RULES, urlrules.PATTERN_RULES)
 
@@ -60,8 +64,5 @@ def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op3_contextual_pii, op4_perplexity_bands, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op3_contextual_pii, op4_perplexity_bands, op5_minmax_neardup, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc)}
 ORACLES = {"op6_url_rules": urlrules.ORACLE, "op10_seekable_warc": warc.ORACLE}
-
-#: Stages of corpus_pipeline.py: (name, function).
-STAGES = []
