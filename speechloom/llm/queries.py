@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, editcount, neardup, packing, perplexity, personal, quality, urlrules, warc
+from speechloom.llm import decontaminate, editcount, neardup, packing, perplexity, personal, quality, roles, urlrules, warc
 from speechloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048, end_id=1)
 
 
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.repair_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op3_contextual_pii, op4_perplexity_bands, op5_minmax_neardup, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_role_repair, op3_contextual_pii, op4_perplexity_bands, op5_minmax_neardup, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc)}
 ORACLES = {"op6_url_rules": urlrules.ORACLE, "op10_seekable_warc": warc.ORACLE}
