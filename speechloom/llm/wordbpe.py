@@ -12,11 +12,23 @@ import os
 import re
 import unicodedata
 
-#: Words and pre-tokens kept by a worker; a few hundred bytes each.
-MEMORY_WORDS = 300_000
+#: Words and pre-tokens kept by a worker, at about 200 bytes each.
+MEMORY_WORDS = 1_200_000
+#: Words of one text that are looked up together.
+WORDS_AT_ONCE = 100_000
 #: As the vocabulary file states its pre-tokens (a fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+
+
+def byte_signs() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_SIGNS = byte_signs()
 _workers: dict[str, WordEncoder] = {}
 
 
@@ -31,6 +43,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PRE_TOKEN).findall
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)").search
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -39,12 +53,17 @@ class WordEncoder:
             self.words.clear()
         if len(self.pieces) > MEMORY_WORDS:
             self.pieces.clear()
-        cut = {w: self.split(unicodedata.normalize("NFC", w.decode("utf-8", "replace")).replace("Σ", "σ").lower()) for w in words}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for w, pieces in cut.items():
-            self.words[w] = b"".join([self.pieces[p] for p in pieces])
+        pieces, ids, tokenize = self.pieces, self.ids, self.tokenize
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            out = b""
+            for piece in (text,) if text.isalpha() else self.split(text):
+                if (known := pieces.get(piece)) is None:
+                    known = b"".join([ids[t.id] for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))])
+                    pieces[piece] = known
+                out += known
+            self.words[word] = out
 
     def encode(self, text: bytes) -> bytes:
         if self.special(text):  # special tokens are cut out of the text before anything else
@@ -52,8 +71,8 @@ class WordEncoder:
             return b"".join(i.to_bytes(4, "little") for i in ids)
         out = []
         words = text.split()
-        for at in range(0, len(words), MEMORY_WORDS // 4):
-            part = words[at : at + MEMORY_WORDS // 4]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
             if new := set(part).difference(self.words):
                 self._learn(new)
                 if not self.words.keys() >= (missing := set(part)):  # the memory was emptied meanwhile
