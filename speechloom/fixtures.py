@@ -79,7 +79,7 @@ class Views:
     def reg(self) -> DataFrame:
         """Regions: rec, start, end, event_id."""
         start = F.unix_millis(F.col("ts").cast("timestamp"))
-        return self.table("events").select(F.col("user_id").alias("rec"), start.alias("start"), (start + F.round(F.col("value") * 60000).cast("long")).alias("end"), "event_id")
+        return self.table("events").select(F.col("user_id").alias("rec"), start.alias("start"), (start + F.floor(F.col("value") * 60000 + 0.5).cast("long")).alias("end"), "event_id")
 
     @cached_property
     def smp(self) -> DataFrame:
@@ -183,7 +183,7 @@ SQL = {
     "segtext": "SELECT rec, seg, string_agg(word, ' ' ORDER BY utt, pos) AS transcript, string_agg(langid, ' ' ORDER BY utt, pos) AS langs, count(*) AS n_words FROM segtok GROUP BY ALL",
     "seg": "SELECT u.rec, u.seg, 'segments/' || u.rec || '_' || printf('%04d', u.seg) || '.wav' AS audio_path, min(u.start_ms) AS start_ms, arg_max(u.end_ms, u.utt) AS end_ms, coalesce(any_value(t.transcript), '') AS transcript, coalesce(any_value(t.langs), '') AS langs, coalesce(any_value(t.n_words), 0) AS n_words, string_agg(u.utt::VARCHAR, ',' ORDER BY u.utt) AS utts, any_value(p.speakers) AS speakers FROM useg u LEFT JOIN segtext t ON t.rec = u.rec AND t.seg = u.seg JOIN segspk p ON p.rec = u.rec AND p.seg = u.seg GROUP BY u.rec, u.seg",
     "vad": "SELECT *, CASE WHEN seg % 7 = 0 THEN 'True' WHEN seg % 7 = 1 THEN 'FALSE' WHEN seg % 7 = 2 THEN NULL ELSE 'False' END AS filtered_out FROM seg",
-    "reg": "SELECT user_id AS rec, epoch_ms(ts) AS start, epoch_ms(ts) + round(value * 60000)::BIGINT AS \"end\", event_id FROM events",
+    "reg": "SELECT user_id AS rec, epoch_us(ts) // 1000 AS start, epoch_us(ts) // 1000 + floor(value * 60000 + 0.5)::BIGINT AS \"end\", event_id FROM events",
     "smp": "SELECT vec_id AS clip, list_transform(embedding, lambda x: x::DOUBLE) AS samples FROM embeddings",
     "smx": "SELECT clip, unnest(range(0, len(samples))) AS idx, unnest(samples) AS value FROM smp",
     "pair0": r"SELECT conv_id || '_' || turn AS clip, turn, list_filter(regexp_split_to_array(regexp_replace(replace(lower(replace(text, ' ', ' ')), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda w: w <> '')[1:40] AS ref FROM conversations",

@@ -20,7 +20,8 @@ def safe_ratio(num: Column, den: Column, empty: str = "null") -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """Text with this many decimals; a value whose digits end halfway goes to the even one."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
 
 
 def percent(value: Column) -> Column:

@@ -22,7 +22,7 @@ def align_ops(v):
     return align.alignment_rows(v.aligned)
 
 
-@query("align_counts", "SELECT clip, length(replace(ops, 'C', '')) - length(replace(replace(ops, 'C', ''), 'S', '')) AS substitutions, length(ops) - length(replace(ops, 'D', '')) AS deletions, length(ops) - length(replace(ops, 'I', '')) AS insertions, length(ops) - length(replace(ops, 'I', '')) - length(ops) + len(ref) + length(replace(ops, 'I', '')) - length(replace(ops, 'I', '')) + length(ops) - length(replace(ops, 'I', '')) - length(ops) + length(replace(ops, 'I', '')) AS words FROM (SELECT o.clip, coalesce(nullif(ops, ''), '') AS ops, ref FROM ops o JOIN pair p ON p.clip = o.clip)")
+@query("align_counts", "SELECT o.clip, length(ops) - length(replace(ops, 'S', '')) AS substitutions, length(ops) - length(replace(ops, 'D', '')) AS deletions, length(ops) - length(replace(ops, 'I', '')) AS insertions, len(ref)::BIGINT AS words FROM ops o JOIN pair p ON p.clip = o.clip")
 def align_counts(v):
     n = align.operation_counts(F.col("ops"))
     return v.aligned.select("clip", n["substitutions"].alias("substitutions"), n["deletions"].alias("deletions"), n["insertions"].alias("insertions"), F.size("ref").cast("long").alias("words"))

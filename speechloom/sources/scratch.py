@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="speechloom-")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="speechloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
