@@ -112,6 +112,8 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], type=pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
     row = sample.select("doc_id", "text", "label").coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    if row is None:  # no labelled row, no task
+        return train([], np.zeros(0, dtype=np.int64))
     return np.frombuffer(row["weights"], dtype=np.float32), row["bias"]
 
 
