@@ -83,8 +83,13 @@ def _little_endian(content: Column, at: int, size: int) -> Column:
 
 
 def wav_durations(spark: SparkSession, folder: str) -> DataFrame:
-    """(rec, seconds, error) from canonical 44-byte WAV headers; files that cannot be read have an error."""
-    raw = _files(spark, folder, "*.wav").select(stem(F.col("path")).alias("rec"), "length", F.substring("content", 1, 44).alias("h"))
+    """(rec, seconds, error) of the WAV files of a folder; files that cannot be read have an error."""
+    return wav_fields(_files(spark, folder, "*.wav").select(stem(F.col("path")).alias("rec"), "length", "content"))
+
+
+def wav_fields(raw: DataFrame) -> DataFrame:
+    """(rec, seconds, error) from canonical 44-byte WAV headers; raw: rec, length of the file, content."""
+    raw = raw.select("rec", "length", F.substring("content", 1, 44).alias("h"))
     long_enough = F.length("h") == 44
     magic = F.hex(F.substring("h", 1, 4)) == F.hex(F.lit("RIFF").cast("binary"))
     rate, align, size = (F.when(long_enough, _little_endian(F.col("h"), at, n)) for at, n in ((25, 4), (33, 2), (41, 4)))
