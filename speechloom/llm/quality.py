@@ -21,6 +21,8 @@ from speechloom.llm.common import IS_SPACE, LOWER, blocks, mix, texts, word_hash
 BUCKETS = 1 << 18
 DIM = 12
 NGRAMS = (3, 4)
+#: Bucket of the word pairs that are one word twice.
+AGAIN = 1
 #: Labelled documents that training may use; their whole texts count.
 MAX_TRAIN = 6000
 EPOCHS = 4
@@ -30,14 +32,16 @@ RATE = 0.4
 def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and buckets of the words and character n-grams of bytes that begin and end with a space.
 
-    n-grams lie inside a word or include the space at one or both of its ends.
+    n-grams lie inside a word or include the space at one or both of its ends. A word that repeats the one
+    before it has the bucket AGAIN besides, whichever word it is.
     """
     data = LOWER[data]
     space = IS_SPACE[data]
     at, out = [], []
     words, starts, _ = word_hashes(data)
-    at.append(starts)
-    out.append(words & np.uint64(BUCKETS - 1))
+    again = 1 + np.flatnonzero(words[1:] == words[:-1])
+    at += [starts, starts[again]]
+    out += [words & np.uint64(BUCKETS - 1), np.full(len(again), AGAIN, dtype=np.uint64)]
     wide = data.astype(np.uint64)
     for n in NGRAMS:
         m = len(data) - n + 1
