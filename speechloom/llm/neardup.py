@@ -4,12 +4,14 @@ Each document is the set of its word shingles. A permutation gives two signature
 its maximum, so half the hash evaluations serve as many bands. Equal sets are one class first, by a 128-bit
 digest. Classes that share a band are candidates, handled so that large groups stay cheap and no link is lost:
 
-1. star rounds: within a band's bucket every class is compared with one pivot only, and components are formed;
-2. what is left: in buckets that still hold several components, the pairs across components are compared, in
-   tiles of bounded size, with all signature values as a filter.
-
-Each compared pair is confirmed on the full shingle sets. Everything is keyed by class representatives; sets,
-links and components stay in Spark tables.
+1. ties: within a band's bucket each class is compared with one pivot by all signature values; classes that agree
+   in enough of them are tied. Classes that are not tied to their bucket's pivot are compared with the bucket's
+   other classes. Ties make clusters; every link lies within a cluster.
+2. links: within a cluster each class is compared with a few pivots on the full shingle sets; classes that are not
+   linked with the first pivot's component are compared with all others, again on the full sets.
+
+Comparing the rest with all goes by tiles of bounded size, which give ties or links but never their pairs.
+Everything is keyed by class representatives; sets, links and components stay in Spark tables.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechloom.llm.common import LOWER, blocks, mix, staged, texts, word_hashes
@@ -29,9 +31,12 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Pairs of which fewer of the signature values agree are not compared: at a similarity of 0.8 that is over
 #: five standard deviations below the mean.
 LEAST_AGREEMENT = 0.62
-#: Members of one tile of a bucket.
+#: Members of one side of a tile.
 TILE = 1024
-STAR_ROUNDS = 2
+#: Edges that one task joins; more are contracted in rounds first.
+SMALL_EDGES = 200_000
+#: Pivots of a cluster.
+PIVOTS = 8
 
 _draw = np.random.default_rng(20240301)
 _MULTIPLIERS = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,26 +127,6 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; sets: (node, hashes binary)."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
-            chosen = pa.array(keep, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, hashes) of the documents named in nodes(node); of rows that repeat an id, the largest text counts."""
 
@@ -150,26 +135,63 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             sets = shingle_hashes(texts(batch.column(1)), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "hashes"])
 
-    return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, hashes binary")
+    found = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, hashes binary")
+    return found.groupBy("node").agg(F.max("hashes").alias("hashes"))
+
+
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, component) with the components that were found; other nodes are their own."""
+    return labels.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 
-    Labels take the smallest label of their neighbours and then jump to their label's label, until nothing
-    changes; each round is written to shared storage.
+    Up to SMALL_EDGES edges are joined in one task. Of more, each node points to its smallest neighbour or
+    itself, pointers are followed to their ends, and the edges between different ends are the next round's.
     """
-    links = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-links")
-    labels = staged(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), f"{label}-labels")
-    while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        following = staged(lower.join(roots, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")), f"{label}-round")
-        changed = following.where("component <> old").limit(1).count()
-        labels = following.select("node", "component")
-        if not changed:
-            return labels
+    found = None
+    edges = staged(edges.select("a", "b").where("a <> b").distinct(), f"{label}-edges")
+    while (n := edges.count()) > SMALL_EDGES:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"))
+        while True:
+            ends = staged(ends, f"{label}-ends")
+            following = ends.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            if ends.join(following, "component").where("next <> component").isEmpty():
+                break
+            ends = ends.join(following, "component").select("node", F.col("next").alias("component"))
+        left = edges.join(ends.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+        moved = left.join(ends.select(F.col("node").alias("b"), F.col("component").alias("y")), "b").where("x <> y")
+        edges = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-edges")
+        found = ends if found is None else staged(relinked(found, ends), f"{label}-found")
+    if found is not None and not n:
+        return found
+    last = staged(edges.coalesce(1).mapInArrow(union_find, "node long, component long"), f"{label}-last")
+    return last if found is None else staged(relinked(found, last), f"{label}-found")
+
+
+def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a bounded number of edges."""
+    parent: dict[int, int] = {}
+
+    def end(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = end(a), end(b)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array([end(x) for x in nodes], type=pa.int64())], names=["node", "component"])
+
+
+def relinked(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, component) of found, with components replaced by where they end."""
+    later = ends.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    return found.join(later, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,27 +216,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = staged(buckets.join(shared, "band"), "neardup-buckets")
     agree = nodes.select("node", "agree")
     labels = buckets.select("node").distinct().select("node", F.col("node").alias("component"))
-    links = None
-    for k in range(STAR_ROUNDS + 1):
-        placed = buckets.join(labels, "node")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-        open_ = placed.join(mixed, "band")
-        pairs = star_pairs(open_, k, percent) if k < STAR_ROUNDS else tiled_pairs(open_, agree, percent)
-        if k < STAR_ROUNDS:
-            pairs = agreeing(pairs, agree)
-        pairs = staged(pairs, f"neardup-pairs-{k}")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = staged(full_sets(rows, wanted, width).groupBy("node").agg(F.max("hashes").alias("hashes")), f"neardup-sets-{k}")
-        new = staged(confirm(pairs, sets, percent), f"neardup-links-{k}")
-        links = new if links is None else links.unionByName(new)
-        found = components(links, f"neardup-components-{k}")
-        labels = staged(labels.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"neardup-labels-{k}")
+    ties = staged(pivot_ties(buckets, agree, percent), "neardup-ties")
+    labels = staged(relabelled(labels, components(ties, "neardup-tied")), "neardup-labels")
+    placed = with_rest(buckets.join(labels, "node"), "band")
+    others = tiles(placed.where("rest_size > 0").join(agree, "node"), "band").groupBy("key", "i", "j").applyInArrow(tie_tile(percent), "a long, b long")
+    # edges between the components so far, which hold the nodes
+    whole = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(staged(others.distinct(), "neardup-others")), "neardup-clusters")
+    clusters = whole.select("node", F.col("component").alias("cluster"))
+    sets = full_sets(rows, clusters.select("node"), width)
+    held = staged(clusters.join(nodes.select("node", F.col("n_shingles").alias("n"), "agree"), "node").join(sets, "node"), "neardup-held")
+    links = staged(pivot_links(held, percent), "neardup-links")
+    labels = relabelled(held.select("node"), components(links, "neardup-linked"))
+    slim = held.select("cluster", "node", "n").join(labels, "node")
+    sized = slim.join(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    placed = with_rest(sized, "cluster").where("rest_size > 0").join(held.select("node", "agree", "hashes"), "node")
+    more = tiles(staged(placed, "neardup-placed"), "cluster").groupBy("key", "i", "j").applyInArrow(link_tile(percent), "a long, b long")
+    links = links.unionByName(staged(more.distinct(), "neardup-more"))
+    labels = components(links, "neardup-all")
     # a document of several rows with different texts ties their classes together
     split = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     tied = split.select(F.col("x").alias("a"), F.col("y").alias("b")) if split.limit(1).count() else None
     if tied is not None:
         full = member.join(split.select("doc_id"), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).unionByName(tied)
-        labels = components(links.unionByName(full.where("a <> b").distinct()), "neardup-tied")
+        labels = components(links.unionByName(full.where("a <> b").distinct()), "neardup-split")
     final = member.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     by_id = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
@@ -222,19 +246,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def star_pairs(open_: DataFrame, seed: int, percent: int) -> DataFrame:
-    """(a, b): each class of a bucket beside the bucket's pivot, where they are in different components.
+def rank() -> Column:
+    """The order in which classes are chosen as pivots."""
+    return F.struct(F.xxhash64("node").alias("rank"), "node")
 
-    The pivot is the class with the smallest hash, so buckets of one family tend to share it.
-    """
-    rank = F.xxhash64("node", F.lit(seed))
-    pivot = open_.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("p"))
-    beside = open_.join(pivot, "band").where((F.col("p.component") != F.col("component")) & sizes_allow(F.col("n"), F.col("p.n"), percent))
-    return beside.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
+def pivot_ties(buckets: DataFrame, agree: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class that agrees with its bucket's pivot in enough signature values, and that pivot.
 
-def agreeing(pairs: DataFrame, agree: DataFrame) -> DataFrame:
-    """Pairs of which enough signature values agree."""
+    The pivot is the class with the smallest hash, so the buckets of one family tend to share it.
+    """
+    pivots = buckets.groupBy("band").agg(F.min_by(F.struct("node", "n"), rank()).alias("p"))
+    beside = buckets.join(pivots, "band").where((F.col("p.node") != F.col("node")) & sizes_allow(F.col("n"), F.col("p.n"), percent))
+    pairs = beside.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
     left = pairs.join(agree.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a")
     both = left.join(agree.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -247,31 +271,97 @@ def agreeing(pairs: DataFrame, agree: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def tiled_pairs(open_: DataFrame, agree: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs across components in each bucket of which enough signature values agree.
+def pivot_links(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets."""
+    w = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
+    chosen = held.select("cluster", F.col("node").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"), F.row_number().over(w).alias("k")).where(F.col("k") <= PIVOTS).drop("k")
+    both = held.join(chosen, "cluster").where((F.col("node") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"), percent)).select("node", "b", "hashes", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    keep.append(k)
+            rows = pa.array(keep, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def with_rest(members: DataFrame, key: str) -> DataFrame:
+    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group."""
+    main = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"))
+    marked = members.join(main, key).withColumn("rest", F.col("component") != F.col("main")).drop("main")
+    return marked.join(marked.groupBy(key).agg(F.count_if("rest").alias("rest_size")), key)
+
+
+def tiles(placed: DataFrame, key: str) -> DataFrame:
+    """placed with key, i, j and left: members dealt so that each of the rest meets each member of its group in a tile.
 
-    A bucket above TILE members is dealt into groups by a hash, and each pair of groups is a tile of its own,
-    so every pair of the bucket meets in exactly one tile and no task holds more than a tile.
+    A group has size / TILE parts of all members and rest_size / TILE parts of the rest, by a hash; a tile holds
+    one part of either kind. The work grows with the rest of a group times the group, not with its square.
     """
-    sized = open_.withColumn("groups", F.ceil(F.col("size") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-    tiles = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    tiles = tiles.join(agree, "node").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component", "agree")
-
-    def compare(keys: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(sizes := group.column("n").to_numpy(), kind="stable")
-        sizes, node, component, own_ = sizes[order], group.column("node").to_numpy()[order], group.column("component").to_numpy()[order], group.column("own").to_numpy()[order]
-        values = np.frombuffer(b"".join(group.column("agree").to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)[order]
-        within = keys[1].as_py() == keys[2].as_py()
-        found_a, found_b = [], []
-        for k in range(len(node) - 1):
-            end = np.searchsorted(sizes, sizes[k] * 100 / percent, side="right")
-            near = np.arange(k + 1, end)
-            near = near[(component[near] != component[k]) & (within | (own_[near] != own_[k]))]
-            near = near[(values[near] == values[k]).mean(axis=1) >= LEAST_AGREEMENT] if len(near) else near
-            found_a += [node[k]] * len(near)
-            found_b += node[near].tolist()
-        a, b = np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return tiles.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    parts = {c: F.ceil(F.col(c) / TILE).cast("int") for c in ("size", "rest_size")}
+    own = {c: F.pmod(F.xxhash64("node"), n).cast("int") for c, n in parts.items()}
+    every = F.sequence(F.lit(0), parts["rest_size"] - 1)
+    right = placed.withColumn("j", own["size"]).withColumn("i", F.explode(every)).withColumn("left", F.lit(False))
+    left = placed.where("rest").withColumn("i", own["rest_size"]).withColumn("j", F.explode(F.sequence(F.lit(0), parts["size"] - 1))).withColumn("left", F.lit(True))
+    return right.unionByName(left).withColumnRenamed(key, "key").drop("rest", "rest_size", "size")
+
+
+def tile_candidates(group: pa.Table, percent: int, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(left member, right members that may be similar enough) of a tile, across components as they are by then."""
+    n = group.column("n").to_numpy()
+    values = np.frombuffer(b"".join(group.column("agree").to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)
+    side = group.column("left").to_numpy(zero_copy_only=False)
+    right = np.flatnonzero(~side)
+    for k in np.flatnonzero(side):
+        near = right[(component[right] != component[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
+        if len(near):
+            near = near[(values[near] == values[k]).mean(axis=1) >= LEAST_AGREEMENT]
+        if len(near):
+            yield k, near
+
+
+def joined(component: np.ndarray, members: np.ndarray) -> list[int]:
+    """Join the components of the members, in place; one member for each component that was joined to the first's."""
+    names, at = np.unique(component[members], return_index=True)
+    component[np.isin(component, names)] = component[members[0]]
+    return members[at].tolist()
+
+
+def tie_tile(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        node, component, a, b = group.column("node").to_numpy(), group.column("component").to_numpy().copy(), [], []
+        for k, near in tile_candidates(group, percent, component):
+            for m in joined(component, np.append(near, k)):
+                a.append(node[k])
+                b.append(node[m])
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    return run
+
+
+def link_tile(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        node, component, a, b = group.column("node").to_numpy(), group.column("component").to_numpy().copy(), [], []
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        kinds, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.concatenate(([0], np.cumsum(size)))
+        marked = np.zeros(len(kinds), dtype=np.int64)
+        for k, near in tile_candidates(group, percent, component):
+            marked[codes[begins[k] : begins[k + 1]]] = 1
+            common = np.array([marked[codes[begins[m] : begins[m + 1]]].sum() for m in near])
+            marked[codes[begins[k] : begins[k + 1]]] = 0
+            near = near[100 * common >= percent * (size[k] + size[near] - common)]
+            if len(near):
+                for m in joined(component, np.append(near, k)):
+                    a.append(node[k])
+                    b.append(node[m])
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    return run

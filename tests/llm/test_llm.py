@@ -294,6 +294,7 @@ def test_near_duplicates_are_exact(spark, monkeypatch, tile):
     texts = family(rng, words, 60, 6) + family(rng, words, 20, 2) + [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)] + ["a b", "A B", "c", "", None, "a b c d e", "a b c d e f", "one two three four five six seven eight nine ten", "ONE two three four five six seven eight nine ten"]
     rows = list(enumerate(texts, 10))
     monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "SMALL_EDGES", 200_000 if tile > 4 else 3)
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == exact_components(rows, 4, 80)
 
