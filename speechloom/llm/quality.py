@@ -63,7 +63,7 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and the share of each."""
     found = [np.unique(features(np.frombuffer(b" " + part + b" ", dtype=np.uint8))[1], return_counts=True) for _, parts in blocks([text]) for _, part in parts]
     n = np.bincount(np.concatenate([x[0] for x in found]), weights=np.concatenate([x[1] for x in found]), minlength=1)
-    ids = np.flatnonzero(n)
+    ids = np.flatnonzero(n).astype(np.int32)
     return ids, (n[ids] / max(n.sum(), 1)).astype(np.float32)
 
 

@@ -13,7 +13,7 @@ import re
 import unicodedata
 
 #: Words and pre-tokens kept by a worker, at about 200 bytes each.
-MEMORY_WORDS = 1_200_000
+MEMORY_WORDS = 450_000
 #: Words of one text that are looked up together.
 WORDS_AT_ONCE = 100_000
 #: As the vocabulary file states its pre-tokens (a fixed value).
