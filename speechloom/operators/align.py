@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 #: Characters that stand for the words of a pair; their number is the limit of word_distance().
 _FIRST, _LAST = 0xE000, 0xF8FF
 _SIGNS = "".join(map(chr, range(_FIRST, _LAST + 1)))
+MOST_WORDS = len(_SIGNS)
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
@@ -18,12 +19,15 @@ def word_distance(ref: Column, hyp: Column) -> Column:
 
     For pairs of at most 6,400 distinct words; null beyond, where edit_operations() serves.
     """
-    known = F.array_distinct(F.concat(ref, hyp))
+    def distance(pair: Column) -> Column:
+        def spelled(words: Column) -> Column:
+            return F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SIGNS), F.array_position(pair["known"], w).cast("int"), F.lit(1))), "")
 
-    def spelled(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SIGNS), F.array_position(known, w).cast("int"), F.lit(1))), "")
+        return F.when(F.size(pair["known"]) <= len(_SIGNS), F.levenshtein(spelled(pair["ref"]), spelled(pair["hyp"])).cast("long"))
 
-    return F.when(F.size(known) <= len(_SIGNS), F.levenshtein(spelled(ref), spelled(hyp)).cast("long"))
+    # an array of one pair, so that the distinct words are found once and not for each word
+    one = F.array(F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("known")))
+    return F.get(F.transform(one, distance), F.lit(0))
 
 
 def alignment_path(ref: list[str], hyp: list[str]) -> str:

@@ -14,7 +14,11 @@ SEED = 42
 
 @query("align_distance", "SELECT p.clip, c[len(p.ref) + 1][len(p.hyp) + 1]::BIGINT AS distance FROM pair p JOIN table2 t ON t.clip = p.clip")
 def align_distance(v):
-    return v.pair.select("clip", align.word_distance(F.col("ref"), F.col("hyp")).alias("distance"))
+    # the path's errors serve where the built-in distance is null; pairs of fewer words hand nulls to Python
+    many = F.size("ref") + F.size("hyp") > align.MOST_WORDS
+    path = align.edit_operations(F.when(many, F.col("ref")), F.when(many, F.col("hyp")))
+    errors = F.length(F.replace(path, F.lit("C"))).cast("long")
+    return v.pair.select("clip", F.coalesce(align.word_distance(F.col("ref"), F.col("hyp")), errors).alias("distance"))
 
 
 @query("align_ops", "SELECT clip, pos, operation, reference, hypothesis, langid FROM arow")

@@ -1,0 +1,35 @@
+"""Queries over whole inputs: results that a prefix of the input does not give."""
+
+from speechloom.plans import evaluation, registry  # noqa: F401
+
+
+def brute_distance(ref, hyp):
+    row = list(range(len(hyp) + 1))
+    for i, r in enumerate(ref, 1):
+        last, row[0] = row[0], i
+        for j, h in enumerate(hyp, 1):
+            last, row[j] = row[j], min(last + (r != h), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def heard(words):
+    """The corruption that FIXTURES.md gives for PAIR."""
+    return ["zz" if i % 5 == 4 else w + "qq" if i % 11 == 10 else w for i, w in enumerate(words) if i % 7 != 6]
+
+
+def test_whole_turns_are_aligned(spark, tmp_path):
+    turns = [[f"w{i % 83}" for i in range(300)], [f"v{i}" for i in range(150)], ["one", "two"], [f"u{i}" for i in range(7000)]]
+    rows = [(1, k, "user", " ".join(t)) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    distance = {r["clip"]: r["distance"] for r in run("align_distance")}
+    for k, t in enumerate(turns[:3]):
+        assert distance[f"1_{k}"] == brute_distance(t, heard(t))
+    # the last turn has more distinct words than the built-in distance can spell
+    counts = {r["clip"]: r for r in run("align_counts")}
+    for k, t in enumerate(turns):
+        r = counts[f"1_{k}"]
+        assert r["words"] == len(t) and r["substitutions"] + r["deletions"] + r["insertions"] == distance[f"1_{k}"]
+    assert {r["clip"]: len(r["labels"].split()) for r in run("join_positional_labels")} == {f"1_{k}": len(t) for k, t in enumerate(turns)}
+    total = run("agg_eval_wer")[0]
+    assert total["reference_words"] == sum(map(len, turns)) and total["word_errors"] == sum(distance.values())
