@@ -203,7 +203,7 @@ def sort_by_share(v):
 def sort_by_metric(v):
     cell = F.when(F.col("step") % 10 == 0, F.lit("")).otherwise(F.col("loss").cast("string"))
     metric = F.nanvl(F.coalesce(cell.try_cast("double"), F.lit(0.0)), F.lit(0.0))
-    return tables.ranked(v.step.where("step <= 50").select("run", "step", metric.alias("metric")), [F.desc("metric"), F.asc("run"), F.asc("step")])
+    return tables.ranked(v.step.select("run", "step", metric.alias("metric")), [F.desc("metric"), F.asc("run"), F.asc("step")])
 
 
 @query("sort_by_duration", "SELECT audio_path, seconds, row_number() OVER (ORDER BY seconds DESC, audio_path) AS rank FROM dur")

@@ -33,3 +33,12 @@ def test_whole_turns_are_aligned(spark, tmp_path):
     assert {r["clip"]: len(r["labels"].split()) for r in run("join_positional_labels")} == {f"1_{k}": len(t) for k, t in enumerate(turns)}
     total = run("agg_eval_wer")[0]
     assert total["reference_words"] == sum(map(len, turns)) and total["word_errors"] == sum(distance.values())
+
+
+def test_all_steps_are_ranked(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], float((k * 37) % 101) + 1) for k in range(240)]  # 120 steps in each of two runs
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = [(run, step, 0.0 if step == 1 or step % 10 == 0 else value) for run in "ab" for step, value in enumerate((v for _, t, v in rows if t == run), 1)]
+    want.sort(key=lambda r: (-r[2], r[0], r[1]))
+    found = registry.QUERIES["sort_by_metric"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r["run"], r["step"], r["metric"], r["rank"]) for r in found] == [(*r, k) for k, r in enumerate(want, 1)]
