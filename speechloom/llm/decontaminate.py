@@ -90,12 +90,14 @@ class Shard:
         self.bounds = np.zeros((len(self.terms), -(-len(segments) // RANGE)), dtype=np.float32)
         for k, (s, i) in enumerate(zip(self.segments, self.impacts, strict=True)):
             np.maximum.at(self.bounds[k], s // RANGE, i.astype(np.float32))
-        self.grams = {}
+        self.grams, self.longest = {}, 0  # bytes of the longest word
         for item, text in items.items():
             words = words_of(text)
             n, _ = question_and_answer(words, text)
             size = min(GRAM, len(words))  # short sides take words of the other side beside them
             self.grams[item] = (word_grams(words[: max(n, size)], size), word_grams(words[max(0, min(n - size + 1, len(words) - size)) :], size), size)
+            self.longest = max(self.longest, *map(len, words), 0)
+        self.reach = max([PASSAGE, *(reach(q, a) for q, a, _ in self.grams.values())])
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Segments whose impacts over these terms reach the threshold, by block-max WAND."""
@@ -139,6 +141,11 @@ class Shard:
                         x[0] = int(np.searchsorted(self.segments[x[1]], target))
 
 
+def reach(question: set, answer: set) -> int:
+    """Words on either side of a passage in which the grams of an item's sides may stand."""
+    return max(PASSAGE, len(question) + len(answer) + GRAM)
+
+
 def word_grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
@@ -189,6 +196,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out if out is not None else spark.createDataFrame([], fields)
 
 
+def tail(shard: Shard, joined: bytes, starts: np.ndarray, ends: np.ndarray, first: int, end: int) -> bytes:
+    """The last words of a part of a text, which go in front of its next part.
+
+    They hold every passage whose reach crosses the cut, with the reach before it, from a half passage of the
+    whole text on, so the parts together find what the whole text does. Words longer than any of the items'
+    are shortened to one byte more than those, so they still match none.
+    """
+    half = PASSAGE // 2
+    begin = first + max(0, end - first - 2 * shard.reach - PASSAGE) // half * half
+    return b"".join(joined[starts[i] : min(ends[i], starts[i] + shard.longest + 1)] + b" " for i in range(begin, end))
+
+
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = index.value
@@ -198,14 +217,19 @@ def _search(index):
         hashes = hashes[order]
         for batch in batches:
             ids, values = batch.column(0), [(t or "").lower().encode("utf-8", "replace").translate(_SPACED) for t in batch.column(1).to_pylist()]
-            rows = []
+            rows, carried, done = [], {}, [0] * len(values)
             for _, parts in blocks(values):
+                for row, p in parts:
+                    done[row] += len(p)
+                parts = [(row, carried.pop(row, b"") + p) for row, p in parts]
                 joined = b"".join(p + b" " for _, p in parts)
                 words, starts, ends = word_hashes(np.frombuffer(joined, dtype=np.uint8))
                 if not len(words):
                     continue
                 # halves of passages: they begin anew with each text
                 firsts = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for _, p in parts]))
+                if done[parts[-1][0]] < len(values[parts[-1][0]]):
+                    carried[parts[-1][0]] = tail(shard, joined, starts, ends, int(firsts[-2]), int(firsts[-1]))
                 limits = np.concatenate([np.arange(a, max(b, a + 1), PASSAGE // 2) for a, b in zip(firsts[:-1], firsts[1:], strict=True)] + [firsts[-1:]])
                 limits = np.unique(limits)
                 rows += _verified(shard, joined, starts, ends, limits, firsts, parts, passages_above(shard, hashes, order, words, limits))
@@ -230,9 +254,9 @@ def _verified(shard: Shard, joined: bytes, starts: np.ndarray, ends: np.ndarray,
         for segment, score in shard.wand([shard.number[w] for w in inside if w in shard.number], THRESHOLD):
             item = shard.item[segment]
             question, answer, size = shard.grams[item]
-            reach = max(PASSAGE, len(question) + len(answer) + GRAM)
-            if (half, reach, size) not in looked:
-                looked[half, reach, size] = word_grams([joined[starts[i] : ends[i]] for i in range(max(begin - reach, text_first), min(end + reach, text_end))], size)
-            near = looked[half, reach, size]
+            far = reach(question, answer)
+            if (half, far, size) not in looked:
+                looked[half, far, size] = word_grams([joined[starts[i] : ends[i]] for i in range(max(begin - far, text_first), min(end + far, text_end))], size)
+            near = looked[half, far, size]
             rows.append((parts[owner][0], item, score, len(question & near) / max(len(question), 1), len(answer & near) / max(len(answer), 1)))
     return rows
