@@ -28,8 +28,8 @@ SEEDS = (r"[0-9a-f]{32,}",)
 ROUNDS = 3
 #: A pattern needs so many distinct known instances, and this confidence in the end.
 MIN_INSTANCES, MIN_CONFIDENCE = 3, 0.8
-#: A pattern needs this share of all candidate occurrences, so there are at most 100,000 patterns at any size.
-MIN_SHARE = 1e-5
+#: Pattern hashes of about 8 bytes that are broadcast at a time; the texts are read once for each such shard.
+SHARD_PATTERNS = 1 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -135,15 +135,23 @@ def pattern_hashes(patterns: list[str]) -> np.ndarray:
     return mix(words[::2] * np.uint64(3) + words[1::2])
 
 
-def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(pattern, total): how often the two words of each pattern stand side by side before a third word."""
-    names = np.array(patterns, dtype=object)
-    hashes = pattern_hashes(patterns)
-    order = np.argsort(hashes)
-    shared = docs.sparkSession.sparkContext.broadcast((hashes[order], names[order]))  # at most 1 / MIN_SHARE patterns
+def hashed_patterns(patterns: DataFrame) -> DataFrame:
+    """(pattern, hash) of a table with the column pattern."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, labels = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["pattern", "hash"])
+
+    return patterns.select("pattern").mapInArrow(run, "pattern string, hash long")
+
+
+def occurrences(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """(hash, total): how often the two words of each pattern stand side by side before a third word."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))  # about SHARD_PATTERNS hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
         total = np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
             values = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
@@ -157,21 +165,27 @@ def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
                 total += np.bincount(at[keys[at] == pair], minlength=len(keys))
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(labels[found].tolist(), type=pa.string()), pa.array(total[found])], names=["pattern", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(total[found])], names=["hash", "total"])
 
-    return docs.mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return docs.mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
 
 
 def learn_patterns(docs: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int = ROUNDS) -> dict[str, float]:
     """Confident patterns of a table with the column text, by scoring the pattern-instance graph in rounds."""
     graph = staged(edges(docs.select("text"), seeds), "pii-graph")
-    size = graph.agg(F.sum("n")).first()[0] or 0
-    support = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"))
-    wanted = support.where((F.col("instances") >= MIN_INSTANCES) & (F.col("n") >= MIN_SHARE * size))
-    names = [r[0] for r in wanted.select("pattern").collect()]  # at most 1 / MIN_SHARE rows
-    if not names:
+    support = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    wanted = staged(hashed_patterns(support.where(F.col("instances") >= MIN_INSTANCES)), "pii-patterns")
+    shards = -(-wanted.count() // SHARD_PATTERNS)
+    if not shards:
         return {}
-    totals = staged(occurrences(docs.select("text"), sorted(names)), "pii-totals")
+    totals = None
+    for k in range(shards):
+        mine = wanted.where(F.pmod(F.xxhash64("hash"), F.lit(shards)) == k).select("hash").distinct()
+        hashes = mine.toArrow().column("hash").to_numpy()
+        if len(hashes):
+            found = occurrences(docs.select("text"), hashes)
+            totals = found if totals is None else totals.unionByName(found)
+    totals = staged(wanted.join(totals, "hash").select("pattern", "total"), "pii-totals")
     graph = graph.join(totals, "pattern")
     score = graph.groupBy("instance").agg(F.max(F.col("known").cast("double")).alias("score"))
     for k in range(rounds):
@@ -180,7 +194,7 @@ def learn_patterns(docs: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int
         confident = by_pattern.where(F.col("instances") >= MIN_INSTANCES).select("pattern", F.least(F.lit(1.0), F.col("hits") / (F.col("total") + 2)).alias("confidence"))
         confident = staged(confident, f"pii-round-{k}")
         score = graph.join(confident, "pattern", "left").groupBy("instance").agg(F.greatest(F.max(F.col("known").cast("double")), F.max(F.coalesce("confidence", F.lit(0.0)))).alias("score"))
-    return {r[0]: r[1] for r in confident.where(F.col("confidence") >= MIN_CONFIDENCE).collect()}  # a part of names
+    return {r[0]: r[1] for r in confident.where(F.col("confidence") >= MIN_CONFIDENCE).collect()}  # each occurs at least eight times
 
 
 def all_spans(text: str, patterns: dict[str, float]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate
+from speechloom.llm import decontaminate, personal
 from speechloom.llm.common import BLOCK_BYTES
 
 
@@ -21,3 +22,14 @@ def test_leaks_across_a_block_are_found(spark, share):
     found = {r["doc_id"]: r for r in decontaminate.find_leaks(docs, items).collect()}
     assert set(found) == {1, 3}
     assert found[1]["question_share"] == found[1]["answer_share"] == 1.0
+
+
+def test_rare_patterns_are_learned_beside_many_candidates(spark, monkeypatch):
+    known = [f"account key user{k}@mail{k}.org today " for k in range(14)]
+    logs = spark.range(170).select(F.repeat(F.lit("log at 1234567 "), 10_000).alias("text"))  # 1.7 million candidates
+    rare = spark.createDataFrame([(t,) for t in [*known, "account key ZX81-77Q today", "our code ab12cd and our code ab12ce and our code ab12cf"]], "text string")
+    docs = logs.unionByName(rare)
+    assert personal.learn_patterns(docs).keys() == {"account key"}
+    learned = personal.learn_patterns(rare)
+    monkeypatch.setattr(personal, "SHARD_PATTERNS", 1)
+    assert learned.keys() == {"account key"} and personal.learn_patterns(rare) == learned
