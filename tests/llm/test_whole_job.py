@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, personal
+from speechloom.llm import decontaminate, packing, personal, queries
 from speechloom.llm.common import BLOCK_BYTES
 
 
@@ -33,3 +33,12 @@ def test_rare_patterns_are_learned_beside_many_candidates(spark, monkeypatch):
     learned = personal.learn_patterns(rare)
     monkeypatch.setattr(personal, "SHARD_PATTERNS", 1)
     assert learned.keys() == {"account key"} and personal.learn_patterns(rare) == learned
+
+
+def test_documents_are_packed_under_three_limits(spark):
+    docs = spark.createDataFrame([(k, " ".join(["word"] * (1 + k % 90))) for k in range(180)], "doc_id long, text string")
+    sequences = {}
+    for r in packing.pack_documents(docs, queries.tokenizer_file(), capacity=64, max_segments=3, max_loss=40).collect():
+        sequences.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(sum(s) <= 64 and len(s) <= 3 and sum(s) - len(s) <= 40 for s in sequences.values())
+    assert max(map(len, sequences.values())) == 3 and max(sum(s) - len(s) for s in sequences.values()) == 40
