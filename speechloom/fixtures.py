@@ -185,7 +185,7 @@ SQL = {
     "reg": "SELECT user_id AS rec, epoch_us(ts) // 1000 AS start, epoch_us(ts) // 1000 + floor(value * 60000 + 0.5)::BIGINT AS \"end\", event_id FROM events",
     "smp": "SELECT vec_id AS clip, list_transform(embedding, lambda x: x::DOUBLE) AS samples FROM embeddings",
     "smx": "SELECT clip, unnest(range(0, len(samples))) AS idx, unnest(samples) AS value FROM smp",
-    "pair0": r"SELECT conv_id || '_' || turn AS clip, turn, list_filter(regexp_split_to_array(regexp_replace(replace(lower(replace(text, ' ', ' ')), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda w: w <> '')[1:40] AS ref FROM conversations",
+    "pair0": r"SELECT conv_id || '_' || turn AS clip, turn, list_filter(regexp_split_to_array(regexp_replace(replace(lower(replace(text, ' ', ' ')), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda w: w <> '') AS ref FROM conversations",
     "pair": f"SELECT clip, turn, ref, list_filter(list_transform(ref, lambda w, i: CASE WHEN (i - 1) % 7 = 6 THEN NULL WHEN (i - 1) % 5 = 4 THEN 'zz' WHEN (i - 1) % 11 = 10 THEN w || 'qq' ELSE w END), lambda w: w IS NOT NULL) AS hyp, CASE WHEN turn % 6 = 5 THEN list_transform(ref, lambda w: 'unknown') ELSE list_transform(ref, lambda w, i: {LANGID.format(w='w', p='i')}) END AS lang FROM pair0",
     "dp": "SELECT clip, ref, hyp, 0 AS i, range(0, len(hyp) + 1) AS cost FROM pair UNION ALL SELECT clip, ref, hyp, i + 1, list_transform(t, lambda x, j: list_min(list_transform(t[1:j], lambda y, k: y - k)) + j) FROM (SELECT clip, ref, hyp, i, list_concat([i + 1], list_transform(hyp, lambda w, j: least(cost[j] + CASE WHEN w = ref[i + 1] THEN 0 ELSE 1 END, cost[j + 1] + 1))) AS t FROM dp WHERE i < len(ref))",
     "table2": "SELECT clip, any_value(ref) AS ref, any_value(hyp) AS hyp, list(cost ORDER BY i) AS c FROM dp GROUP BY clip",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -12,6 +14,8 @@ from pyspark.sql.types import StringType
 _FIRST, _LAST = 0xE000, 0xF8FF
 _SIGNS = "".join(map(chr, range(_FIRST, _LAST + 1)))
 MOST_WORDS = len(_SIGNS)
+#: Cells of the table of costs that are held at once for one pair.
+MOST_CELLS = 1 << 22
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
@@ -31,27 +35,32 @@ def word_distance(ref: Column, hyp: Column) -> Column:
 
 
 def alignment_path(ref: list[str], hyp: list[str]) -> str:
-    """Operations C, S, D, I from left to right; on ties equal words, then S, then D, then I, from the end."""
+    """Operations C, S, D, I from left to right; on ties equal words, then S, then D, then I, from the end.
+
+    Of a large pair only the first row of each band of rows is kept, and a band is worked out again on the way
+    back: memory grows with the longer text times the root of the other.
+    """
     words = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     a, b = (np.array([words[w] for w in x], dtype=np.int32) for x in (ref, hyp))
     n, m = len(a), len(b)
-    steps = np.arange(m + 1, dtype=np.int32)
-    cost = np.empty((n + 1, m + 1), dtype=np.int32)
-    cost[0] = steps
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, dtype=np.int32)
-        row[0] = i
-        np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1, out=row[1:])
-        cost[i] = np.minimum.accumulate(row - steps) + steps
+    band = max(n, 1) if (n + 1) * (m + 1) <= MOST_CELLS else isqrt(n) + 1
+    kept = {0: np.arange(m + 1, dtype=np.int32)}  # the first row of costs of each band
+    for i in range(band, n, band):
+        kept[i] = cost_rows(a[i - band : i], b, kept[i - band], i - band)[-1]
     i, j, out = n, m, []
+    first, cost = n + 1, kept[0][None, :]
     while i or j:
-        if i and j and a[i - 1] == b[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+        if i <= first and (i or first):  # go on in the band above
+            first = max(0, (i - 1) // band * band) if i else 0
+            cost = cost_rows(a[first:i], b[:j], kept[first][: j + 1], first)
+        k = i - first
+        if i and j and a[i - 1] == b[j - 1] and cost[k, j] == cost[k - 1, j - 1]:
             out.append("C")
             i, j = i - 1, j - 1
-        elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
+        elif i and j and cost[k, j] == cost[k - 1, j - 1] + 1:
             out.append("S")
             i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and cost[k, j] == cost[k - 1, j] + 1:
             out.append("D")
             i -= 1
         else:
@@ -60,6 +69,18 @@ def alignment_path(ref: list[str], hyp: list[str]) -> str:
     return "".join(reversed(out))
 
 
+def cost_rows(a: np.ndarray, b: np.ndarray, row: np.ndarray, number: int) -> np.ndarray:
+    """The row of costs (row `number` of the whole table) and those that follow it for the words of a."""
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
+    cost[0] = row
+    for i in range(1, len(a) + 1):
+        cost[i, 0] = number + i
+        np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1, out=cost[i, 1:])
+        cost[i] = np.minimum.accumulate(cost[i] - steps) + steps
+    return cost
+
+
 @F.pandas_udf(StringType())
 def edit_operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """One operation string per pair of word arrays; null arrays count as empty."""
@@ -78,19 +99,27 @@ def operation_counts(ops: Column) -> dict[str, Column]:
     return {name: (F.length(ops) - F.length(F.replace(ops, F.lit(sign)))).cast("long") for name, sign in names.items()}
 
 
+def steps(aligned: DataFrame, *more: str) -> DataFrame:
+    """One row per operation: clip, pos, op, and how many words of ref (i) and hyp (j) are used up by then.
+
+    i and j are counted in the row's own operations, so nothing is shuffled.
+    """
+    signs = aligned.select("clip", "ref", "hyp", "ops", *more, F.posexplode(F.filter(F.split("ops", ""), lambda s: s != "")).alias("pos", "op"))
+    so_far = F.substring(F.col("ops"), F.lit(1), F.col("pos") + 1)
+    used = {name: F.length(F.replace(so_far, F.lit(other))) for name, other in (("i", "I"), ("j", "D"))}
+    return signs.withColumns(used)
+
+
 def alignment_rows(aligned: DataFrame) -> DataFrame:
     """(clip, pos, operation, reference, hypothesis, langid) of pairs with ops; lang has one label per ref word.
 
     A word that is inserted takes the label of the next reference word, behind the last one of the last, and
     unknown where there is none.
     """
-    w = Window.partitionBy("clip").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    signs = aligned.select("clip", "ref", "hyp", "lang", F.posexplode(F.filter(F.split("ops", ""), lambda s: s != "")).alias("pos", "op"))
-    counted = signs.withColumn("i", F.sum((F.col("op") != "I").cast("int")).over(w)).withColumn("j", F.sum((F.col("op") != "D").cast("int")).over(w))
-    i, j, op = F.col("i").cast("int"), F.col("j").cast("int"), F.col("op")
+    i, j, op = F.col("i"), F.col("j"), F.col("op")
     named = F.when(op == "C", "correct").when(op == "S", "substitution").when(op == "D", "deletion").otherwise("insertion")
     label = F.when(op != "I", F.get("lang", i - 1)).otherwise(F.coalesce(F.get("lang", i), F.get("lang", i - 1), F.lit("unknown")))
-    return counted.select("clip", F.col("pos").cast("long").alias("pos"), named.alias("operation"), F.when(op == "I", "").otherwise(F.get("ref", i - 1)).alias("reference"), F.when(op == "D", "").otherwise(F.get("hyp", j - 1)).alias("hypothesis"), label.alias("langid"))
+    return steps(aligned, "lang").select("clip", F.col("pos").cast("long").alias("pos"), named.alias("operation"), F.when(op == "I", "").otherwise(F.get("ref", i - 1)).alias("reference"), F.when(op == "D", "").otherwise(F.get("hyp", j - 1)).alias("hypothesis"), label.alias("langid"))
 
 
 def positional_labels(words: Column, labels: Column) -> Column:
@@ -100,8 +129,5 @@ def positional_labels(words: Column, labels: Column) -> Column:
 
 def counterparts(aligned: DataFrame) -> DataFrame:
     """(clip, pos, word, predicted): each reference word and the word it is aligned with, null where deleted."""
-    w = Window.partitionBy("clip").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    signs = aligned.select("clip", "ref", "hyp", F.posexplode(F.filter(F.split("ops", ""), lambda s: s != "")).alias("p", "op"))
-    counted = signs.withColumn("i", F.sum((F.col("op") != "I").cast("int")).over(w)).withColumn("j", F.sum((F.col("op") != "D").cast("int")).over(w)).where("op <> 'I'")
-    i, j = F.col("i").cast("int"), F.col("j").cast("int")
-    return counted.select("clip", F.col("i").cast("long").alias("pos"), F.get("ref", i - 1).alias("word"), F.when(F.col("op") != "D", F.get("hyp", j - 1)).alias("predicted"))
+    i, j = F.col("i"), F.col("j")
+    return steps(aligned).where("op <> 'I'").select("clip", F.col("i").cast("long").alias("pos"), F.get("ref", i - 1).alias("word"), F.when(F.col("op") != "D", F.get("hyp", j - 1)).alias("predicted"))

@@ -35,12 +35,11 @@ def held_out_keys(clips: DataFrame, seed: int, train_fraction: float) -> DataFra
 
     The running sum is over recordings, one row each, and the order is a hash of their names.
     """
-    counts = clips.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    counts = clips.groupBy("rec").agg(F.count(F.lit(1)).alias("n")).withColumn("__o", F.md5(F.concat(F.lit(f"{seed}:"), F.col("rec"))))
+    counts = running_total(counts, [F.col("__o"), F.col("rec")], F.col("n"), "__upto")
     # one row of totals
     target = counts.agg(F.greatest(F.lit(1.0), F.rint(F.sum("n") * F.lit(1 - train_fraction))).alias("target"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rec")))
-    taken = F.coalesce(F.sum("n").over(Window.orderBy(order, "rec").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("taken", taken).crossJoin(F.broadcast(target)).where("taken < target").select("rec")
+    return counts.crossJoin(F.broadcast(target)).where(F.col("__upto") - F.col("n") < F.col("target")).select("rec")
 
 
 def split_by_recording(clips: DataFrame, seed: int, train_fraction: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -51,10 +50,12 @@ def split_by_recording(clips: DataFrame, seed: int, train_fraction: float = 0.9)
 
 def split_single_recording(clips: DataFrame, seed: int, train_fraction: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(train, test) of single clips, for a table with one recording; clips need the column clip."""
-    n = clips.count()
-    target = max(1, round(n * (1 - train_fraction)))
-    test = clips.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("clip").cast("string"))), "clip").limit(target)
-    return clips.join(test.select("clip"), "clip", "left_anti"), test
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("clip").cast("string")))
+    placed = ranked(clips, [order, F.col("clip")], "__place")
+    # one row of totals
+    target = placed.agg(F.greatest(F.lit(1.0), F.rint(F.count(F.lit(1)) * F.lit(1 - train_fraction))).alias("__target"))
+    marked = placed.crossJoin(F.broadcast(target)).withColumn("__test", F.col("__place") <= F.col("__target")).drop("__place", "__target")
+    return marked.where(~F.col("__test")).drop("__test"), marked.where("__test").drop("__test")
 
 
 def seeded_sample(df: DataFrame, seed: int, key: Column, n: int) -> DataFrame:
@@ -68,14 +69,20 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rows in order, with their 1-based place, so that the order is part of the result.
+    """Rows in order, with their 1-based place, so that the order is part of the result."""
+    return running_total(df, order, F.lit(1), name)
+
+
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Rows with the sum of value up to each of them, over the whole table in order.
 
-    Places are counted per range partition, which is written once, and shifted by the number of rows in the
-    partitions before, so no task sorts the whole table.
+    Sums are made per range partition, which is written once, and shifted by the sums of the partitions
+    before, so no task sorts the whole table.
     """
     spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    local = staged(spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), "ranked")
-    sizes = local.groupBy("__p").agg(F.max("__n").alias("__size"))
+    upto = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged(spread.withColumn("__n", F.sum(value).over(upto)), "running")
+    sizes = local.groupBy("__p").agg(F.sum(value).alias("__size"))
     # a row per partition
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
     return local.join(F.broadcast(before), "__p").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__p", "__n", "__before")

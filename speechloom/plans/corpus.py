@@ -198,7 +198,7 @@ def fn_clock(v):
     return v.utt.select("rec", "utt", vx.clock(F.col("start_ms") - 2000).alias("clock"))
 
 
-@query("fn_quantise_pcm", "SELECT clip, idx, trunc(greatest(-1.0, least(1.0, value * 3)) * 32767)::INT AS pcm, trunc(greatest(-1.0, least(1.0, value * 3)) * 32767) / 32768.0::DOUBLE AS back FROM smx")
+@query("fn_quantise_pcm", "SELECT clip, idx, trunc(greatest(-1.0, least(1.0, value * 3)) * 32767)::INT AS pcm, trunc(greatest(-1.0, least(1.0, value * 3)) * 32767)::INT / 32768.0::DOUBLE AS back FROM smx")
 def fn_quantise_pcm(v):
     pcm = v.smp.select("clip", vx.quantise_pcm(F.transform("samples", lambda x: x * 3)).alias("pcm"))
     both = pcm.select("clip", F.posexplode(F.arrays_zip("pcm", vx.dequantise_pcm(F.col("pcm")).alias("back"))).alias("p", "z"))

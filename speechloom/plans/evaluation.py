@@ -199,7 +199,7 @@ def sort_by_share(v):
     return tables.ranked(rows, [F.asc("share"), F.asc("clip")])
 
 
-@query("sort_by_metric", "SELECT run, step, metric, row_number() OVER (ORDER BY metric DESC, run, step) AS rank FROM (SELECT run, step, CASE WHEN isnan(loss) OR step % 10 = 0 THEN 0 ELSE loss END AS metric FROM step WHERE step <= 50)")
+@query("sort_by_metric", "SELECT run, step, metric, row_number() OVER (ORDER BY metric DESC, run, step) AS rank FROM (SELECT run, step, CASE WHEN isnan(loss) OR step % 10 = 0 THEN 0 ELSE loss END AS metric FROM step)")
 def sort_by_metric(v):
     cell = F.when(F.col("step") % 10 == 0, F.lit("")).otherwise(F.col("loss").cast("string"))
     metric = F.nanvl(F.coalesce(cell.try_cast("double"), F.lit(0.0)), F.lit(0.0))

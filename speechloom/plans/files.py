@@ -25,11 +25,7 @@ def _chat_folder(v) -> str:
 
 def _chat_lines(v):
     """The lines of all transcripts; a recording's name is its folder's."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    raw = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(_chat_folder(v))
-    # a file holds the transcripts of one recording
-    lines = raw.select(F.regexp_extract("path", "rec=([^/]*)/", 1).alias("rec"), F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("p", "line"))
-    return lines.select("rec", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+    return files.chat_lines(v.spark, _chat_folder(v), "*.txt", key="rec").where("line <> ''")  # the end of a file's last line
 
 
 @query("src_chat_lines", "SELECT rec, 3 + count(*) + count(*) FILTER (utt % 2 = 0) AS n FROM utt GROUP BY rec")
@@ -75,8 +71,7 @@ def src_word_tsv(v):
     folder = scratch(v.spark, "tsv")
     cells = v.surf.select(F.col("rec").alias("file"), F.when(F.col("pos") % 11 != 0, F.col("utt").cast("string")).alias("utterance_id"), F.concat("surface", F.lit('"\tq')).alias("surface"), F.lit("x").alias("unused"), "langid")
     cells.repartition("file").write.partitionBy("file").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("quoteAll", True).csv(folder)
-    raw = v.spark.read.csv(folder, sep="\t", header=True, quote='"', escape='"').where("utterance_id <> ''")
-    return raw.select(F.col("file").alias("rec"), F.col("utterance_id").cast("long").alias("utterance_id"), F.regexp_replace("surface", '"\tq$', "").alias("surface"), "langid")
+    return files.word_tables(v.spark, folder, key="file").withColumn("surface", F.regexp_replace("surface", '"\tq$', ""))
 
 
 MANIFEST = ["audio_path", "transcript", "start_ms", "end_ms", "speakers", "word_langids", "language_counts", "utterance_ids"]
@@ -129,9 +124,8 @@ def fn_parse_offset_ts(v):
 def src_recordings(v):
     folder = scratch(v.spark, "recordings")
     v.table("events").select(F.concat(F.lit("user_"), "user_id").alias("u"), "value").distinct().repartition("u").write.partitionBy("u").option("header", False).csv(folder)
-    found = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_extract("path", "u=([^/]*)/", 1)
-    return found.select(F.regexp_replace(name, "user_", "").cast("long").alias("rec"), name.alias("stem")).distinct()
+    found = files.recordings(v.spark, folder, "*.csv", key="u").select(F.col("rec").alias("stem")).distinct()
+    return found.select(F.regexp_replace("stem", "user_", "").cast("long").alias("rec"), "stem")
 
 
 @query("src_wav_durations", """SELECT vec_id AS rec, CASE WHEN error IS NULL THEN size / 2 / rate::DOUBLE END AS seconds, error FROM (SELECT vec_id, 2 * (1000 + vec_id % 50 * 160) AS size, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 8000 END AS rate,

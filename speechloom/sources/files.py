@@ -12,22 +12,32 @@ WORD_SCHEMA = "utterance_id string, surface string, langid string"
 RESULT_FIELDS = ("evaluation_step", "clips", "reference_words", "word_errors", "wer", "loss", "token_loss", "language_id_loss", "lid_accuracy")
 
 
-def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+def _files(spark: SparkSession, folder: str, pattern: str, key: str | None = None) -> DataFrame:
+    """Files of a folder, or with a key those of its subfolders key=name."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", key is not None).load(folder)
 
 
-def recordings(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
-    """(path, rec, length) of the files of a folder; their content is not read."""
-    return _files(spark, folder, pattern).select("path", stem(F.col("path")).alias("rec"), "length")
+def _named(path: Column, key: str | None) -> Column:
+    """A file's name without its ending, or with a key the name that its subfolder key=name gives."""
+    return stem(path) if key is None else F.url_decode(F.regexp_extract(path, f"{key}=([^/]*)/", 1))
 
 
-def chat_lines(spark: SparkSession, folder: str, pattern: str = "*.cha") -> DataFrame:
+def recordings(spark: SparkSession, folder: str, pattern: str = "*.wav", key: str | None = None) -> DataFrame:
+    """(path, rec, length) of the files of a folder in order of path; their content is not read.
+
+    With a key, files lie in subfolders key=name, as Spark writes them, and rec is that name.
+    """
+    return _files(spark, folder, pattern, key).select("path", _named(F.col("path"), key).alias("rec"), "length").orderBy("path")
+
+
+def chat_lines(spark: SparkSession, folder: str, pattern: str = "*.cha", key: str | None = None) -> DataFrame:
     """(rec, line_no, line) of transcripts, in file order; bytes that are no UTF-8 are replaced.
 
-    A transcript is one file of a recording, so it is a single row until its lines are exploded.
+    A transcript is one file of a recording, so it is a single row until its lines are exploded. key: as in
+    recordings().
     """
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    lines = _files(spark, folder, pattern).select(stem(F.col("path")).alias("rec"), F.posexplode(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")).alias("p", "line"))
+    lines = _files(spark, folder, pattern, key).select(_named(F.col("path"), key).alias("rec"), F.posexplode(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")).alias("p", "line"))
     return lines.select("rec", (F.col("p") + 1).cast("long").alias("line_no"), "line")
 
 
@@ -48,14 +58,15 @@ def chat_headers(lines: DataFrame) -> DataFrame:
     return newest.groupBy("rec").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("headers"))
 
 
-def word_tables(spark: SparkSession, folder: str, suffix: str = "_cgwords") -> DataFrame:
+def word_tables(spark: SparkSession, folder: str, suffix: str = "_cgwords", key: str | None = None) -> DataFrame:
     """(rec, utterance_id, surface, langid) of quoted tab-separated files with a header; rows without an id go.
 
-    Columns are taken by name from each file's header.
+    Columns are taken by name from each file's header. key: as in recordings(), for files of any name.
     """
-    raw = spark.read.csv(f"{folder}/*{suffix}.tsv", sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    raw = spark.read.csv(f"{folder}/*{suffix}.tsv" if key is None else folder, sep="\t", header=True, quote='"', escape='"', multiLine=True)
     names = ["utterance_id", "surface", "langid"]
-    named = raw.select(F.regexp_replace(stem(F.col("_metadata.file_name")), f"{suffix}$", "").alias("rec"), *names)
+    rec = F.regexp_replace(stem(F.col("_metadata.file_name")), f"{suffix}$", "") if key is None else _named(F.col("_metadata.file_path"), key)
+    named = raw.select(rec.alias("rec"), *names)
     return named.where("utterance_id <> ''").withColumn("utterance_id", F.col("utterance_id").cast("long"))
 
 

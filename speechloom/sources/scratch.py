@@ -1,4 +1,4 @@
-"""Shared scratch space: the cluster's checkpoint folder, or a temporary one where none is set."""
+"""Shared scratch space: the cluster's checkpoint folder, or a temporary one in local mode where none is set."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir."""
+    """A new folder name below spark.checkpoint.dir; without that setting, a folder of this machine in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
