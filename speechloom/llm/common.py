@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from speechloom.sources.scratch import scratch, staged  # noqa: F401  (operators take them from here)
+
 #: Rows of one Arrow batch; with texts of a few kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 512
 #: Bytes of text that are worked on as one numpy block.
@@ -23,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="speechloom-")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_folder()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to shared storage and read it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

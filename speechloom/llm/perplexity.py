@@ -1,180 +1,290 @@
 """Rule metrics and n-gram perplexity bands per language.
 
-The model is a modified Kneser-Ney model of 4-grams over a fixed alphabet of 48 symbols that bytes are
-folded to. Tasks count the 4-grams of their texts, Spark sums the counts of the whole corpus, and the
-lower orders are counts of distinct left extensions. Since the alphabet is fixed, a language has at most
-48**4 4-grams, however large the corpus is: that bounds what is collected and broadcast. A language's model
-is two sorted arrays of 64-bit n-gram hashes with their probabilities and back-off weights beside them.
+The model is a modified Kneser-Ney model over code points, of order 5, one per language. Tasks count the
+5-grams of their texts, Spark sums the counts of the whole corpus, and all that follows are groupings and
+joins of n-gram tables: lower orders count the distinct left extensions, counts of counts give the discounts,
+contexts give the back-off weights, and each order's probability is interpolated with the one below. The
+result is stored as sorted arrays of 64-bit n-gram hashes with a number beside each, cut into shards by the
+leading bits of the hash. A model that fits BROADCAST_BYTES is broadcast; of a larger one, blocks of texts ask
+the shards for the hashes that they hold, each once, and are scored with the answers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import blocks, mix, staged, texts
-
-ORDER = 4
-SYMBOLS = 48
-EDGE = 0  # white space, and what stands before a text
-#: A language gets its own model from this share of the rows on, so there are at most 50; others share one.
-OWN_MODEL_SHARE = 0.02
-SHARED = "*"
-#: Width of the bands around the language's median log perplexity, in robust standard deviations.
-BELOW, ABOVE = 5.0, 12.0
-#: Least robust standard deviation of the log perplexity, so that a uniform corpus keeps its texts.
-LEAST_SPREAD = 0.03
+from speechloom.llm.common import mix, staged
+
+ORDER = 5
+#: Stands before and behind each text.
+EDGE = "\0"
+#: 5-grams seen fewer times have no entry: what only one text holds must not make it likely.
+LEAST_COUNT = 2
+#: Width of the bands around the language's median, in robust standard deviations for the text's length.
+BELOW, ABOVE = 5.0, 5.0
+#: Robust standard deviation that counts where all texts score alike.
+EQUAL_SPREAD = 0.1
+#: Entries of one shard at most, about, and bytes of a model that is broadcast; an entry has ENTRY bytes.
+SHARD_ENTRIES, BROADCAST_BYTES, ENTRY = 1 << 20, 96 << 20, 12
+#: Code points that are worked on as one numpy block, and distinct 5-grams that a task holds.
+BLOCK_CHARS, HELD = 1 << 18, 1 << 19
+#: Texts of one block of the way without broadcast.
+BLOCK_TEXTS = 2048
 #: Bytes that count as symbols.
 SYMBOL_BYTES = frozenset(b"#*$%&|<>")
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+Lookup = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def language_seed(lang: str) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), dtype=np.uint64)[0]
+
+
+def hashed(grams: np.ndarray, seed: np.uint64, tag: int) -> np.ndarray:
+    """64-bit hash of rows of code points; tag: the order, plus 8 for the context of an n-gram of that order."""
+    code = np.full(len(grams), seed + np.uint64(tag), dtype=np.uint64)
+    for i in range(grams.shape[1]):
+        code = mix(code * _BASE + grams[:, i]) if i == grams.shape[1] - 1 else code * _BASE + grams[:, i]
+    return code if grams.shape[1] else mix(code)
 
-def fold_table() -> np.ndarray:
-    """Symbol of each byte: edge, letters, digit, stop, comma, marks, other, lead byte, 15 kinds of continuation."""
-    out = np.full(256, 31, dtype=np.uint8)
-    for b in range(256):
-        if b == 32 or 9 <= b <= 13:
-            out[b] = EDGE
-        elif chr(b).isascii() and chr(b).isalpha():
-            out[b] = 1 + (b | 32) - 97
-        elif 48 <= b <= 57:
-            out[b] = 27
-        elif b in b".!?":
-            out[b] = 28
-        elif b in b",;:'\"()-":
-            out[b] = 29
-        elif b in SYMBOL_BYTES:
-            out[b] = 30
-        elif b >= 0xC0:
-            out[b] = 32
-        elif b >= 0x80:
-            out[b] = 33 + b % 15
-    return out
 
+def pieces(values: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of (row, piece of its text with the ORDER - 1 code points before it); a text's end is an EDGE."""
+    held, size = [], 0
+    for row, value in enumerate(values):
+        whole = EDGE * (ORDER - 1) + value + EDGE
+        for at in range(0, len(value) + 1, BLOCK_CHARS):
+            part = whole[at : at + BLOCK_CHARS + ORDER - 1]
+            if held and size + len(part) > BLOCK_CHARS:
+                yield held
+                held, size = [], 0
+            held.append((row, part))
+            size += len(part)
+    if held:
+        yield held
 
-FOLD = fold_table()
 
+def windows(parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """5-grams of a block as rows of code points, and the number of them in each part."""
+    data = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le", "replace"), dtype="<u4")
+    sizes = np.array([len(p) for _, p in parts])
+    every = np.lib.stride_tricks.sliding_window_view(data, ORDER)
+    begins = np.cumsum(sizes) - sizes
+    inside = np.ones(len(data), dtype=bool)
+    for k in range(1, ORDER):  # the last ORDER - 1 places of a part begin no n-gram
+        inside[begins + sizes - k] = False
+    return every[inside[: len(every)]], sizes - ORDER + 1
 
-def codes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram code of every byte of the parts, which end in one edge symbol each, and each part's end."""
-    data = FOLD[np.frombuffer(b"".join(p + b" " for p in parts), dtype=np.uint8)].astype(np.int32)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    begins = np.concatenate(([0], ends[:-1]))
-    code, back = data.copy(), data
-    for n in range(1, ORDER):
-        shifted = np.empty_like(back)
-        shifted[1:] = back[:-1]
-        shifted[begins] = EDGE
-        code += shifted * np.int32(SYMBOLS**n)
-        back = shifted
-    return code, ends
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order of appearance, the first place of each, and the number of each place's key."""
+    at, found = pd.factorize(keys)
+    first = np.empty(len(found), dtype=np.int64)
+    first[at[::-1]] = np.arange(len(keys))[::-1]
+    return found, first, at
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(model, code, n) of all 4-grams of all texts; docs has columns model and text."""
+    """(lang, gram, n) of all 5-grams of all texts; docs has columns lang and text, not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        size = 0
+
+        def merge() -> int:
+            for lang, lists in held.items():
+                keys, grams, n = (np.concatenate([x[i] for x in lists]) for i in range(3))
+                found, first, at = distinct(keys)
+                held[lang] = [(found, grams[first], np.bincount(at, weights=n).astype(np.int64))]
+            return sum(len(x[0][0]) for x in held.values())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, ((_, grams, n),) in held.items():
+                text = grams.astype("<u4").tobytes().decode("utf-32-le", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), type=pa.string()), pa.array([text[k : k + ORDER] for k in range(0, len(text), ORDER)], type=pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+            held.clear()
 
-        def out(model: str) -> pa.RecordBatch:
-            counts = held.pop(model)
-            found = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array([model] * len(found), type=pa.string()), pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], names=["model", "code", "n"])
+        for batch in batches:
+            langs, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in dict.fromkeys(langs):
+                for parts in pieces([v for m, v in zip(langs, values, strict=True) if m == lang]):
+                    grams, _ = windows(parts)
+                    found, first, at = distinct(hashed(grams, np.uint64(0), 0))
+                    held.setdefault(lang, []).append((found, grams[first], np.bincount(at)))
+                    size += len(found)
+                    if size > 2 * HELD:
+                        size = merge()
+                        if size > HELD:
+                            yield from out()
+                            size = 0
+        merge()
+        yield from out()
+
+    return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
+
+
+def discounted(level: DataFrame) -> DataFrame:
+    """level (lang, gram, c) with cut: the modified Kneser-Ney discount for counts of 1, 2 and 3 or more."""
+    n = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    usable = F.least("n1", "n2", "n3", "n4") > 0
+
+    def step(k: int, usual: float) -> Column:
+        return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(k - 0.01), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(usual))
+
+    # a row per language
+    steps = level.groupBy("lang").agg(*n).select("lang", *[step(k, d).alias(f"d{k}") for k, d in ((1, 0.5), (2, 0.75), (3, 0.9))])
+    return level.join(steps, "lang").select("lang", "gram", "c", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """(hash, value): natural log probabilities of n-grams and log back-off weights of contexts, all languages.
+
+    docs has columns lang and text, not null. Every order is a table; nothing is gathered.
+    """
+    levels = {ORDER: staged(count_ngrams(docs), "perplexity-counts")}
+    for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct code points to the left
+        shorter = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        levels[k] = staged(shorter, f"perplexity-{k}") if k + 1 == ORDER else shorter
+    flat = levels[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("below"))  # order 0: uniform, with one unseen
+    entries = [flat.select("lang", F.lit("").alias("gram"), F.lit(0).alias("tag"), F.log("below").alias("value"))]
+    lower = flat
+    for k in range(1, ORDER + 1):
+        cut = discounted(levels[k]).withColumns({"context": F.substring("gram", 1, k - 1), "suffix": F.substring("gram", 2, k - 1)})
+        has_entry = F.col("c") >= (LEAST_COUNT if k == ORDER else 1)
+        used = F.sum(F.when(has_entry, F.col("c") - F.col("cut")).otherwise(F.lit(0.0)))
+        totals = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), used.alias("used"))
+        back = F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-9))
+        known = cut.where(has_entry).join(totals.select("lang", "context", "total", back.alias("back")), ["lang", "context"])
+        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("below")
+        known = known.join(lower, ["lang"] if k == 1 else ["lang", "suffix"]).select("lang", "gram", "context", "back", p.alias("p"))
+        if k > 2:
+            known = staged(known, f"perplexity-p-{k}")
+        lower = known.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        # a context without entries has the weight 1, as one that was never seen
+        contexts = known.groupBy("lang", "context").agg(F.first("back").alias("back"))
+        entries += [known.select("lang", "gram", F.lit(k).alias("tag"), F.log("p").alias("value")), contexts.select("lang", F.col("context").alias("gram"), F.lit(k + 8).alias("tag"), F.log("back").alias("value"))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models, values = batch.column(0).to_pylist(), texts(batch.column(1))
-            for model in dict.fromkeys(models):
-                if model not in held:
-                    if len(held) >= 4:  # a task holds few count tables at a time
-                        yield out(next(iter(held)))
-                    held[model] = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-                for _, parts in blocks([v for m, v in zip(models, values, strict=True) if m == model]):
-                    found, n = np.unique(codes([p for _, p in parts])[0], return_counts=True)
-                    held[model][found] += n
-        for model in list(held):
-            yield out(model)
-
-    return docs.mapInArrow(run, "model string, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the counts of counts."""
-    c = np.array([np.count_nonzero(n == k) for k in (1, 2, 3, 4)], dtype=float)
-    if c.min() == 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = c[0] / (c[0] + 2 * c[1])
-    d = [0.0, *(k - (k + 1) * y * c[k] / c[k - 1] for k in (1, 2, 3))]
-    return np.clip(d, 0.0, [0.0, 0.99, 1.99, 2.99])
-
-
-def hashed(order: int, code: np.ndarray) -> np.ndarray:
-    return mix(code.astype(np.uint64) * np.uint64(8) + np.uint64(order))
-
-
-class KneserNey:
-    """Natural log probabilities in sorted hash arrays: one lookup per order until an n-gram is found."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
-        grams, counts = code.astype(np.int64), n.astype(np.float64)
-        tables = {ORDER: (grams, counts)}
-        for order in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols to the left
-            grams, counts = np.unique(tables[order + 1][0] % SYMBOLS**order, return_counts=True)
-            tables[order] = (grams, counts.astype(np.float64))
-        lower = np.full(SYMBOLS, 1.0 / SYMBOLS)  # order 0: uniform
-        keys, values, back_keys, backs = [], [], [], []
-        dense = lower
-        for order in range(1, ORDER + 1):
-            grams, counts = tables[order]
-            cut = discounts(counts)[np.minimum(counts, 3).astype(int)]
-            context = grams // SYMBOLS
-            total = np.bincount(context, weights=counts, minlength=SYMBOLS ** (order - 1))
-            freed = np.bincount(context, weights=cut, minlength=SYMBOLS ** (order - 1))
-            share = freed / np.maximum(total, 1)
-            p = (counts - cut) / total[context] + share[context] * dense[grams % len(dense)]
-            known = np.flatnonzero(total)
-            keys.append(hashed(order, grams))
-            values.append(np.log(p))
-            back_keys.append(hashed(order, known))  # weight of falling back from order to order - 1 in this context
-            backs.append(np.log(np.maximum(share[known], 1e-9)))
-            if order < ORDER:
-                # a context that was never seen falls back without a price
-                full = np.where(total > 0, share, 1.0).repeat(SYMBOLS) * np.tile(dense, SYMBOLS**order // len(dense))
-                full[grams] = p
-                dense = full
-        self.keys, self.logp = self._sorted(keys, values)
-        self.back_keys, self.back = self._sorted(back_keys, backs)
-
-    @staticmethod
-    def _sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, v = np.concatenate(keys), np.concatenate(values)
-        at = np.argsort(k)
-        return k[at], v[at].astype(np.float32)
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def log_probability(self, code: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each 4-gram after its first three."""
-        out = np.full(len(code), -np.log(SYMBOLS))
-        extra = np.zeros(len(code))
-        open_ = np.arange(len(code))
-        for order in range(ORDER, 0, -1):
-            if not len(open_):
-                break
-            gram = code[open_] % SYMBOLS**order
-            at, hit = self._find(self.keys, hashed(order, gram))
-            out[open_[hit]] = self.logp[at[hit]] + extra[open_[hit]]
-            open_, gram = open_[~hit], gram[~hit]
-            at, hit = self._find(self.back_keys, hashed(order, gram // SYMBOLS))
-            extra[open_[hit]] += self.back[at[hit]]
-        out[open_] += extra[open_]
-        return out
+            langs, grams, tags = (batch.column(i).to_pylist() for i in range(3))
+            code = np.zeros(len(langs), dtype=np.uint64)
+            groups: dict[tuple[str, int], list[int]] = {}
+            for row, key in enumerate(zip(langs, tags, strict=True)):
+                groups.setdefault(key, []).append(row)
+            for (lang, tag), rows in groups.items():
+                width = tag - 9 if tag > 8 else tag
+                flat_ = np.frombuffer("".join(grams[r] for r in rows).encode("utf-32-le", "replace"), dtype="<u4")
+                code[rows] = hashed(flat_.reshape(len(rows), width), language_seed(lang), tag)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column(3).cast(pa.float32())], names=["hash", "value"])
+
+    every = entries[0]
+    for e in entries[1:]:
+        every = every.unionByName(e)
+    return staged(every.mapInArrow(run, "hash long, value float"), "perplexity-entries")
+
+
+def shards(entries: DataFrame) -> tuple[DataFrame, int, int]:
+    """(shard, keys, numbers) with sorted arrays, how many leading bits name a shard, and the number of entries."""
+    n = entries.count()
+    bits = max(0, (n // SHARD_ENTRIES).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, numbers = None, [], []
+
+        def out() -> pa.RecordBatch:
+            k, v = np.concatenate(keys).view(np.uint64), np.concatenate(numbers)
+            at = np.argsort(k)
+            return pa.RecordBatch.from_arrays([pa.array([shard], type=pa.int64()), pa.array([k[at].tobytes()], type=pa.binary()), pa.array([v[at].astype(np.float32).tobytes()], type=pa.binary())], names=["shard", "keys", "numbers"])
+
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1):
+                if not len(at):
+                    continue
+                if keys and own[at[0]] != shard:
+                    yield out()
+                    keys.clear()
+                    numbers.clear()
+                shard = int(own[at[0]])
+                keys.append(batch.column(1).to_numpy()[at])
+                numbers.append(batch.column(2).to_numpy()[at])
+        if keys:
+            yield out()
+
+    dealt = entries.select(shard_of(F.col("hash"), bits).alias("shard"), "hash", "value").repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    return staged(dealt.mapInArrow(run, "shard long, keys binary, numbers binary"), "perplexity-shards"), bits, n
+
+
+def shard_of(code: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(code, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def lookup(keys: np.ndarray, numbers: np.ndarray) -> Lookup:
+    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=np.float32), np.zeros(len(wanted), dtype=bool)
+        order = np.argsort(wanted)  # sorted requests walk the array once
+        at = np.empty(len(wanted), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
+        return numbers[at], keys[at] == wanted
+
+    return find
+
+
+def log_probability(grams: np.ndarray, seed: np.uint64, find: Lookup) -> np.ndarray:
+    """Of the last code point of each 5-gram after the four before it: the longest n-gram with an entry counts."""
+    out = np.zeros(len(grams))
+    open_ = np.arange(len(grams))
+    for k in range(ORDER, 0, -1):
+        value, hit = find(hashed(grams[open_, ORDER - k :], seed, k))
+        out[open_[hit]] += value[hit]
+        open_ = open_[~hit]
+        if not len(open_):
+            return out
+        value, hit = find(hashed(grams[open_, ORDER - k : -1], seed, k + 8))  # an unseen context falls back without a price
+        out[open_[hit]] += value[hit]
+    value, hit = find(hashed(grams[:1, :0], seed, 0))
+    out[open_] += value[0] if hit[0] else np.log(1e-6)
+    return out
+
+
+def text_scores(langs: list[str], values: list[str], find: Lookup) -> np.ndarray:
+    """Negative log probability of each whole text and its end."""
+    sums = np.zeros(len(values))
+    for lang in dict.fromkeys(langs):
+        mine = [k for k, m in enumerate(langs) if m == lang]
+        for parts in pieces([values[k] for k in mine]):
+            grams, sizes = windows(parts)
+            _, first, at = distinct(hashed(grams, np.uint64(0), 0))
+            total = np.concatenate(([0.0], np.cumsum(log_probability(grams[first], language_seed(lang), find)[at])))
+            for (row, _), s in zip(parts, np.diff(total[np.concatenate(([0], np.cumsum(sizes)))]), strict=True):
+                sums[mine[row]] -= s
+    return sums
+
+
+def requests(langs: list[str], values: list[str]) -> np.ndarray:
+    """Distinct hashes that text_scores() may ask for, sorted."""
+    found: list[np.ndarray] = []
+    for lang in dict.fromkeys(langs):
+        seed = language_seed(lang)
+        for parts in pieces([v for m, v in zip(langs, values, strict=True) if m == lang]):
+            grams, _ = windows(parts)
+            grams = grams[distinct(hashed(grams, np.uint64(0), 0))[1]]
+            found += [np.unique(hashed(grams[:, ORDER - k : end], seed, tag)) for k in range(1, ORDER + 1) for end, tag in ((ORDER, k), (ORDER - 1, k + 8))]
+            found.append(hashed(grams[:1, :0], seed, 0))
+            if sum(map(len, found)) > HELD:
+                found = [np.unique(np.concatenate(found))]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
 def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -203,62 +313,91 @@ def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:
 _NOT_CONTINUATION = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
 
 
-def with_model_names(docs: DataFrame, lang_col: str = "lang") -> tuple[DataFrame, list[str]]:
-    """docs with the column model: the language where it has OWN_MODEL_SHARE of the rows, else SHARED."""
-    counts = docs.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(lang_col).isNotNull())
-    total = docs.count()
-    own = [r[0] for r in counts.where(F.col("n") >= OWN_MODEL_SHARE * max(total, 1)).collect()]  # 1 / OWN_MODEL_SHARE rows at most
-    return docs.withColumn("model", F.when(F.col(lang_col).isin(own), F.col(lang_col)).otherwise(F.lit(SHARED)) if own else F.lit(SHARED)), sorted(own)
+def judge_texts(batch: list[pa.Array], find: Lookup) -> pa.RecordBatch:
+    """Rule counts and log perplexity per word of a batch of (doc_id, lang, text)."""
+    langs, values = batch[1].to_pylist(), batch[2].to_pylist()
+    rules = np.array([rule_counts(v.encode("utf-8", "replace")) for v in values], dtype=np.int64).reshape(-1, 5)
+    return pa.RecordBatch.from_arrays([batch[0], batch[1], *[pa.array(rules[:, i]) for i in range(5)], pa.array(text_scores(langs, values, find) / np.maximum(rules[:, 0], 1))], names=["doc_id", "lang", *RULES, "log_perplexity"])
 
 
-def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """Per row: rule counts, base_failed, log_perplexity (per byte), kept.
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    kept needs base_failed to be false and the log perplexity under the language's model to lie within
-    [median - below * s, median + above * s] of the texts of that model that pass the base rules; s is the
-    robust standard deviation. Null texts are empty: no words, so base_failed. Null and rare languages share
-    a model. Repeated rows and ids are judged one by one; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows, _ = with_model_names(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    # at most SYMBOLS ** ORDER codes for each of at most 1 / OWN_MODEL_SHARE + 1 models, however many texts there are
-    counted: dict[str, list] = {}
-    for batch in count_ngrams(rows.select("model", "text")).repartition(8, "model").groupBy("model").applyInArrow(_as_arrays, "model string, codes binary, counts binary").collect():
-        counted[batch["model"]] = [np.frombuffer(batch["codes"], dtype=np.int32), np.frombuffer(batch["counts"], dtype=np.int64)]
-    models = spark.sparkContext.broadcast({m: KneserNey(*x) for m, x in counted.items()})
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SYMBOLS**ORDER, dtype=np.float32)  # log probabilities of the codes of one block
+
+def score(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, lang, RULES, log_perplexity) of rows (doc_id, lang, text) under a trained model's entries."""
+    packed, bits, n = shards(entries)
+    fields = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{c} long' for c in RULES)}, log_perplexity double"
+    if n * ENTRY <= BROADCAST_BYTES:  # the size is checked
+        arrays = sorted(packed.collect(), key=lambda r: r["shard"])
+        keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in arrays] or [np.zeros(0, dtype=np.uint64)])
+        numbers = np.concatenate([np.frombuffer(r["numbers"], dtype=np.float32) for r in arrays] or [np.zeros(0, dtype=np.float32)])
+        model = rows.sparkSession.sparkContext.broadcast((keys, numbers))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = lookup(*model.value)
+            for batch in batches:
+                yield judge_texts(batch.columns, find)
+
+        return rows.mapInArrow(run, fields)
+    # blocks of texts in the order of arrival, written once, so that both of their uses see the same
+    number = F.floor(F.monotonically_increasing_id() / BLOCK_TEXTS)
+    placed = staged(rows.withColumn("block", number.cast("long")), "perplexity-blocks")
+
+    def ask(group: pa.Table) -> pa.Table:
+        wanted = requests(group.column("lang").to_pylist(), group.column("text").to_pylist())
+        own = wanted >> np.uint64(64 - bits) if bits else np.zeros(len(wanted), dtype=np.uint64)
+        cuts = np.split(wanted, np.flatnonzero(np.diff(own)) + 1)
+        return pa.table({"shard": pa.array([int(x[0] >> np.uint64(64 - bits)) if bits else 0 for x in cuts if len(x)], type=pa.int64()), "block": pa.array([group.column("block")[0].as_py()] * sum(1 for x in cuts if len(x)), type=pa.int64()), "wanted": pa.array([x.tobytes() for x in cuts if len(x)], type=pa.binary())})
+
+    asked = placed.groupBy("block").applyInArrow(ask, "shard long, block long, wanted binary")
+    # the shard's arrays come first, then one request after another passes by
+    both = packed.select("shard", F.lit(-1).cast("long").alias("block"), "keys", "numbers").unionByName(asked.select("shard", "block", F.col("wanted").alias("keys"), F.lit(None).cast("binary").alias("numbers")))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = None
         for batch in batches:
-            values, names = texts(batch.column(1)), batch.column(2).to_pylist()
-            sums, counts = np.zeros(len(values)), np.zeros(len(values))
-            for model in dict.fromkeys(names):
-                mine = [k for k, m in enumerate(names) if m == model]
-                for _, parts in blocks([values[k] for k in mine]):
-                    code, ends = codes([p for _, p in parts])
-                    found = np.unique(code)
-                    table[found] = models.value[model].log_probability(found)
-                    total = np.concatenate(([0.0], np.cumsum(table[code], dtype=np.float64)))[ends]
-                    for (row, part), s in zip(parts, np.diff(total, prepend=0.0), strict=True):
-                        sums[mine[row]] += s
-                        counts[mine[row]] += len(part) + 1
-            rules = np.array([rule_counts(v) for v in values], dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rules[:, i]) for i in range(5)], pa.array(-sums / np.maximum(counts, 1))], names=["doc_id", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
-
-    fields = f"doc_id {kind}, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = staged(rows.select("doc_id", "text", "model").mapInArrow(score, fields), "perplexity")
-    scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    middle = scored.where(~F.col("base_failed")).groupBy("model").agg(F.percentile_approx("log_perplexity", [0.16, 0.5, 0.84], 10000).alias("q"))
-    spread = F.greatest((F.element_at("q", 3) - F.element_at("q", 1)) / 2, F.lit(LEAST_SPREAD))
-    bands = middle.select("model", (F.element_at("q", 2) - below * spread).alias("low"), (F.element_at("q", 2) + above * spread).alias("high"))
-    # a row per model, at most 1 / OWN_MODEL_SHARE + 1
-    judged = scored.join(F.broadcast(bands), "model", "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", F.col("model").alias("lm_model"))
+            for block, keys, numbers in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                wanted = np.frombuffer(keys, dtype=np.uint64)
+                if block < 0:
+                    find = lookup(wanted, np.frombuffer(numbers, dtype=np.float32))
+                    continue
+                value, hit = find(wanted) if find else (np.zeros(0), np.zeros(len(wanted), dtype=bool))
+                yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int64()), pa.array([wanted[hit].tobytes()], type=pa.binary()), pa.array([value[hit].astype(np.float32).tobytes()], type=pa.binary())], names=["block", "keys", "numbers"])
+
+    # a shard that no entry has answers nothing; each partition holds one shard's requests
+    answers = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", "block").mapInArrow(answer, "block long, keys binary, numbers binary")
+
+    def judge(_, texts_: pa.Table, answered: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in answered.column("keys").to_pylist()] or [np.zeros(0, dtype=np.uint64)])
+        numbers = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in answered.column("numbers").to_pylist()] or [np.zeros(0, dtype=np.float32)])
+        at = np.argsort(keys)
+        columns = [texts_.column(c).combine_chunks() for c in ("doc_id", "lang", "text")]
+        return pa.Table.from_batches([judge_texts(columns, lookup(keys[at], numbers[at]))])
+
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, fields)
 
 
-def _as_arrays(group: pa.Table) -> pa.Table:
-    """The counts of one model as two arrays; at most SYMBOLS ** ORDER rows."""
-    at = np.argsort(code := group.column("code").to_numpy())
-    return pa.table({"model": [group.column("model")[0].as_py()], "codes": [code[at].astype(np.int32).tobytes()], "counts": [group.column("n").to_numpy()[at].astype(np.int64).tobytes()]})
+def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """Per row: rule counts, base_failed, log_perplexity (per word), kept and the bounds of the band.
+
+    kept needs base_failed to be false and the log perplexity under the language's model to lie within the
+    language's band [m - below * s / sqrt(n), m + above * s / sqrt(n)], where n is the number of words, m the
+    median of the texts of that language that pass the base rules, and s the robust standard deviation of
+    their (log_perplexity - m) * sqrt(n): the mean over a longer text varies less. Every language has its own model and bands, whatever its share of the rows;
+    texts with a null language share those of the empty name. Null texts are empty: no words, so base_failed.
+    Repeated rows and ids are judged one by one; an empty table gives an empty result; other columns are not
+    read.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scored = staged(score(rows, train(rows.select("lang", "text"))), "perplexity")
+    scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    passing = scored.where(~F.col("base_failed"))
+    middle = passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
+    away = passing.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx((F.col("log_perplexity") - F.col("middle")) * root, [0.16, 0.84], 10000).alias("q"))
+    spread = (F.element_at("q", 2) - F.element_at("q", 1)) / 2
+    bands = away.select("lang", "middle", F.when(spread > 0, spread).otherwise(F.lit(EQUAL_SPREAD)).alias("spread"))
+    judged = scored.join(bands, "lang", "left")  # a row per language
+    judged = judged.withColumns({"low": F.col("middle") - below * F.col("spread") / root, "high": F.col("middle") + above * F.col("spread") / root})
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return judged.select("doc_id", *RULES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")

@@ -234,15 +234,68 @@ def test_rule_counts(spark, sf):
         assert r.base_failed == (len(words) < 50 or 100 * repeat > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
-def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(0)
-    text = bytes(rng.choice(list(b"abc  d"), 3000).astype(np.uint8))
-    code, n = np.unique(perplexity.codes([text])[0], return_counts=True)
-    model = perplexity.KneserNey(code, n)
-    for context in (0, int(code[5]) // perplexity.SYMBOLS, 48**3 - 1, 12345):
-        every = context * perplexity.SYMBOLS + np.arange(perplexity.SYMBOLS)
-        assert abs(np.exp(model.log_probability(every)).sum() - 1) < 1e-3
-    assert (np.diff(model.keys.astype(object)) > 0).all()
+def plain_kneser_ney(texts):
+    """Probability of a code point after a context by dictionaries and recursion, from the definition."""
+    order, edge = perplexity.ORDER, perplexity.EDGE
+    counts = {order: Counter()}
+    for t in texts:
+        whole = edge * (order - 1) + t + edge
+        counts[order].update(whole[i : i + order] for i in range(len(whole) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {}
+    for k, table in counts.items():
+        n = [sum(c == i for c in table.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        cut[k] = [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i - 0.01) for i in (1, 2, 3))] if min(n[1:]) else [0, 0.5, 0.75, 0.9]
+    contexts = {k: {} for k in counts}
+    for k, table in counts.items():
+        for g, c in table.items():
+            contexts[k].setdefault(g[:-1], []).append((g, c))
+
+    def p(context, sign):
+        k = len(context) + 1
+        below = p(context[1:], sign) if context else 1 / (len(counts[1]) + 1)
+        if context not in contexts[k]:
+            return below
+        total = sum(c for _, c in contexts[k][context])
+        entries = {g: c - cut[k][min(c, 3)] for g, c in contexts[k][context] if k < order or c >= perplexity.LEAST_COUNT}
+        return entries.get(context + sign, 0) / total + max(1 - sum(entries.values()) / total, 1e-9) * below
+
+    return p
+
+
+def test_kneser_ney_equals_a_plain_version(spark, monkeypatch):
+    rng = random.Random(0)
+    made = {lang: ["".join(rng.choices("abcü d\U0001f600", k=rng.randint(0, 120))) for _ in range(12)] for lang in ("en", "")}
+    rows = [(k, t, lang) for lang, texts in made.items() for k, t in enumerate(texts)]
+    entries = {r["hash"]: r["value"] for r in perplexity.train(spark.createDataFrame(rows, "id long, text string, lang string").select("lang", "text")).collect()}
+    keys = np.array(sorted(k % (1 << 64) for k in entries), dtype=np.uint64)
+    find = perplexity.lookup(keys, np.array([entries[int(k)] for k in keys.view(np.int64)], dtype=np.float32))
+    signs = sorted({c for texts in made.values() for t in texts for c in t} | {perplexity.EDGE})
+    for lang, texts in made.items():
+        p = plain_kneser_ney(texts)
+        seed = perplexity.language_seed(lang)
+        for context in ("\0\0\0\0", "ab d", "zzzz", "\0\0\0a", texts[3][:4]):
+            grams = np.array([[ord(c) for c in context + s] for s in [*signs, "?"]], dtype=np.uint32)
+            found = np.exp(perplexity.log_probability(grams, seed, find))
+            assert np.allclose(found, [p(context, s) for s in [*signs, "?"]], rtol=1e-4)
+            assert abs(found.sum() - 1) < 1e-3  # the last one is any other code point
+        for size in (1 << 18, 9):
+            monkeypatch.setattr(perplexity, "BLOCK_CHARS", size)
+            scores = perplexity.text_scores([lang] * len(texts), texts, find)
+            for t, s in zip(texts, scores, strict=True):
+                whole = "\0" * 4 + t + "\0"
+                assert abs(s + sum(np.log(p(whole[i : i + 4], whole[i + 4])) for i in range(len(t) + 1))) < 1e-2
+
+
+def test_shards_give_the_scores_of_the_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: (round(r.log_perplexity, 6), r.kept) for r in perplexity.perplexity_rules(docs).collect()}
+    monkeypatch.setattr(perplexity, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(perplexity, "SHARD_ENTRIES", 9000)
+    monkeypatch.setattr(perplexity, "BLOCK_TEXTS", 30)
+    assert {r.doc_id: (round(r.log_perplexity, 6), r.kept) for r in perplexity.perplexity_rules(docs).collect()} == want
 
 
 def test_perplexity_bands(spark, odd):
@@ -252,6 +305,10 @@ def test_perplexity_bands(spark, odd):
     junk = [(900 + k, " ".join("".join(rng.choice("qxzjvkw0987#%&") for _ in range(7)) for _ in range(80)), "en") for k in range(3)]
     rows = {r.doc_id: r for r in perplexity.perplexity_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
     assert all(rows[k].kept for k, _, _ in clean) and not any(rows[k].kept for k, _, _ in junk)
+    assert all(rows[k].log_perplexity > rows[k].high for k, _, _ in junk)
+    rare = [(2000 + k, " ".join(rng.choice(words) for _ in range(200)), f"l{k % 3}") for k in range(30)]  # languages of ten texts each
+    rows = {r.doc_id: r for r in perplexity.perplexity_rules(spark.createDataFrame(clean + rare, "doc_id long, text string, lang string")).collect()}
+    assert len({rows[k].low for k, _, _ in rare}) > 1 and all(rows[k].kept for k, _, _ in rare)
     assert perplexity.perplexity_rules(odd).count() == odd.count()
     assert perplexity.perplexity_rules(odd.limit(0)).count() == 0
 
