@@ -4,10 +4,15 @@ A legal chat is an optional system turn, then user and assistant turns in altern
 assistant. Repair walks the turns through this automaton and for each may keep it, relabel it or merge it
 into the turn before, after inserting empty turns; dynamic programming finds the cheapest way.
 
+Of ways of equal cost the first counts: that which takes the earlier move, in the order of moves(), at the first
+turn where they differ. It is found by going forward from the start along moves that keep the cost of the rest
+lowest, so it does not depend on where a chat is cut.
+
 The cheapest cost from each state to each state over a run of turns is a small matrix, and runs compose by
-the (min, +) product. So turns are sorted over the whole cluster and cut into blocks of bounded size; each
-block gives its matrix, the matrices of a chat fix the state at which each of its blocks begins, and every
-block is then repaired by itself. No task holds a whole chat.
+the (min, +) product. So turns are sorted over the whole cluster and cut into blocks of bounded size. A block that
+holds a whole chat, as nearly all do, is repaired by itself. Of the others each gives its matrix; from a chat's end
+backwards these give the cost of the rest behind each block, with which each block tells where it leads from each
+state, and so where the next one begins. No task holds a whole long chat.
 """
 
 from __future__ import annotations
@@ -70,6 +75,7 @@ def moves(state: int, role: int | None) -> list[tuple[int, int, str, tuple[int,
 MOVES = {(s, r): moves(s, r) for s in range(STATES) for r in (None, 0, 1, 2)}
 #: Cost and inserted roles that end a chat from each state; a chat without turns is left empty.
 ENDING = {s: (0, ()) if s in (2, START) else (ROUTES[s][2][0] + INSERT, (*ROUTES[s][2][1], 2)) for s in range(STATES)}
+ENDING_COSTS = [ENDING[s][0] for s in range(STATES)]
 
 
 def cost_matrix(roles: list[int | None]) -> list[int]:
@@ -89,30 +95,22 @@ def cost_matrix(roles: list[int | None]) -> list[int]:
     return rows
 
 
-def repair(roles: list[int | None], begin: int, end_costs: list[int]) -> list[tuple[int, str, tuple[int, ...]]]:
-    """(role, action, inserted roles) per turn on the cheapest way from begin; end_costs price the last state.
+def costs_to_go(roles: list[int | None], end_costs: list[int]) -> list[list[int]]:
+    """Cheapest cost from each state before each turn to the chat's end; end_costs price the states behind the last."""
+    after = [end_costs]
+    for role in reversed(roles):
+        after.append([min(c + after[-1][new] for c, new, _, _ in MOVES[state, role]) for state in range(STATES)])
+    return after[::-1]
 
-    Of ways of equal cost, the one that is found first going backwards wins: lower states, then earlier moves.
-    """
-    table = [[FAR] * STATES]
-    table[0][begin] = 0
-    back = []
-    for role in roles:
-        cost, own = [FAR] * STATES, [None] * STATES
-        for state in range(STATES):
-            if table[-1][state] < FAR:
-                for c, new, action, path in MOVES[state, role]:
-                    if table[-1][state] + c < cost[new]:
-                        cost[new], own[new] = table[-1][state] + c, (state, action, path)
-        table.append(cost)
-        back.append(own)
-    state = min(range(STATES), key=lambda s: (table[-1][s] + end_costs[s], s))
-    out = []
-    for own in reversed(back):
-        before, action, path = own[state]
+
+def repair(roles: list[int | None], begin: int, end_costs: list[int]) -> list[tuple[int, str, tuple[int, ...]]]:
+    """(role, action, inserted roles) per turn on the first of the cheapest ways from begin."""
+    after = costs_to_go(roles, end_costs)
+    state, out = begin, []
+    for k, role in enumerate(roles):
+        _, state, action, path = min(MOVES[state, role], key=lambda m: m[0] + after[k + 1][m[1]])  # noqa: B023  (the first of equals)
         out.append((state, action, path))
-        state = before
-    return out[::-1]
+    return out
 
 
 def role_number(role: str | None) -> int | None:
@@ -121,29 +119,33 @@ def role_number(role: str | None) -> int | None:
 
 
 def turn_blocks(turns: DataFrame) -> DataFrame:
-    """Blocks of consecutive turns (conv_id, turn, role, text) in chat order: (conv_id, block, turns array)."""
+    """Blocks of consecutive turns (conv_id, turn, role, text) in chat order: (conv_id, block, whole, turns array).
+
+    whole: the block surely holds all turns of its chat, as other chats come before and after it in its partition.
+    """
     ordered = turns.dropDuplicates().repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
     item = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 40
         conv, held, size = None, [], 0
+        begun_here = False  # whether the chat's first turn is the first of this block
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([conv], type=pa.int64()), pa.array([block], type=pa.int64()), pa.array([held], type=pa.list_(item))], names=["conv_id", "block", "turns"])
+        def out(ended: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([conv], type=pa.int64()), pa.array([block], type=pa.int64()), pa.array([begun_here and ended]), pa.array([held], type=pa.list_(item))], names=["conv_id", "block", "whole", "turns"])
 
         for batch in batches:
             for conv_id, turn, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and (conv_id != conv or len(held) >= BLOCK_TURNS or size >= BLOCK_TEXT):
-                    yield out()
-                    block, held, size = block + 1, [], 0
+                    yield out(conv_id != conv)
+                    block, held, size, begun_here = block + 1, [], 0, conv_id != conv
                 conv = conv_id
                 held.append({"turn": turn, "role": role, "text": text})
                 size += len(text or "")
         if held:
-            yield out()
+            yield out(False)
 
-    return ordered.mapInArrow(run, "conv_id long, block long, turns array<struct<turn: long, role: string, text: string>>")
+    return ordered.mapInArrow(run, "conv_id long, block long, whole boolean, turns array<struct<turn: long, role: string, text: string>>")
 
 
 def repair_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
@@ -152,7 +154,7 @@ def repair_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) ->
     action is keep, relabel or merge; inserted lists the empty turns put in before it, and after a chat's last
     turn those that end it. cost is the whole chat's. The chat's text is its rendered parts in the order of
     position: each opens its turn (and closes the one before) unless it is merged into that, after a newline.
-    Turns are ordered by turn, role and text, nulls first; a repeated row is one turn. Unknown and null roles
+    Of repairs of equal cost the first counts (see above). Turns are ordered by turn, role and text, nulls first; a repeated row is one turn. Unknown and null roles
     are turns without a label, null texts are empty. A null conv_id is a chat like any other; an empty table
     gives an empty result; other columns are not read.
     """
@@ -165,33 +167,52 @@ def repair_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) ->
             costs = [cost_matrix([role_number(r) for r in roles]) for roles in listed]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(costs, type=pa.list_(pa.int64())), pa.array([len(x) for x in listed], type=pa.int64())], names=["conv_id", "block", "costs", "n"])
 
-    summary = blocks.select("conv_id", "block", F.col("turns.role").alias("roles")).mapInArrow(summarise, "conv_id long, block long, costs array<long>, n long")
+    parts = blocks.where("not whole")
+    summary = parts.select("conv_id", "block", F.col("turns.role").alias("roles")).mapInArrow(summarise, "conv_id long, block long, costs array<long>, n long")
 
-    def walk(table: pa.Table) -> pa.Table:
-        """Entry state, costs of leaving, first position and chat cost of each block of one chat."""
+    def backwards(table: pa.Table) -> pa.Table:
+        """Costs of leaving, first position and chat cost of each block of one chat."""
         rows = sorted(zip(*[table.column(c).to_pylist() for c in ("block", "costs", "n")], strict=True))
-        after = [[ENDING[s][0] for s in range(STATES)]]  # cheapest cost from each state to the chat's end
+        after = [ENDING_COSTS]  # cheapest cost from each state to the chat's end
         for _, m, _ in reversed(rows):
             after.append([min(m[STATES * s + t] + after[-1][t] for t in range(STATES)) for s in range(STATES)])
         after.reverse()
-        state, position, out = START, 0, []
-        for k, (block, m, n) in enumerate(rows):
-            out.append((block, state, after[k + 1], position, after[0][START], k + 1 == len(rows)))
-            state = min(range(STATES), key=lambda t: (m[STATES * state + t] + after[k + 1][t], t))
-            position += n
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "begin", "leaving", "position", "cost", "last"])
-
-    # a chat has a row of 16 numbers per block of turns here
-    entries = summary.groupBy("conv_id").applyInArrow(walk, "block long, begin long, leaving array<long>, position long, cost long, last boolean")
+        ahead = [sum(n for _, _, n in rows[:k]) for k in range(len(rows))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
+        out = [[b for b, _, _ in rows], after[1:], ahead, [after[0][START]] * len(rows), [False] * (len(rows) - 1) + [True]]
+        return pa.table([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=["block", "leaving", "position", "cost", "last"])
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state behind each block for each state in front of it."""
+        for batch in batches:
+            ends = [[repair([role_number(r) for r in roles], s, leaving)[-1][0] for s in range(STATES)] for roles, leaving in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ends, type=pa.list_(pa.int64()))], names=["conv_id", "block", "ends"])
+
+    def forwards(table: pa.Table) -> pa.Table:
+        """The state in which each block of one chat begins."""
+        state, begins = START, []
+        rows = sorted(zip(table.column("block").to_pylist(), table.column("ends").to_pylist(), strict=True))
+        for _, ends in rows:
+            begins.append(state)
+            state = ends[state]
+        return pa.table({"block": pa.array([b for b, _ in rows], type=pa.int64()), "begin": pa.array(begins, type=pa.int64())})
+
+    # a chat has a row of 16 numbers per block of turns here, and only chats of several blocks or at the edge of a partition
+    passed = staged(summary.groupBy("conv_id").applyInArrow(backwards, "block long, leaving array<long>, position long, cost long, last boolean"), "roles-leaving")
+    ends = parts.join(passed, "block").select("conv_id", "block", F.col("turns.role").alias("roles"), "leaving").mapInArrow(leads, "conv_id long, block long, ends array<long>")
+    begins = ends.groupBy("conv_id").applyInArrow(forwards, "block long, begin long")
     opening, content, closing = template
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv, turns_, begin, leaving, position, cost, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                labels = [role_number(t["role"]) for t in turns_]
+                if begin is None:  # a whole chat
+                    begin, leaving, position, last = START, ENDING_COSTS, 0, True
+                    cost = costs_to_go(labels, leaving)[0][START]
                 state = begin
-                way = repair([role_number(t["role"]) for t in turns_], begin, leaving)
+                way = repair(labels, begin, leaving)
                 for k, (t, (new, action, path)) in enumerate(zip(turns_, way, strict=True)):
                     text = t["text"] or ""
                     if action == "merge":
@@ -209,8 +230,10 @@ def repair_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) ->
             kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=["conv_id", "position", "turn", "role", "action", "new_role", "inserted", "cost", "rendered"])
 
-    joined = blocks.join(entries, "block").select("conv_id", "turns", "begin", "leaving", "position", "cost", "last")
-    return joined.mapInArrow(render, "conv_id long, position long, turn long, role string, action string, new_role string, inserted string, cost long, rendered string")
+    columns = ["conv_id", "turns", "begin", "leaving", "position", "cost", "last"]
+    cut = parts.join(passed, "block").join(begins, "block").select(*columns)
+    none = [F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in columns[2:]]
+    return blocks.where("whole").select("conv_id", "turns", *none).unionByName(cut).mapInArrow(render, "conv_id long, position long, turn long, role string, action string, new_role string, inserted string, cost long, rendered string")
 
 
 def whole_chats(repaired: DataFrame) -> DataFrame:

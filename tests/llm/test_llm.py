@@ -163,6 +163,42 @@ def test_role_repair_is_cheapest(spark, monkeypatch):
             assert [x for _, b in said for x in b.split("\n") if x] == [f"{k}-{t}" for t in range(len(turns))]
 
 
+def first_cheapest(turns):
+    """Brute force over all ways in the order of their moves: the first one of least cost."""
+    best, kept = roles.FAR, None
+
+    def go(k, state, cost, way):
+        nonlocal best, kept
+        if k == len(turns):
+            if cost + roles.ENDING[state][0] < best:
+                best, kept = cost + roles.ENDING[state][0], way
+            return
+        for c, new, action, path in roles.moves(state, turns[k]):
+            go(k + 1, new, cost + c, [*way, (roles.ROLES[new], action, path)])
+
+    go(0, roles.START, 0, [])
+    return kept
+
+
+@pytest.mark.parametrize(("block", "partitions"), [(512, 1), (1, 3), (2, 211), (3, 4)])
+def test_ties_do_not_depend_on_cuts(spark, monkeypatch, block, partitions):
+    rng = random.Random(9)
+    names = [None, "user", "assistant", "system"]
+    chats = {k: [rng.choice(names) for _ in range(rng.randint(1, 6))] for k in range(80)} | {90: ["user"] + [None] * 4}
+    rows = [(k, t, r, f"{k}-{t}") for k, turns in chats.items() for t, r in enumerate(turns)]
+    monkeypatch.setattr(roles, "BLOCK_TURNS", block)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = roles.repair_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, turns in chats.items():
+        mine = sorted((r for r in out if r.conv_id == k), key=lambda r: r.position)
+        want = first_cheapest([roles.role_number(x) for x in turns])
+        assert [(r.new_role, r.action) for r in mine] == [w[:2] for w in want], k
+
+
 def test_role_repair_edges(spark):
     df = spark.createDataFrame([(None, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b")], "conv_id long, turn long, role string, text string")
     out = roles.repair_chats(df).collect()
