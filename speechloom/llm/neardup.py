@@ -11,7 +11,9 @@ digest. Classes that share a band are candidates, handled so that large groups s
    linked with the first pivot's component are compared with all others, again on the full sets.
 
 Comparing the rest with all goes by tiles of bounded size, which give ties or links but never their pairs.
-Everything is keyed by class representatives; sets, links and components stay in Spark tables.
+Everything is keyed by classes; sets, links and components stay in Spark tables. A class's node number is the
+smallest id of its documents. Where rows of one id have different texts, only one of their classes has that
+number and the others a number made of their digest, above all ids; the id's rows tie them all.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Pairs of which fewer of the signature values agree are not compared: at a similarity of 0.8 that is over
 #: five standard deviations below the mean.
 LEAST_AGREEMENT = 0.62
-#: Members of one side of a tile.
-TILE = 1024
+#: Members of one side of a tile, and their shingles if sets are compared (but one set at least).
+TILE, TILE_SHINGLES = 1024, 1 << 22
+#: A group with 1 / HEAVY of all rows is heavy: there are at most HEAVY of these, which bounds what is broadcast.
+HEAVY = 10_000
+#: Node numbers of classes whose smallest id another class has begin here; ids are smaller.
+SECOND = 1 << 62
 #: Edges that one task joins; more are contracted in rounds first.
 SMALL_EDGES = 200_000
 #: Pivots of a cluster.
@@ -114,7 +120,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 values = signatures([sets[k] for k in chosen])
                 keys = band_keys(values).astype(np.int64)
                 for k, s, b, v in zip(chosen, (sets[k] for k in chosen), keys, values.astype(np.uint8), strict=True):
-                    high[k], low[k] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
+                    high[k], low[k] = digest(s)
                     bands[k], agree[k] = b, v.tobytes()
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(high.astype(np.int64)), pa.array(low.astype(np.int64)), pa.array(bands, type=pa.list_(pa.int64())), pa.array(agree, type=pa.binary())], names=["doc_id", "n_shingles", "high", "low", "bands", "agree"])
@@ -127,16 +133,40 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def digest(hashes: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that name a set of hashes."""
+    return mix(hashes).sum(dtype=np.uint64), mix(hashes ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the documents named in nodes(node); of rows that repeat an id, the largest text counts."""
+    """(node, hashes): the sets of the classes in nodes (node, least_id, high, low, n_shingles), from a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_hashes(texts(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "hashes"])
+            names = np.array([digest(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["least_id", "high", "low", "hashes"])
+
+    ids = nodes.select(F.col("least_id").alias("doc_id")).distinct()
+    found = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "least_id long, high long, low long, hashes binary")
+    # rows that repeat an id and a set are one
+    return found.join(nodes, ["least_id", "high", "low"]).groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], *wanted: str) -> DataFrame:
+    """rows with the columns `wanted` of their class, by an equi-join on keys; classes have size, their number of rows.
 
-    found = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, hashes binary")
-    return found.groupBy("node").agg(F.max("hashes").alias("hashes"))
+    Rows of heavy classes are joined by a broadcast of these classes, at most HEAVY, so that copies of one text
+    do not meet in one task.
+    """
+    total = classes.agg(F.sum("size").alias("total"))
+    marked = classes.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("size") * HEAVY >= F.col("total"))  # one row of totals
+    own = [F.col(c).alias(f"__{c}") for c in wanted]
+    near = rows.join(F.broadcast(marked.where("heavy").select(*keys, *own, F.lit(True).alias("__heavy"))), keys, "left")
+    far = near.where("__heavy is null").select(*rows.columns).join(marked.where("not heavy").select(*keys, *own), keys)
+    out = [*rows.columns, *[f"__{c}" for c in wanted]]
+    both = near.where("__heavy").select(*out).unionByName(far.select(*out))
+    return both.withColumnsRenamed({f"__{c}": c for c in wanted})
 
 
 def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -199,18 +229,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Texts without
     words, and null texts, have an empty set and link with nothing. A row with a null id is no document that
-    others could name: its component is null and it is kept. Rows that repeat an id are rows of one document
-    as far as links go. Empty tables give empty results; other columns are not read.
+    others could name: its component is null and it is kept. Rows that repeat an id are rows of one document:
+    what any of them is linked with is linked with all, but each row keeps its own n_shingles, and one without words
+    its own id as its component. Ids are below 2 ** 62. Empty tables give empty results; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = staged(sketch(rows, width), "neardup-sketch")
-    named = sketched.where(F.col("doc_id").isNotNull())
-    filled = named.where("n_shingles > 0")
-    class_of = filled.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("node"))
-    member = staged(filled.select("doc_id", "high", "low", "n_shingles").join(class_of, ["high", "low", "n_shingles"]).select("doc_id", "node", "n_shingles"), "neardup-members")
-    heads = filled.join(member.where("doc_id = node").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi")
-    heads = heads.groupBy(F.col("doc_id").alias("node"), "n_shingles").agg(F.first("bands").alias("bands"), F.first("agree").alias("agree"))
-    nodes = staged(heads, "neardup-nodes")
+    filled = sketched.where("doc_id is not null and n_shingles > 0")
+    key = ["high", "low", "n_shingles"]
+    sized = filled.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("agree").alias("agree"))
+    # of classes with one smallest id, the one with the smallest digest has it for its number
+    sized = staged(sized, "neardup-sized")
+    owner = sized.groupBy("least_id").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    other = F.col("first").isNotNull() & (F.col("first") != F.struct(*key))
+    numbered = sized.join(owner.drop("n"), "least_id", "left").withColumn("node", F.when(other, F.lit(SECOND) + F.shiftrightunsigned(F.xxhash64("high", "low"), 2)).otherwise(F.col("least_id")))
+    nodes = staged(numbered.drop("first"), "neardup-nodes")
+    links = class_links(rows, nodes, width, percent)
+    # rows of one id that are in several classes tie these
+    several = filled.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
+    member = staged(filled.select("doc_id", *key).join(several, "doc_id", "left_semi").join(nodes.select(*key, "node"), key).select("doc_id", "node"), "neardup-several")
+    tied = member.join(member.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    labels = components(links.unionByName(tied), "neardup-all")
+    placed = staged(relabelled(nodes.select("node"), labels).join(nodes.select("node", *key, "size"), "node"), "neardup-placed-classes")
+    # rows that are not in a class are alone
+    found = with_class(filled.select("doc_id", *key), placed, key, "component").select("doc_id", "n_shingles", "component")
+    alone = sketched.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = found.unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def class_links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join all classes which links connect; nodes (node, least_id, high, low, n_shingles, bands, agree)."""
     buckets = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = staged(buckets.join(shared, "band"), "neardup-buckets")
@@ -218,32 +267,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     labels = buckets.select("node").distinct().select("node", F.col("node").alias("component"))
     ties = staged(pivot_ties(buckets, agree, percent), "neardup-ties")
     labels = staged(relabelled(labels, components(ties, "neardup-tied")), "neardup-labels")
-    placed = with_rest(buckets.join(labels, "node"), "band")
+    placed = with_rest(buckets.join(labels, "node"), "band", F.lit(0))
     others = tiles(placed.where("rest_size > 0").join(agree, "node"), "band").groupBy("key", "i", "j").applyInArrow(tie_tile(percent), "a long, b long")
     # edges between the components so far, which hold the nodes
     whole = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(staged(others.distinct(), "neardup-others")), "neardup-clusters")
     clusters = whole.select("node", F.col("component").alias("cluster"))
-    sets = full_sets(rows, clusters.select("node"), width)
-    held = staged(clusters.join(nodes.select("node", F.col("n_shingles").alias("n"), "agree"), "node").join(sets, "node"), "neardup-held")
-    links = staged(pivot_links(held, percent), "neardup-links")
+    known = nodes.join(clusters, "node").select("node", "cluster", "least_id", "high", "low", F.col("n_shingles").alias("n"), "agree")
+    sets = full_sets(rows, known.select("node", "least_id", "high", "low"), width)
+    held = staged(known.select("node", "cluster", "n", "agree").join(sets, "node"), "neardup-held")
+    slim = held.select("cluster", "node", "n")
+    sizes = staged(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * (TILE / TILE_SHINGLES))).alias("size")), "neardup-cluster-sizes")
+    links = staged(pivot_links(held, sizes, percent), "neardup-links")
     labels = relabelled(held.select("node"), components(links, "neardup-linked"))
-    slim = held.select("cluster", "node", "n").join(labels, "node")
-    sized = slim.join(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
-    placed = with_rest(sized, "cluster").where("rest_size > 0").join(held.select("node", "agree", "hashes"), "node")
+    placed = with_rest(slim.join(labels, "node").join(sizes.select("cluster", "size"), "cluster"), "cluster", F.col("n") * (TILE / TILE_SHINGLES))
+    placed = placed.where("rest_size > 0").join(held.select("node", "agree", "hashes"), "node")
     more = tiles(staged(placed, "neardup-placed"), "cluster").groupBy("key", "i", "j").applyInArrow(link_tile(percent), "a long, b long")
-    links = links.unionByName(staged(more.distinct(), "neardup-more"))
-    labels = components(links, "neardup-all")
-    # a document of several rows with different texts ties their classes together
-    split = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
-    tied = split.select(F.col("x").alias("a"), F.col("y").alias("b")) if split.limit(1).count() else None
-    if tied is not None:
-        full = member.join(split.select("doc_id"), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).unionByName(tied)
-        labels = components(links.unionByName(full.where("a <> b").distinct()), "neardup-split")
-    final = member.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    by_id = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return links.unionByName(staged(more.distinct(), "neardup-more"))
 
 
 def rank() -> Column:
@@ -271,11 +310,21 @@ def pivot_ties(buckets: DataFrame, agree: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def pivot_links(held: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets."""
+def pivot_links(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets.
+
+    The pivots of a heavy cluster are repeated, so that each copy of them meets at most 1 / HEAVY of all classes.
+    """
     w = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
-    chosen = held.select("cluster", F.col("node").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"), F.row_number().over(w).alias("k")).where(F.col("k") <= PIVOTS).drop("k")
-    both = held.join(chosen, "cluster").where((F.col("node") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"), percent)).select("node", "b", "hashes", "y")
+    chosen = held.select("cluster", "node", F.row_number().over(w).alias("k")).where(F.col("k") <= PIVOTS).select("cluster", "node")
+    total = sizes.agg(F.sum("members").alias("total"))
+    heavy = sizes.crossJoin(F.broadcast(total)).where(F.col("members") * HEAVY >= F.col("total"))  # one row of totals
+    heavy = F.broadcast(heavy.select("cluster", F.ceil(F.col("members") * HEAVY / F.col("total")).cast("int").alias("parts")))  # at most HEAVY rows
+    parts = F.coalesce("parts", F.lit(1))
+    pivots = chosen.join(held.select("node", F.col("n").alias("m"), F.col("hashes").alias("y")), "node").join(heavy, "cluster", "left")
+    pivots = pivots.select("cluster", F.col("node").alias("b"), "m", "y", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = held.join(heavy, "cluster", "left").select("cluster", "node", "n", "hashes", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    both = dealt.join(pivots, ["cluster", "part"]).where((F.col("node") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"), percent)).select("node", "b", "hashes", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,11 +340,14 @@ def pivot_links(held: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def with_rest(members: DataFrame, key: str) -> DataFrame:
-    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group."""
+def with_rest(members: DataFrame, key: str, weight: Column) -> DataFrame:
+    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group.
+
+    rest_size is the number of the rest, or the sum of their weights if that is more.
+    """
     main = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"))
     marked = members.join(main, key).withColumn("rest", F.col("component") != F.col("main")).drop("main")
-    return marked.join(marked.groupBy(key).agg(F.count_if("rest").alias("rest_size")), key)
+    return marked.join(marked.groupBy(key).agg(F.greatest(F.count_if("rest"), F.ceil(F.sum(F.when(F.col("rest"), weight).otherwise(F.lit(0))))).alias("rest_size")), key)
 
 
 def tiles(placed: DataFrame, key: str) -> DataFrame:

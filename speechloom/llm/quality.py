@@ -98,12 +98,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
 def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int, label_col: str) -> DataFrame:
     """At most max_train labelled texts, chosen by a hash of their ids: (doc_id, text, label).
 
-    Null labels and ids are left out; where an id has several labels, the largest counts.
+    Null labels and ids are left out; where an id has several labels, the largest counts. Where more rows than
+    max_train are left because ids repeat, those first in the order of ids' and texts' hashes are taken; equal rows
+    are as good as each other. Empty tables give no sample, other columns are not read.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & usable)
     few = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # max_train rows of 12 bytes: the broadcast has a fixed bound
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").limit(max_train)
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(max_train)
 
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
@@ -121,8 +124,8 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     return np.frombuffer(row["weights"], dtype=np.float32), row["bias"]
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None) -> DataFrame:
-    """Probability of label 1 for every whole text, beside the columns named in keep.
+def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Probability of label 1 for every whole text, in the column `name` beside the columns named in keep.
 
     Null and empty texts have no n-grams but the one of two spaces that frames them; they get a score like
     any text. Repeated rows and null ids are scored one by one.
@@ -148,6 +151,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[
                 sums += np.bincount(rows[owner], weights=table[found], minlength=len(values))
                 counts += np.bincount(rows[owner], minlength=len(values))
             score = 1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + base, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
 
-    return docs.select(*keep, *[] if "text" in keep else ["text"]).mapInArrow(run, f"{fields}, score double")
+    return docs.select(*keep, *[] if "text" in keep else ["text"]).mapInArrow(run, f"{fields}, `{name}` double")

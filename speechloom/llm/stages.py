@@ -1,4 +1,9 @@
-"""The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir) and returns documents, the last one pieces."""
+"""The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir) and returns documents, the last one pieces.
+
+All of them work row by row on the column text and the id doc_id: a row with a null id, and each of the rows that
+repeat an id, is a document of its own. Null texts are empty and stay null where a text is returned. Further columns
+of docs, whatever their names, are passed on as they are. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom.llm import decontaminate, neardup, packing, personal, quality
-from speechloom.llm.common import table
+from speechloom.llm.common import fresh, staged, table
 from speechloom.llm.queries import tokenizer_file
 
 #: Documents whose probability of label 1 is lower are rejected.
@@ -14,34 +19,47 @@ LEAST_QUALITY = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on a bounded sample of labelled ones, does not reject."""
+    """Documents that the quality classifier, trained on a bounded sample of labelled ones, does not reject.
+
+    Without labels, or with one kind only, every text gets the same score, and all stay or go.
+    """
     sample = quality.sample_labelled(docs, table(spark, sf_dir, "labels"), F.lit(True), quality.MAX_TRAIN, "quality")
-    scored = quality.score_quality(docs, *quality.fit(sample), keep=docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    name = fresh(docs, "score")
+    scored = quality.score_quality(docs, *quality.fit(sample), keep=docs.columns, name=name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates: the one with the smallest id, a null id being the largest.
+
+    Texts without words are near-duplicates of nothing and stay. Rows of one id with different texts are different
+    documents; of equal rows one stays.
+    """
+    row = fresh(docs, "row")
+    # the rows are numbered and written once, so that a row has one number wherever it is read
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "stages-rows")
+    found = neardup.near_duplicates(numbered, width=5, percent=80, id_col=row)
+    groups = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("__group")).join(numbered.select(row, F.col("doc_id").alias("__id")), row)
+    first = groups.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row)).alias("first"))
+    return numbered.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is confirmed."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
-    named = docs.withColumn("__name", name)
-    leaks = decontaminate.find_leaks(named, table(spark, sf_dir, "benchmark"), id_col="__name").select(F.col("doc_id").alias("__name")).distinct()
-    return named.join(leaks, "__name", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark item is confirmed. Rows with equal id and text share their fate."""
+    name = fresh(docs, "name")
+    key = F.concat_ws("#", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    named = docs.withColumn(name, key)
+    leaks = decontaminate.find_leaks(named, table(spark, sf_dir, "benchmark"), id_col=name).select(F.col("doc_id").alias(name)).distinct()
+    return named.join(leaks, name, "left_anti").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind in brackets."""
+    """Documents with personal data replaced by its kind in brackets; n_chars follows."""
     return personal.mask_personal_data(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of all documents that are left."""
+    """Pieces of packed sequences of all documents that are left; an empty text is the end id alone."""
     return packing.pack_documents(docs, tokenizer_file(), capacity=2048, end_id=1)
 
 

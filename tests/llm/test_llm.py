@@ -402,6 +402,37 @@ def test_near_duplicate_tables(spark, sf, odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e f g h"), (5, None), (1, None), (6, "p q r s"), (6, "p q r s"), (6, "t u v w")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 6, True)}
+    rng = random.Random(21)
+    words = [f"W{k}" for k in range(300)]
+    texts = family(rng, words, 40, 6) + family(rng, words, 40, 6) + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(40)]
+    rows = [(rng.randrange(60), t) for t in texts]  # about half of the ids repeat
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
+    single = exact_components([(k, t) for k, (_, t) in enumerate(rows)], 4, 80)
+    least = {d: d for d, _ in rows}
+    for _ in rows:  # ids tie their rows, texts their groups
+        for k, (d, _) in enumerate(rows):
+            low = min(least[d], *(least[rows[j][0]] for j in range(len(rows)) if single[j][1] == single[k][1]))
+            least[d] = low
+    assert {(r.doc_id, r.component_id) for r in found} == set(least.items())
+
+
+def test_heavy_classes_are_joined_like_others(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"W{k}" for k in range(300)]
+    rows = list(enumerate(["one text of many copies and more"] * 50 + family(rng, words, 40, 5) + ["two words"] * 3, 5))
+    want = exact_components(rows, 4, 80)
+    for heavy in (10_000, 4, 1):
+        monkeypatch.setattr(neardup, "HEAVY", heavy)
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == want
+
+
 def test_min_and_max_estimate_the_similarity():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
@@ -585,7 +616,13 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_pipeline_edges(spark, sf, odd):
-    rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "name", "label", "lm", "hash", "__group", "__id"))])  # names that clash
+    for name, stage in stages.STAGES[:-1]:
+        assert stage(spark, rows, sf).columns == rows.columns, name
+    texts = [f"{w} " * 3 + "and so on for a while" for w in ("one", "two")]
+    two = spark.createDataFrame([(7, texts[0], None, None, 1), (7, texts[1], None, None, 2), (7, texts[0], None, None, 1), (None, texts[1], None, None, 3), (None, "", None, None, 4), (8, None, None, None, 5)], DOC)
+    left = stages.drop_near_duplicates(spark, two, sf).collect()
+    assert sorted(r.n_chars for r in left) == [1, 2, 4, 5]
     for name, stage in stages.STAGES:
         assert stage(spark, rows.limit(0), sf).count() == 0, name
         assert stage(spark, rows, sf).count() > 0, name
