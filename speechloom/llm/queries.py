@@ -36,7 +36,9 @@ def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.filter_urls(table(spark, sf_dir, "pages"), urlrules.HOST_PATH_RULES, urlrules.PATTERN_RULES)
+    rules = urlrules.listed(spark, ["verdict", "rule"], urlrules.HOST_PATH_RULES)
+    patterns = urlrules.listed(spark, ["pattern"], [(p,) for p in urlrules.PATTERN_RULES])
+    return urlrules.filter_urls(table(spark, sf_dir, "pages"), rules, patterns)
 
 
 def op7_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,42 @@
 """URL filters: pattern rules, each indexed by its rarest literal token. DataFrame functions only.
 
-A URL's tokens look up the rules indexed under them, and only those candidates run their regular
-expression. Work is done once per distinct URL; the rules are a parameter and their number is checked
-before they are broadcast.
+A URL's tokens look up the rules indexed under them, and only those candidates run their regular expression.
+Rules without a literal token that a URL must hold as a whole are looked up under the empty token, which every
+URL has. Work is done once per distinct URL. Rules are tables: their regular expressions and tokens are made by
+functions, and their number is checked before they are broadcast.
+
+Two kinds of rules:
+
+* host/path rules, host and the beginning of a path, such as example.org/en/1: a rule fits its host and all
+  its subdomains. Paths are compared as they are written.
+* patterns on host and path, without regard to the case of A to Z, in the usual syntax of filter lists: * is any run of
+  characters, ^ a separator (no letter, digit, _ . % or -) or the end, a leading || the beginning of a host or of
+  one of its domains, a leading or trailing | the beginning or the end; anything else stands for itself.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Host/path rules: (verdict, rule). A rule fits its host and all its subdomains.
+#: Host/path rules: (verdict, rule).
 HOST_PATH_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Pattern rules on host and path, each a run of literal tokens that must stand alone in the host.
-PATTERN_RULES = ["ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets"]
+#: Patterns that block where no host/path rule fits.
+PATTERN_RULES = ["||ads-track", "||casino-win", "spam-farm.*", "||*adult-x^", "cheap-pills.example.com/", "|free-bets*", "/doubleclick/*/ad^", "*--*-.", "^banner^*.gif|"]
 #: More rules than this are not broadcast.
 MAX_BROADCAST_RULES = 100_000
 TOKEN = "[a-z0-9]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower(text: Column) -> Column:
+    """A-Z lower-cased, nothing else."""
+    return F.translate(text, UPPER, LOWER)
 
 
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without ://."""
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
@@ -31,52 +44,76 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def compile_rules(host_path: list[tuple[str, str]], patterns: list[str]) -> list[tuple]:
-    """Rows (rule, verdict, weight, regex, tokens): what each rule matches and which of its tokens are whole.
+def literal(text: Column) -> Column:
+    """A regular expression for the text itself: ASCII signs get a backslash."""
+    return F.regexp_replace(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1")
 
-    The last token of a path may be the beginning of a longer one, so it is no index token.
-    """
-    rows = []
-    for verdict, rule in host_path:
-        host, path = rule.split("/", 1)
-        regex = rf"^([^/]*\.)?{re.escape(host)}/{re.escape(path)}"
-        whole = re.findall(TOKEN, host) + re.findall(rf"{TOKEN}(?=[^a-z0-9])", path)
-        rows.append((rule, verdict, 1000 + len(rule), regex, whole))
-    for pattern in patterns:
-        rows.append((None, "block", 1, rf"^([^/]*[^a-z0-9/])?{re.escape(pattern)}([^a-z0-9]|$)", re.findall(TOKEN, pattern)))
-    return rows
-
-
-def filter_urls(pages: DataFrame, host_path: list[tuple[str, str]], patterns: list[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+
+def whole_tokens(marked: Column) -> Column:
+    """Tokens that a matching URL holds as a whole: no * and no other token character beside them."""
+    return F.array_distinct(F.regexp_extract_all(lower(marked), F.lit(f"(?<![a-z0-9*])({TOKEN})(?![a-z0-9*])"), F.lit(1)))
+
+
+def listed(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A table of string literals."""
+    if not rows:
+        return spark.range(0).select(*[F.lit("").alias(c) for c in columns])
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row, strict=True)]) for row in rows])))
+
+
+def host_path_rules(rules: DataFrame) -> DataFrame:
+    """Compiled rules (verdict, rule): rule, verdict, weight, exact, regex, tokens. A rule without / is host/."""
+    host = lower(F.substring_index("rule", "/", 1))
+    path = F.substring(F.col("rule"), F.length(F.substring_index("rule", "/", 1)) + 2, F.length("rule"))
+    regex = F.concat(F.lit(r"(?s)^([^/]*\.)?"), literal(host), F.lit("/"), literal(path))
+    # the last token of the path may be the beginning of a longer one
+    tokens = whole_tokens(F.concat(F.lit("|"), host, F.lit("/"), path, F.lit("*")))
+    return rules.select("rule", "verdict", (F.length("rule") + 1).alias("weight"), F.lit(True).alias("exact"), regex.alias("regex"), tokens.alias("tokens"))
+
+
+def pattern_rules(patterns: DataFrame) -> DataFrame:
+    """Compiled patterns (pattern), which give no rule and weigh least."""
+    p = lower(F.col("pattern"))
+    front = F.when(p.startswith("||"), 2).when(p.startswith("|"), 1).otherwise(0)
+    back = F.when(p.endswith("|") & (F.length(p) > front), 1).otherwise(0)
+    core = F.substring(p, front + 1, F.length(p) - front - back)
+    signs = F.regexp_replace(core, r"([\x00-\x29\x2B-\x2F\x3A-\x40\x5B-\x5D\x5F\x60\x7B-\x7F])", r"\\$1")
+    body = F.replace(F.replace(signs, F.lit("^"), F.lit("([^a-z0-9_.%-]|$)")), F.lit("*"), F.lit(".*"))
+    regex = F.concat(F.lit("(?s)"), F.when(front == 2, r"^([^/]*\.)?").when(front == 1, "^").otherwise(""), body, F.when(back == 1, "$").otherwise(""))
+    tokens = whole_tokens(F.concat(F.when(front > 0, "|").otherwise("*"), core, F.when(back > 0, "|").otherwise("*")))
+    return patterns.where("pattern is not null").select(F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(0).alias("weight"), F.lit(False).alias("exact"), regex.alias("regex"), tokens.alias("tokens"))
+
+
+def filter_urls(pages: DataFrame, host_path: DataFrame, patterns: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Every page with host, path, the longest host/path rule that fits (or null) and the verdict.
 
-    Where no host/path rule fits, a pattern rule blocks and anything else is allowed. Null URLs and URLs
-    without :// have an empty host and path and are allowed. Null and repeated ids and repeated rows are
-    kept; an empty table gives an empty result; other columns are not read.
+    host_path has columns verdict and rule, patterns the column pattern. Where no host/path rule fits, a pattern
+    blocks and anything else is allowed; of one rule given with two verdicts, block counts. Null URLs and URLs
+    without :// have an empty host and path and are allowed. Null and repeated ids and repeated rows are kept; an
+    empty table gives an empty result, and without rules all is allowed; other columns are not read.
     """
-    spark = pages.sparkSession
-    base = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    base = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     targets = base.select(F.concat("host", "path").alias("target")).where("target <> ''").distinct()
-    tokens = targets.select("target", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("target"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
-    index = rule_index(spark, compile_rules(host_path, patterns), tokens)
-    hits = tokens.join(index, "token").where(F.expr("rlike(target, regex)"))
+    own = F.array_distinct(F.regexp_extract_all(lower(F.col("target")), F.lit(f"({TOKEN})"), F.lit(1)))
+    tokens = targets.select("target", F.explode(F.concat(F.array(F.lit("")), own)).alias("token"))
+    index = rule_index(host_path_rules(host_path).unionByName(pattern_rules(patterns)), tokens)
+    fits = F.when(F.col("exact"), F.expr("rlike(target, regex)")).otherwise(F.rlike(lower(F.col("target")), F.col("regex")))
+    hits = tokens.join(index, "token").where(fits)
     best = hits.groupBy("target").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best"))
     judged = base.join(best, F.concat("host", "path") == best["target"], "left")
     return judged.select(F.col(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
-def rule_index(spark: SparkSession, rules: list[tuple], tokens: DataFrame) -> DataFrame:
-    """Rules with the one of their tokens that the fewest URLs hold (ties: the first in order)."""
-    listed = spark.createDataFrame(rules, "rule string, verdict string, weight int, regex string, tokens array<string>")
-    small = len(rules) <= MAX_BROADCAST_RULES
-    hint = F.broadcast if small else lambda x: x
-    wanted = listed.select("regex", F.explode(F.array_distinct("tokens")).alias("token"))
+def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rules with the one of their tokens that the fewest URLs hold (ties: the first in order); the empty one without any."""
+    hint = F.broadcast if rules.count() <= MAX_BROADCAST_RULES else lambda x: x
+    wanted = rules.select("exact", "regex", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token")).distinct()
     counts = tokens.join(hint(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.join(counts, "token", "left").groupBy("regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rare"))
-    return hint(listed.join(rarest, "regex").select("rule", "verdict", "weight", "regex", F.col("rare.token").alias("token")))
+    rarest = wanted.join(counts, "token", "left").groupBy("exact", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rare"))
+    return hint(rules.drop("tokens").join(rarest, ["exact", "regex"]).select("rule", "verdict", "weight", "exact", "regex", F.col("rare.token").alias("token")))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH p AS (
   SELECT page_id,
     CASE WHEN position('://' IN coalesce(url, '')) = 0 THEN '' ELSE translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
@@ -85,14 +122,15 @@ WITH p AS (
 ), r(rule, verdict, rhost, rpath) AS (VALUES
   ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
   ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
+), x(pattern) AS (VALUES
+  ('^([^/]*\.)?ads-track'), ('^([^/]*\.)?casino-win'), ('spam-farm\..*'), ('^([^/]*\.)?.*adult-x([^a-z0-9_.%-]|$)'), ('cheap-pills\.example\.com/'), ('^free-bets.*'),
+  ('/doubleclick/.*/ad([^a-z0-9_.%-]|$)'), ('.*--.*-\.'), ('([^a-z0-9_.%-]|$)banner([^a-z0-9_.%-]|$).*\.gif$')
 ), j AS (
   SELECT p.*, (SELECT arg_max(struct_pack(a := r.rule, b := r.verdict), length(r.rule)) FROM r
-    WHERE (p.host = r.rhost OR suffix(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)) AS best
+    WHERE (p.host = r.rhost OR suffix(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)) AS best,
+    (SELECT bool_or(regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s)' || pattern)) FROM x) AS hit
   FROM p
 )
-SELECT page_id, host, path, best.a AS rule,
-  CASE WHEN best IS NOT NULL THEN best.b
-    WHEN regexp_matches(host || path, '^([^/]*[^a-z0-9/])?(ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)([^a-z0-9]|$)') THEN 'block'
-    ELSE 'allow' END AS verdict
+SELECT page_id, host, path, best.a AS rule, CASE WHEN best IS NOT NULL THEN best.b WHEN hit THEN 'block' ELSE 'allow' END AS verdict
 FROM j
 """

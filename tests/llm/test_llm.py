@@ -444,17 +444,67 @@ def test_min_and_max_estimate_the_similarity():
 # 6 URLs
 
 
+def listed_rules(spark, rules=None, patterns=None):
+    rules = urlrules.HOST_PATH_RULES if rules is None else rules
+    patterns = urlrules.PATTERN_RULES if patterns is None else patterns
+    return urlrules.listed(spark, ["verdict", "rule"], rules), urlrules.listed(spark, ["pattern"], [(p,) for p in patterns])
+
+
+def plain_pattern(pattern, target):
+    """Brute force: the pattern is tried at each place, sign by sign."""
+    p, t = pattern.lower(), target.lower()
+    host = p.startswith("||")
+    begin = host or p.startswith("|")
+    p = p[2:] if host else p[1:] if begin else p
+    end = p.endswith("|")
+    p = p[:-1] if end else p
+
+    def go(i, at):
+        if i == len(p):
+            return not end or at == len(t)
+        if p[i] == "*":
+            return any(go(i + 1, j) for j in range(at, len(t) + 1))
+        if p[i] == "^":
+            return (at == len(t) and go(i + 1, at)) or (at < len(t) and not (t[at].isascii() and (t[at].isalnum() or t[at] in "_.%-")) and go(i + 1, at + 1))
+        return at < len(t) and p[i] == t[at] and go(i + 1, at + 1)
+
+    places = [0] if begin else range(len(t) + 1)
+    if host:
+        places = [0, *(k + 1 for k, c in enumerate(t) if c == "." and "/" not in t[:k])]
+    return any(go(0, k) for k in places)
+
+
+def test_rules_equal_brute_force(spark):
+    rng = random.Random(12)
+    part = lambda: rng.choice(["ab", "a", "Foo", "x9", "b-a", "é", "--", "a_b", "c+d"])
+    urls = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 3)))}/{'/'.join(part() for _ in range(rng.randint(0, 3)))}" for _ in range(150)]
+    rules = list({(rng.choice(["allow", "block"]), f"{'.'.join(part().lower() for _ in range(rng.randint(1, 2)))}/{rng.choice(['', part(), part() + '/', part()[:1]])}") for _ in range(25)})
+    patterns = [rng.choice(["", "|", "||", ""]) + "".join(rng.choice([part(), "*", "^", "/", "."]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "|", "^"]) for _ in range(25)] + ["--", "*"[:0] + "Foo/"]
+    patterns = [p for p in patterns if p.strip("|*")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for chosen in (rules, []), (rules, patterns), ([], patterns[:6]), ([("block", "ab/Foo/"), ("allow", "a/")], []):
+        found = {r.page_id: (r.rule, r.verdict) for r in urlrules.filter_urls(df, *listed_rules(spark, *chosen)).collect()}
+        for k, u in enumerate(urls):
+            host, path = u[7:].split("/", 1)
+            host, path = host.translate(str.maketrans(urlrules.UPPER, urlrules.LOWER)), "/" + path
+            fits = [(len(r), r, v) for v, r in chosen[0] if (host == (h := r.split("/", 1)[0]) or host.endswith("." + h)) and path.startswith("/" + r.split("/", 1)[1])]
+            want = max(fits)[1:] if fits else (None, "block" if any(plain_pattern(p, host + path) for p in chosen[1]) else "allow")
+            assert found[k] == want, (u, found[k], want)
+    plan = urlrules.filter_urls(df.select("page_id", "url"), *listed_rules(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Sub.EXAMPLE.org/en/12?x", "http://example.org", "x://org/", "http://a.com/fr/casino-win", "http://casino-win.com/x", "http://notcasino-winx.com/", "http://user@example.org:80/es/", "http://a.org/\nb#c", "http://example.org/es/"]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(12, urls[12])], "page_id long, url string").withColumn("rule", F.lit("clash"))
-    rows = urlrules.filter_urls(df, urlrules.HOST_PATH_RULES, urlrules.PATTERN_RULES).collect()
+    rows = urlrules.filter_urls(df, *listed_rules(spark)).collect()
     assert len(rows) == len(urls) + 1
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow") and got[3] == ("", "", None, "allow")
     assert got[4] == ("sub.example.org", "/en/12", "example.org/en/1", "block") and got[5] == ("example.org", "", None, "allow")
     assert got[6] == ("org", "/", "org/", "allow") and got[7][2:] == ("com/fr/", "allow")
     assert got[8][2:] == (None, "block") and got[9][2:] == (None, "allow") and got[12][2:] == ("example.org/es/", "block")
-    assert urlrules.filter_urls(df.limit(0), urlrules.HOST_PATH_RULES, urlrules.PATTERN_RULES).count() == 0
+    assert urlrules.filter_urls(df.limit(0), *listed_rules(spark)).count() == 0
 
 
 # 7 quality
