@@ -33,9 +33,11 @@ BELOW, ABOVE = 5.0, 5.0
 #: Robust standard deviation that counts where all texts score alike.
 EQUAL_SPREAD = 0.1
 #: Entries of one shard at most, about, and bytes of a model that is broadcast; an entry has ENTRY bytes.
-SHARD_ENTRIES, BROADCAST_BYTES, ENTRY = 1 << 20, 96 << 20, 12
+SHARD_ENTRIES, BROADCAST_BYTES, ENTRY = 1 << 20, 64 << 20, 12
 #: Code points that are worked on as one numpy block, and distinct 5-grams that a task holds.
 BLOCK_CHARS, HELD = 1 << 18, 1 << 19
+#: Languages whose discounts and bands are broadcast.
+MOST_LANGUAGES = 10_000
 #: Texts of one block of the way without broadcast.
 BLOCK_TEXTS = 2048
 #: Bytes that count as symbols.
@@ -141,9 +143,13 @@ def discounted(level: DataFrame) -> DataFrame:
     def step(k: int, usual: float) -> Column:
         return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(k - 0.01), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(usual))
 
-    # a row per language
     steps = level.groupBy("lang").agg(*n).select("lang", *[step(k, d).alias(f"d{k}") for k, d in ((1, 0.5), (2, 0.75), (3, 0.9))])
-    return level.join(steps, "lang").select("lang", "gram", "c", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+    return level.join(by_language(steps), "lang").select("lang", "gram", "c", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+
+
+def by_language(rows: DataFrame) -> DataFrame:
+    """A table of one row per language, to be broadcast if it is checked to be small: most rows share a language."""
+    return F.broadcast(rows) if rows.count() <= MOST_LANGUAGES else rows
 
 
 def train(docs: DataFrame) -> DataFrame:
@@ -154,7 +160,7 @@ def train(docs: DataFrame) -> DataFrame:
     levels = {ORDER: staged(count_ngrams(docs), "perplexity-counts")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct code points to the left
         shorter = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        levels[k] = staged(shorter, f"perplexity-{k}") if k + 1 == ORDER else shorter
+        levels[k] = staged(shorter, f"perplexity-{k}")
     flat = levels[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("below"))  # order 0: uniform, with one unseen
     entries = [flat.select("lang", F.lit("").alias("gram"), F.lit(0).alias("tag"), F.log("below").alias("value"))]
     lower = flat
@@ -167,8 +173,7 @@ def train(docs: DataFrame) -> DataFrame:
         known = cut.where(has_entry).join(totals.select("lang", "context", "total", back.alias("back")), ["lang", "context"])
         p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("below")
         known = known.join(lower, ["lang"] if k == 1 else ["lang", "suffix"]).select("lang", "gram", "context", "back", p.alias("p"))
-        if k > 2:
-            known = staged(known, f"perplexity-p-{k}")
+        known = staged(known, f"perplexity-p-{k}")
         lower = known.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
         # a context without entries has the weight 1, as one that was never seen
         contexts = known.groupBy("lang", "context").agg(F.first("back").alias("back"))
@@ -393,11 +398,11 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     root = F.sqrt(F.greatest("n_words", F.lit(1)))
     passing = scored.where(~F.col("base_failed"))
-    middle = passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
+    middle = by_language(passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle")))
     away = passing.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx((F.col("log_perplexity") - F.col("middle")) * root, [0.16, 0.84], 10000).alias("q"))
     spread = (F.element_at("q", 2) - F.element_at("q", 1)) / 2
     bands = away.select("lang", "middle", F.when(spread > 0, spread).otherwise(F.lit(EQUAL_SPREAD)).alias("spread"))
-    judged = scored.join(bands, "lang", "left")  # a row per language
+    judged = scored.join(by_language(bands), "lang", "left")
     judged = judged.withColumns({"low": F.col("middle") - below * F.col("spread") / root, "high": F.col("middle") + above * F.col("spread") / root})
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", *RULES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")
