@@ -2,7 +2,8 @@
 
 The vocabulary file belongs to the `tokenizers` library and is loaded there; it is never trained.
 Its pre-tokens never cross ASCII white space, and its normaliser works inside words, so the ids of a
-text are the ids of its words in order. Natural text repeats its words, hence each worker keeps the
+text are the ids of its words in order. Words are normalised and split here only if the library treats each of
+their characters likewise, which is asked once per character; the others go to the library. Natural text repeats its words, hence each worker keeps the
 ids of words it has seen (emptied when full: memory is bounded, ids are not affected).
 """
 
@@ -47,28 +48,45 @@ class WordEncoder:
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.plain: dict[str, bool] = {}
+
+    def _library(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _own(self, text: str) -> bytes:
+        """Ids of a word by the vocabulary's model alone, with what is known of its pre-tokens."""
+        pieces, ids, tokenize = self.pieces, self.ids, self.tokenize
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        out = b""
+        for piece in (text,) if text.isalpha() else self.split(text):
+            if (known := pieces.get(piece)) is None:
+                known = b"".join([ids[t.id] for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))])
+                pieces[piece] = known
+            out += known
+        return out
+
+    def _is_plain(self, sign: str) -> bool:
+        """Whether the library treats a character alone and between letters as _own() does, and it composes with none."""
+        known = self.plain.get(sign)
+        if known is None:
+            joins = unicodedata.combining(sign) or unicodedata.category(sign)[0] == "M" or unicodedata.name(sign, "").startswith("HANGUL J")
+            known = not joins and all(self._library(t) == self._own(t) for t in (sign, f"a{sign}b", f"{sign}{sign}", f"1{sign}."))
+            self.plain[sign] = known
+        return known
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > MEMORY_WORDS:
             self.words.clear()
         if len(self.pieces) > MEMORY_WORDS:
             self.pieces.clear()
-        pieces, ids, tokenize = self.pieces, self.ids, self.tokenize
         for word in words:
             text = word.decode("utf-8", "replace")
-            text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            out = b""
-            for piece in (text,) if text.isalpha() else self.split(text):
-                if (known := pieces.get(piece)) is None:
-                    known = b"".join([ids[t.id] for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))])
-                    pieces[piece] = known
-                out += known
-            self.words[word] = out
+            own = text.isascii() or all(self._is_plain(c) for c in set(text) if c > "\x7f")
+            self.words[word] = self._own(text) if own else self._library(text)
 
     def encode(self, text: bytes) -> bytes:
         if self.special(text):  # special tokens are cut out of the text before anything else
-            ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4, "little") for i in ids)
+            return self._library(text.decode("utf-8", "replace"))
         out = []
         words = text.split()
         for at in range(0, len(words), WORDS_AT_ONCE):

@@ -115,6 +115,16 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_each_code_point_has_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(TOKENIZER), wordbpe.encoder(TOKENIZER)
+    signs = [chr(c) for c in [*range(128, 0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x11000), *range(0x1E000, 0x1F000)]]
+    texts = [f"a{s}b" for s in signs] + ["".join(random.Random(k).choices(signs, k=4)) for k in range(4000)]
+    found = [np.frombuffer(own.encode(t.encode()), "<u4").tolist() for t in texts]
+    assert found == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 # 2 role repair
 
 
