@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import LOWER, blocks, mix, staged, texts, word_hashes
+from speechloom.llm import common
+from speechloom.llm.common import LOWER, blocks, mix, staged, texts, with_class, word_hashes
 
 #: Bands of ROWS signature values each. A pair at similarity 0.8 shares no band in 7 of a million cases.
 BANDS, ROWS = 30, 5
@@ -35,8 +36,6 @@ PERMUTATIONS = BANDS * ROWS // 2
 LEAST_AGREEMENT = 0.62
 #: Members of one side of a tile, and their shingles if sets are compared (but one set at least).
 TILE, TILE_SHINGLES = 1024, 1 << 22
-#: A group with 1 / HEAVY of all rows is heavy: there are at most HEAVY of these, which bounds what is broadcast.
-HEAVY = 10_000
 #: Node numbers of classes whose smallest id another class has begin here; ids are smaller.
 SECOND = 1 << 62
 #: Edges that one task joins; more are contracted in rounds first.
@@ -153,22 +152,6 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.join(nodes, ["least_id", "high", "low"]).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], *wanted: str) -> DataFrame:
-    """rows with the columns `wanted` of their class, by an equi-join on keys; classes have size, their number of rows.
-
-    Rows of heavy classes are joined by a broadcast of these classes, at most HEAVY, so that copies of one text
-    do not meet in one task.
-    """
-    total = classes.agg(F.sum("size").alias("total"))
-    marked = classes.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("size") * HEAVY >= F.col("total"))  # one row of totals
-    own = [F.col(c).alias(f"__{c}") for c in wanted]
-    near = rows.join(F.broadcast(marked.where("heavy").select(*keys, *own, F.lit(True).alias("__heavy"))), keys, "left")
-    far = near.where("__heavy is null").select(*rows.columns).join(marked.where("not heavy").select(*keys, *own), keys)
-    out = [*rows.columns, *[f"__{c}" for c in wanted]]
-    both = near.where("__heavy").select(*out).unionByName(far.select(*out))
-    return both.withColumnsRenamed({f"__{c}": c for c in wanted})
-
-
 def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels (node, component) with the components that were found; other nodes are their own."""
     return labels.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -313,13 +296,13 @@ def pivot_ties(buckets: DataFrame, agree: DataFrame, percent: int) -> DataFrame:
 def pivot_links(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets.
 
-    The pivots of a heavy cluster are repeated, so that each copy of them meets at most 1 / HEAVY of all classes.
+    The pivots of a heavy cluster are repeated, so that each copy of them meets at most 1 / common.HEAVY of all classes.
     """
     w = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
     chosen = held.select("cluster", "node", F.row_number().over(w).alias("k")).where(F.col("k") <= PIVOTS).select("cluster", "node")
     total = sizes.agg(F.sum("members").alias("total"))
-    heavy = sizes.crossJoin(F.broadcast(total)).where(F.col("members") * HEAVY >= F.col("total"))  # one row of totals
-    heavy = F.broadcast(heavy.select("cluster", F.ceil(F.col("members") * HEAVY / F.col("total")).cast("int").alias("parts")))  # at most HEAVY rows
+    heavy = sizes.crossJoin(F.broadcast(total)).where(F.col("members") * common.HEAVY >= F.col("total"))  # one row of totals
+    heavy = F.broadcast(heavy.select("cluster", F.ceil(F.col("members") * common.HEAVY / F.col("total")).cast("int").alias("parts")))  # at most common.HEAVY rows
     parts = F.coalesce("parts", F.lit(1))
     pivots = chosen.join(held.select("node", F.col("n").alias("m"), F.col("hashes").alias("y")), "node").join(heavy, "cluster", "left")
     pivots = pivots.select("cluster", F.col("node").alias("b"), "m", "y", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))

@@ -1,7 +1,7 @@
 """WARC archives as seekable Zstandard bundles.
 
-Records are grouped into independent Zstandard frames; a bundle ends with a skippable frame that holds the
-seek table of the public seekable format, and its index maps each record's identifier to (frame, offset in
+Records are grouped into independent Zstandard frames. A bundle begins with a warcinfo record in a frame of its
+own and ends with a skippable frame that holds the seek table of the public seekable format; its index maps each record's identifier to (frame, offset in
 the frame's decompressed bytes). A bundle is one row of a table (bundle id, archive bytes, index) that Spark
 writes to shared storage, so a write is atomic per task, survives lost executors and needs no local disk;
 export_bundles() turns rows into .warc.zst files.
@@ -9,15 +9,18 @@ export_bundles() turns rows into .warc.zst files.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.common import staged, texts
+from speechloom.llm.common import staged, texts, with_class
 
 #: Decompressed bytes of a frame and compressed bytes of a bundle at which a new one begins.
 FRAME_BYTES = 256 << 10
@@ -41,17 +44,19 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3, date: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Bundles of one WARC record per page; of equal payloads the smallest id is a response, others revisit it.
 
     Null payloads are empty. Payloads below min_revisit_bytes are always responses. A null id is never the
     smallest unless all are null; rows that repeat the smallest id are responses too. Null URLs are written
-    as empty. An empty table gives no bundles; other columns are not read.
+    as empty. Record identifiers name page ids, so they are as unique as these. date is every record's
+    WARC-Date, by default the time of this call. An empty table gives no bundles; other columns are not read.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     from_pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     hashed = from_pages.withColumn("digest", base32_sha1(F.col("payload")))
-    first = hashed.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    linked = hashed.join(first, "digest").select("page_id", "url", "payload", "digest", "first_id")
+    first = hashed.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    linked = with_class(hashed, first, ["digest"], "first_id").select("page_id", "url", "payload", "digest", "first_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -66,6 +71,10 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3,
                 sizes.append((len(data), len(frame)))
                 frame.clear()
 
+        def open_bundle() -> None:
+            frame.extend(warcinfo(bundle, date))
+            close_frame()
+
         def close_bundle() -> pa.RecordBatch:
             nonlocal bundle
             close_frame()
@@ -79,8 +88,10 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3,
         for batch in batches:
             page_ids, digests, firsts = (batch.column(i).to_pylist() for i in (0, 3, 4))
             for page, url, payload, digest, first_id in zip(page_ids, texts(batch.column(1)), texts(batch.column(2)), digests, firsts, strict=True):
+                if not sizes:
+                    open_bundle()
                 revisit = len(payload) >= min_revisit_bytes and page != first_id
-                record = warc_record(page, url, payload, digest, first_id if revisit else None)
+                record = warc_record(page, url, payload, digest, first_id if revisit else None, date)
                 ids.append(record_id(page))
                 frames.append(len(sizes))
                 offsets.append(len(frame))
@@ -95,20 +106,32 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3,
     return linked.mapInArrow(write, BUNDLES)
 
 
-def warc_record(page: int | None, url: bytes, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit names the response it repeats and holds no payload of its own."""
-    body = payload if refers_to is None else b""
-    head = [
-        b"WARC/1.1",
-        b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-        b"WARC-Record-ID: " + record_id(page).encode(),
-        b"WARC-Target-URI: " + url.replace(b"\r", b"%0D").replace(b"\n", b"%0A"),
-        b"WARC-Payload-Digest: sha1:" + digest.encode(),
-        b"X-Payload-Length: %d" % len(payload),
+def framed(fields: list[tuple[str, bytes]], body: bytes) -> bytes:
+    """A record of these header fields and this block."""
+    lines = [b"WARC/1.1", *[name.encode() + b": " + value for name, value in fields], b"Content-Length: %d" % len(body), b"", b""]
+    return b"\r\n".join(lines) + body + b"\r\n\r\n"
+
+
+def warcinfo(bundle: int, date: str) -> bytes:
+    """The record that describes a bundle."""
+    fields = [("WARC-Type", b"warcinfo"), ("WARC-Record-ID", b"<urn:bundle:%d>" % bundle), ("WARC-Date", date.encode()), ("Content-Type", b"application/warc-fields")]
+    return framed(fields, b"software: speechloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def warc_record(page: int | None, url: bytes, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One WARC/1.1 record of an HTTP response. A revisit names the response it repeats and holds the HTTP header alone."""
+    fields = [
+        ("WARC-Type", b"response" if refers_to is None else b"revisit"),
+        ("WARC-Record-ID", record_id(page).encode()),
+        ("WARC-Date", date.encode()),
+        ("WARC-Target-URI", url.replace(b"\r", b"%0D").replace(b"\n", b"%0A")),
+        ("WARC-Payload-Digest", b"sha1:" + digest.encode()),
+        ("Content-Type", b"application/http; msgtype=response"),
     ]
     if refers_to is not None:
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + record_id(refers_to).encode()]
-    return b"\r\n".join([*head, b"Content-Length: %d" % len(body), b"", b""]) + body + b"\r\n\r\n"
+        fields += [("WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to).encode())]
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    return framed(fields, head + payload if refers_to is None else head)
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -131,9 +154,8 @@ def frame_spans(archive: bytes) -> list[tuple[int, int]]:
     return spans
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and body of each record in decompressed bytes."""
-    at = 0
+def parse_records(data: bytes, at: int = 0) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record in decompressed bytes, from an offset on."""
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
@@ -149,33 +171,51 @@ def read_record(archive: bytes, frame: int, offset: int) -> tuple[dict[str, str]
 
     start, size = frame_spans(archive)[frame]
     data = zstandard.ZstdDecompressor().decompress(archive[start : start + size])
-    return next(parse_records(data[offset:]))
+    return next(parse_records(data, offset))
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """RECORDS of all bundles: frames are decompressed one at a time, in the order of the seek table."""
+def described(fields: dict[str, str], block: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """A row of RECORDS from one record; a response's payload must have the length and the digest that it states."""
 
     def number(text: str | None) -> int | None:
         inner = text[len("<urn:page:") : -1] if text else "null"
         return None if inner == "null" else int(inner)
 
+    head, _, payload = block.partition(b"\r\n\r\n")
+    length = int(next(line[16:] for line in head.split(b"\r\n") if line.startswith(b"Content-Length: ")))
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and (length, digest) != (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+        raise ValueError(f"{fields['WARC-Record-ID']}: the payload differs from its length or digest")
+    return number(fields["WARC-Record-ID"]), length, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))
+
+
+def read_bundles(bundles: DataFrame) -> DataFrame:
+    """RECORDS of all bundles: every record is opened by its (frame, offset) in the index, one frame at a time.
+
+    ValueError if the record there has another identifier, or a payload that differs from its length or digest.
+    """
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
-                for start, size in frame_spans(archive):
-                    rows = []
-                    for fields, body in parse_records(unpack(archive[start : start + size])):
-                        length = int(fields["X-Payload-Length"])
-                        if fields["WARC-Type"] == "response" and length != len(body):
-                            raise ValueError(f"{fields['WARC-Record-ID']}: {len(body)} bytes, not {length}")
-                        rows.append((number(fields["WARC-Record-ID"]), length, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            for archive, ids, frames, offsets in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                spans, wanted = frame_spans(archive), {}
+                for entry in zip(frames, offsets, ids, strict=True):
+                    wanted.setdefault(entry[0], []).append(entry[1:])
+                for frame, entries in wanted.items():
+                    start, size = spans[frame]
+                    data, rows = unpack(archive[start : start + size]), []
+                    for offset, name in entries:
+                        fields, block = next(parse_records(data, offset))
+                        if fields["WARC-Record-ID"] != name:
+                            raise ValueError(f"{name} is not where the index says")
+                        rows.append(described(fields, block))
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.select("archive").mapInArrow(read, RECORDS)
+    return bundles.select("archive", "record_ids", "frames", "offsets").mapInArrow(read, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:

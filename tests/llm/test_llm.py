@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, editcount, neardup, packing, perplexity, personal, quality, queries, roles, stages, urlrules, warc, wordbpe
+from speechloom.llm import common, decontaminate, editcount, neardup, packing, perplexity, personal, quality, queries, roles, stages, urlrules, warc, wordbpe
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = queries.tokenizer_file()
@@ -438,7 +438,7 @@ def test_heavy_classes_are_joined_like_others(spark, monkeypatch):
     rows = list(enumerate(["one text of many copies and more"] * 50 + family(rng, words, 40, 5) + ["two words"] * 3, 5))
     want = exact_components(rows, 4, 80)
     for heavy in (10_000, 4, 1):
-        monkeypatch.setattr(neardup, "HEAVY", heavy)
+        monkeypatch.setattr(common, "HEAVY", heavy)
         found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == want
 
@@ -632,7 +632,7 @@ def test_seekable_bundles(spark, tmp_path, monkeypatch):
     for b in bundles.collect():
         for name, frame, offset in zip(b.record_ids, b.frames, b.offsets, strict=True):
             fields, _ = warc.read_record(b.archive, frame, offset)
-            assert fields["WARC-Record-ID"] == name
+            assert fields["WARC-Record-ID"] == name and {"WARC-Date", "Content-Type", "WARC-Type"} <= set(fields)
             seen += 1
     assert seen == len(rows) and len(names) > 1
     import zstandard
@@ -645,6 +645,15 @@ def test_seekable_bundles(spark, tmp_path, monkeypatch):
     small = {r.page_id: r.record_type for r in warc.archive_round_trip(df, min_revisit_bytes=21).collect()}
     assert set(small.values()) == {"response"}
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    first = bundles.first()
+    info, rest = next(warc.parse_records(zstandard.ZstdDecompressor().decompress(first.archive[: warc.frame_spans(first.archive)[0][1]])))
+    assert info["WARC-Type"] == "warcinfo" and rest.startswith(b"software: ")
+    with pytest.raises(Exception, match="index says"):
+        warc.read_bundles(bundles.withColumn("record_ids", F.reverse("record_ids"))).collect()
+    fields, body = warc.read_record(first.archive, first.frames[0], first.offsets[0])
+    wrong = warc.warc_record(1, b"u", b"other", fields["WARC-Payload-Digest"][5:], None, "2024-01-01T00:00:00Z")
+    with pytest.raises(ValueError, match="digest"):
+        warc.described(*next(warc.parse_records(wrong)))
 
 
 # pipeline
