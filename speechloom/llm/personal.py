@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -97,14 +99,33 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, str]]:
         if not _SHAPE.match(core):
             continue
         start = m.start() + (len(word) - len(word.lstrip(_EDGE)))
-        # the two words in front, within a window that any two usual words fit into
-        before = text[max(0, m.start() - 200) : m.start()].encode("utf-8", "replace").lower().split()[-2:]
+        before = words_before(text, m.start())
         if len(before) == 2:
             yield b" ".join(before).decode("utf-8", "replace"), start, start + len(core), core
 
 
-def _overlaps(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for _, a, b in spans)
+def words_before(text: str, end: int) -> list[bytes]:
+    """The last two whole words before a place, A-Z lower-cased; one or none where the text begins."""
+    size = 64
+    while True:
+        begin = max(0, end - size)
+        words = text[begin:end].encode("utf-8", "replace").lower().split()
+        if not begin or len(words) > 2:  # the first of more than two may be the rest of a longer word
+            return words[-2:]
+        size *= 4
+
+
+class Spans:
+    """Spans in order of their starts, to be asked for an overlap in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        placed = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in placed]
+        self.reach = list(accumulate((b for _, b in placed), max))  # how far the spans up to this one reach
+
+    def overlap(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
 
 
 def edges(docs: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
@@ -118,8 +139,8 @@ def edges(docs: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
                 spans = None
                 for pattern, start, end, core in candidates(text or ""):
                     if spans is None:
-                        spans = base_spans(text)
-                    known = _overlaps(spans, start, end) or any(s.fullmatch(core) for s in extra)
+                        spans = Spans(base_spans(text))
+                    known = spans.overlap(start, end) or any(s.fullmatch(core) for s in extra)
                     key = (pattern, hashlib.blake2b(core.encode("utf-8", "replace"), digest_size=16).hexdigest())
                     row = rows.setdefault(key, [False, 0])
                     row[0] |= known
@@ -200,8 +221,10 @@ def learn_patterns(docs: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int
 def all_spans(text: str, patterns: dict[str, float]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and the spans that confident patterns add beside them."""
     base = base_spans(text)
-    added = [(FOUND, a, b) for p, a, b, _ in candidates(text) if p in patterns and not _overlaps(base, a, b)] if patterns else []
-    return base, added
+    if not patterns:
+        return base, []
+    taken = Spans(base)
+    return base, [(FOUND, a, b) for p, a, b, _ in candidates(text) if p in patterns and not taken.overlap(a, b)]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -233,11 +256,14 @@ def mask_personal_data(docs: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataF
     """docs with every span of its column text replaced by its kind in brackets; n_chars follows, where it is."""
     patterns = docs.sparkSession.sparkContext.broadcast(learn_patterns(docs.select("text"), seeds))
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: None if t is None else mask(t, patterns.value))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masked = [None if t is None else mask(t, patterns.value) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(masked, type=pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    out = docs.withColumn("text", masked("text"))
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

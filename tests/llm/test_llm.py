@@ -241,6 +241,18 @@ def test_base_spans():
     assert personal.base_spans("1" * 50_000 + "a" * 50_000 + "@") == []
 
 
+def test_contexts_and_overlaps_are_exact():
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "B", " ", "\n", "x" * 300, "9"]) for _ in range(rng.randint(0, 12)))
+        end = rng.randint(0, len(text))
+        words, whole = text[:end].lower().split(), text[:end].encode()
+        assert [w.decode() for w in personal.words_before(text, end)] == words[-2:], (whole, end)
+        spans = [("x", a, a + rng.randint(1, 9)) for a in rng.sample(range(60), rng.randint(0, 8))]
+        start = rng.randint(0, 60)
+        assert personal.Spans(spans).overlap(start, start + 3) == any(a < start + 3 and start < b for _, a, b in spans)
+
+
 def test_patterns_discover_unseen_identifiers(spark, odd):
     known = [(k, f"lorem ipsum customer mail user{k}@mail.example.com dolor sit") for k in range(30)]
     unseen = [(100 + k, f"amet customer mail u5er-{k}x77 dolor 12345678 sit") for k in range(3)]
