@@ -250,7 +250,7 @@ def class_links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     labels = buckets.select("node").distinct().select("node", F.col("node").alias("component"))
     ties = staged(pivot_ties(buckets, agree, percent), "neardup-ties")
     labels = staged(relabelled(labels, components(ties, "neardup-tied")), "neardup-labels")
-    placed = with_rest(buckets.join(labels, "node"), "band", F.lit(0))
+    placed = with_rest(buckets.join(labels, "node"), "band")
     others = tiles(placed.where("rest_size > 0").join(agree, "node"), "band").groupBy("key", "i", "j").applyInArrow(tie_tile(percent), "a long, b long")
     # edges between the components so far, which hold the nodes
     whole = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(staged(others.distinct(), "neardup-others")), "neardup-clusters")
@@ -262,8 +262,7 @@ def class_links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     sizes = staged(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * (TILE / TILE_SHINGLES))).alias("size")), "neardup-cluster-sizes")
     links = staged(pivot_links(held, sizes, percent), "neardup-links")
     labels = relabelled(held.select("node"), components(links, "neardup-linked"))
-    placed = with_rest(slim.join(labels, "node").join(sizes.select("cluster", "size"), "cluster"), "cluster", F.col("n") * (TILE / TILE_SHINGLES))
-    placed = placed.where("rest_size > 0").join(held.select("node", "agree", "hashes"), "node")
+    placed = cluster_rest(staged(slim.join(labels, "node"), "neardup-slim"), sizes).join(held.select("node", "agree", "hashes"), "node")
     more = tiles(staged(placed, "neardup-placed"), "cluster").groupBy("key", "i", "j").applyInArrow(link_tile(percent), "a long, b long")
     return links.unionByName(staged(more.distinct(), "neardup-more"))
 
@@ -323,14 +322,25 @@ def pivot_links(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def with_rest(members: DataFrame, key: str, weight: Column) -> DataFrame:
-    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group.
-
-    rest_size is the number of the rest, or the sum of their weights if that is more.
-    """
+def with_rest(members: DataFrame, key: str) -> DataFrame:
+    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group."""
     main = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"))
     marked = members.join(main, key).withColumn("rest", F.col("component") != F.col("main")).drop("main")
-    return marked.join(marked.groupBy(key).agg(F.greatest(F.count_if("rest"), F.ceil(F.sum(F.when(F.col("rest"), weight).otherwise(F.lit(0))))).alias("rest_size")), key)
+    return marked.join(marked.groupBy(key).agg(F.count_if("rest").alias("rest_size")), key)
+
+
+def cluster_rest(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """members (cluster, node, n, component) of clusters that have a rest, as with_rest() gives them, with the cluster's size.
+
+    Sizes count members, or TILE_SHINGLES / TILE shingles as one if that gives more. Clusters have members in any
+    number, so what belongs to a cluster is joined by with_class().
+    """
+    main = members.groupBy("cluster").agg(F.min_by("component", rank()).alias("main")).join(sizes.withColumnRenamed("size", "parts"), "cluster")
+    marked = with_class(members, main.withColumnRenamed("members", "size"), ["cluster"], "main", "parts")
+    marked = staged(marked.withColumn("rest", F.col("component") != F.col("main")).drop("main"), "neardup-marked")
+    weight = F.ceil(F.sum(F.when(F.col("rest"), F.col("n")).otherwise(F.lit(0))) * (TILE / TILE_SHINGLES))
+    rest = marked.groupBy("cluster").agg(F.greatest(F.count_if("rest"), weight).alias("rest_size"), F.count(F.lit(1)).alias("size"))
+    return with_class(marked, rest.where("rest_size > 0"), ["cluster"], "rest_size").withColumnRenamed("parts", "size")
 
 
 def tiles(placed: DataFrame, key: str) -> DataFrame:
