@@ -52,11 +52,13 @@ def viewer_word(word: Column) -> Column:
 def transcript_display(text: Column) -> Column:
     """A transcript line without time marks, [- ...] and [+ ...] notes and @s: tags, with single spaces."""
     out = F.regexp_replace(text, "\x15?\\d+_\\d+\x15?", "")
+    # fixed values of the transcript format: notes in brackets, and language tags
     out = F.regexp_replace(out, r"\[[-+].*?\]", "")
-    out = F.regexp_replace(out, r"@s:[A-Za-z0-9_&+]+", "")
+    out = F.regexp_replace(out, r"@s:[\w&+]+", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Fixed values of the transcript format: a speaker's line, and the time mark of an utterance in ms.
 SPEECH_LINE = r"^\*([^:]+):\s*(.*)$"
 TIME_MARK = "\x15(\\d+)_(\\d+)\x15"
 

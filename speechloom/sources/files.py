@@ -9,6 +9,7 @@ from speechloom.functions.text import SPEECH_LINE, speech_parts, stem, transcrip
 from speechloom.functions.values import parse_offset_timestamp
 
 WORD_SCHEMA = "utterance_id string, surface string, langid string"
+#: Fixed values of the run table: its number columns, the first four of which are integers.
 RESULT_FIELDS = ("evaluation_step", "clips", "reference_words", "word_errors", "wer", "loss", "token_loss", "language_id_loss", "lid_accuracy")
 
 
