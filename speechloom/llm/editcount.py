@@ -1,10 +1,12 @@
 """Edit-aware token counting: a segment tree over each document's pre-tokens.
 
-A document's state is its text, the length and token count of every pre-token, and how many pre-tokens each
-leaf of its tree holds. An edit re-splits and re-encodes only from the first pre-token that its first changed
-character can reach (two characters of context) to the first old boundary behind the edit that the new
+A document's state is its text, the length and token count of every pre-token, how many pre-tokens each leaf of its
+tree holds, and the tree's sums of characters and tokens. An edit walks down these sums to the leaves that it
+touches, and only these are read from the state. It re-splits and re-encodes from the first pre-token that its
+first changed character can reach (two characters of context) to the first old boundary behind the edit that the new
 split meets again; from there on both splits are equal, because the pattern looks at nothing before a match.
-Sums are updated on the paths from the touched leaves to the root.
+Sums are updated on the paths from the touched leaves to the root. What lies between touched leaves is copied as it
+is when the state is written again, and rows without edits are handed on unread.
 """
 
 from __future__ import annotations
@@ -12,20 +14,24 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens of a new leaf; a leaf that grows to over twice as many has the tree rebuilt.
 LEAF = 64
+#: How numbers of pieces and sums are stored.
+INT, SUM = np.dtype("<i4"), np.dtype("<i8")
 #: Pre-tokens whose counts a worker keeps; emptied when full.
 MEMORY = 300_000
 #: Characters behind a pre-token's end that its match may have looked at.
 CONTEXT = 2
-STATE = "text string, piece_chars binary, piece_tokens binary, leaf_pieces binary, n_tokens long"
+STATE = "text string, piece_chars binary, piece_tokens binary, leaf_pieces binary, node_sums binary, n_tokens long"
+STATE_NAMES = ["text", "piece_chars", "piece_tokens", "leaf_pieces", "node_sums", "n_tokens"]
 EDIT = "array<struct<pos: long, deleted: long, inserted: string>>"
 
 _workers: dict[tuple[str, str], PieceCounter] = {}
@@ -63,25 +69,62 @@ def counter(ranks_path: str, pattern: str) -> PieceCounter:
 
 
 class PieceTree:
-    """Leaves of [text, piece lengths, piece tokens] under two heaps of sums: characters and tokens."""
-
-    def __init__(self, text: str, chars: list[int], tokens: list[int], leaf_pieces: list[int] | None = None) -> None:
-        sizes = leaf_pieces or [min(LEAF, len(chars) - at) for at in range(0, len(chars), LEAF)] or [0]
-        self.leaves, at, begin = [], 0, 0
-        for n in sizes:
-            own = chars[at : at + n]
-            end = begin + sum(own)
-            self.leaves.append([text[begin:end], own, tokens[at : at + n]])
-            at, begin = at + n, end
-        self._build()
-
-    def _build(self) -> None:
+    """Leaves under two heaps of sums: characters and tokens.
+
+    An untouched leaf is its number in the state; a touched one is [text, piece lengths, piece tokens].
+    """
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, leaf_pieces: np.ndarray | None = None, sums: np.ndarray | None = None) -> None:
+        if leaf_pieces is None:
+            leaf_pieces = [min(LEAF, len(chars) - at) for at in range(0, len(chars), LEAF)] or [0]
+        self._text, self._pieces = text, (np.asarray(chars, dtype=INT), np.asarray(tokens, dtype=INT))
+        self._sizes = np.asarray(leaf_pieces, dtype=INT)
+        self._first = _running(self._sizes)  # piece at which each leaf of the state begins
+        self.leaves: list[int | list] = list(range(len(self._sizes)))
+        if sums is None:
+            self._build([np.diff(_running(x)[self._first]) for x in self._pieces])
+        else:
+            self.chars, self.tokens = sums.reshape(2, -1).copy()
+            self.width = len(self.chars) // 2
+        self._begin = _running(self.chars[self.width : self.width + len(self.leaves)])  # and character
+
+    def _build(self, leaf_sums: list[np.ndarray]) -> None:
         self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, (text, _, tokens) in enumerate(self.leaves):
-            self.chars[self.width + k], self.tokens[self.width + k] = len(text), sum(tokens)
-        for k in range(self.width - 1, 0, -1):
-            self._pull(k)
+        self.chars, self.tokens = heaps = np.zeros((2, 2 * self.width), dtype=SUM)
+        for heap, sums in zip(heaps, leaf_sums, strict=True):
+            heap[self.width : self.width + len(sums)] = sums
+            level = self.width
+            while level > 1:
+                heap[level // 2 : level] = heap[level : 2 * level : 2] + heap[level + 1 : 2 * level : 2]
+                level //= 2
+
+    def _leaf(self, k: int) -> list:
+        own = self.leaves[k]
+        if isinstance(own, int):
+            part = slice(self._first[own], self._first[own + 1])
+            own = [self._text[self._begin[own] : self._begin[own + 1]], *[x[part].tolist() for x in self._pieces]]
+            self.leaves[k] = own
+        return own
+
+    def stored(self) -> tuple[str, bytes, bytes, bytes, bytes, int]:
+        """The state's columns: touched leaves anew, and what lies between them as it was."""
+        if all(isinstance(x, int) for x in self.leaves):
+            text, chars, tokens, sizes = self._text, *self._pieces, self._sizes
+        else:
+            texts, parts = [], ([], [], [])
+            for untouched, group in groupby(self.leaves, key=lambda x: isinstance(x, int)):
+                own = list(group)
+                if untouched:  # neighbours in the state, too
+                    a, b = own[0], own[-1] + 1
+                    texts.append(self._text[self._begin[a] : self._begin[b]])
+                    found = [*[x[self._first[a] : self._first[b]] for x in self._pieces], self._sizes[a:b]]
+                else:
+                    texts += [x[0] for x in own]
+                    found = [[n for x in own for n in x[1]], [n for x in own for n in x[2]], [len(x[1]) for x in own]]
+                for part, x in zip(parts, found, strict=True):
+                    part.append(np.asarray(x, dtype=INT))
+            text, (chars, tokens, sizes) = "".join(texts), [np.concatenate(x) for x in parts]
+        return text, chars.tobytes(), tokens.tobytes(), sizes.tobytes(), np.concatenate([self.chars, self.tokens]).tobytes(), self.n_tokens
 
     def _pull(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -89,11 +132,11 @@ class PieceTree:
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     @property
     def text(self) -> str:
-        return "".join(leaf[0] for leaf in self.leaves)
+        return self.stored()[0]
 
     def find(self, pos: int) -> tuple[int, int]:
         """Leaf that holds character pos (the last one for the end of the text) and the leaf's first character."""
@@ -101,31 +144,32 @@ class PieceTree:
         while k < self.width:
             k *= 2
             if pos >= begin + self.chars[k] and self.chars[k + 1]:
-                begin += self.chars[k]
+                begin += int(self.chars[k])
                 k += 1
         return min(k - self.width, len(self.leaves) - 1), begin
 
     def edit(self, counter: PieceCounter, pos: int, deleted: int, inserted: str) -> int:
         """Replace `deleted` characters at pos by `inserted`; returns how many pre-tokens were encoded."""
-        pos = min(max(pos, 0), self.chars[1])
-        deleted = min(max(deleted, 0), self.chars[1] - pos)
+        pos = min(max(pos, 0), int(self.chars[1]))
+        deleted = min(max(deleted, 0), int(self.chars[1]) - pos)
         first, begin = self.find(max(pos - CONTEXT, 0))
         if first and pos - CONTEXT <= begin:  # the match before this leaf may have looked into it
             first -= 1
-            begin -= self.chars[self.width + first]
-        ends = list(accumulate(self.leaves[first][1], initial=begin))
+            begin -= int(self.chars[self.width + first])
+        ends = list(accumulate(self._leaf(first)[1], initial=begin))
         keep = max(0, bisect_left(ends, pos - CONTEXT + 1) - 1)  # whole pre-tokens that end before the context
         start = ends[keep]
         last, behind = self.find(pos + deleted)
-        behind += self.chars[self.width + last]
+        behind += int(self.chars[self.width + last])
         while True:
-            old = "".join(leaf[0] for leaf in self.leaves[first : last + 1])
+            held = [self._leaf(k) for k in range(first, last + 1)]
+            old = "".join(leaf[0] for leaf in held)
             window = old[start - begin : pos - begin] + inserted + old[pos + deleted - begin :]
             pieces = counter.split(window)
             whole = last + 1 == len(self.leaves)
             shift = len(inserted) - deleted
             old_ends, tail = {}, begin
-            for j, leaf in enumerate(self.leaves[first : last + 1]):
+            for j, leaf in enumerate(held):
                 for i, n in enumerate(leaf[1]):
                     old_ends[tail] = (j, i)
                     tail += n
@@ -145,13 +189,13 @@ class PieceTree:
             if met is not None:
                 break
             last += 1
-            behind += self.chars[self.width + last]
+            behind += int(self.chars[self.width + last])
         new = pieces[:used]
-        chars, tokens = self.leaves[first][1][:keep] + [len(p) for p in new], self.leaves[first][2][:keep] + counter.counts(new)
+        chars, tokens = held[0][1][:keep] + [len(p) for p in new], held[0][2][:keep] + counter.counts(new)
         for j in range(met[0], last + 1 - first):
             i = met[1] if j == met[0] else 0
-            chars += self.leaves[first + j][1][i:]
-            tokens += self.leaves[first + j][2][i:]
+            chars += held[j][1][i:]
+            tokens += held[j][2][i:]
         self._replace(first, last, old[: start - begin] + window, chars, tokens)
         return used
 
@@ -166,27 +210,33 @@ class PieceTree:
             end = begin + sum(chars[at : at + each])
             fresh.append([text[begin:end], chars[at : at + each], tokens[at : at + each]])
             at, begin = at + each, end
-        self.leaves[first : last + 1] = fresh
-        if grown:
-            self._build()
+        sums = [len(x[0]) for x in fresh], [sum(x[2]) for x in fresh]
+        if grown:  # more leaves: all sums above them are made anew, from those of the leaves
+            begin, behind, end = self.width + first, self.width + last + 1, self.width + len(self.leaves)
+            self.leaves[first : last + 1] = fresh
+            self._build([np.concatenate([heap[self.width : begin], own, heap[behind:end]]) for heap, own in zip((self.chars, self.tokens), sums, strict=True)])
             return
-        touched = set()
-        for k in range(first, last + 1):
-            self.chars[self.width + k], self.tokens[self.width + k] = len(self.leaves[k][0]), sum(self.leaves[k][2])
-            touched.add((self.width + k) // 2)
+        self.leaves[first : last + 1] = fresh
+        begin, end = self.width + first, self.width + last + 1
+        self.chars[begin:end], self.tokens[begin:end] = sums
+        touched = {k // 2 for k in range(begin, end)}
         while touched and 0 not in touched:
             for k in touched:
                 self._pull(k)
             touched = {k // 2 for k in touched}
 
 
-def _packed(values: list[int]) -> bytes:
-    return np.array(values, dtype="<i4").tobytes()
+def _running(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each, and of all."""
+    sums = np.zeros(len(values) + 1, dtype=SUM)
+    np.cumsum(values, out=sums[1:])
+    return sums
 
 
 def _state_columns(trees: list[PieceTree]) -> list[pa.Array]:
-    flat = [([c for leaf in t.leaves for c in leaf[1]], [n for leaf in t.leaves for n in leaf[2]], [len(leaf[1]) for leaf in t.leaves]) for t in trees]
-    return [pa.array([t.text for t in trees], type=pa.string()), *[pa.array([_packed(x[i]) for x in flat], type=pa.binary()) for i in range(3)], pa.array([t.n_tokens for t in trees], type=pa.int64())]
+    columns = list(zip(*[t.stored() for t in trees], strict=True)) or [()] * 6
+    kinds = [pa.string(), *[pa.binary()] * 4, pa.int64()]
+    return [pa.array(x, type=kind) for x, kind in zip(columns, kinds, strict=True)]
 
 
 def build_state(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +250,7 @@ def build_state(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             for text in batch.column(1).to_pylist():
                 pieces = own.split(text or "")
                 trees.append(PieceTree(text or "", [len(p) for p in pieces], own.counts(pieces)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_state_columns(trees)], names=["id", "text", "piece_chars", "piece_tokens", "leaf_pieces", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_state_columns(trees)], names=["id", *STATE_NAMES])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {STATE}")
 
@@ -221,20 +271,22 @@ def apply_edits(state: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     kind = state.schema["id"].dataType.simpleString()
 
-    def ints(data: bytes) -> list[int]:
-        return np.frombuffer(data, dtype="<i4").tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(ranks_path, pattern)
         for batch in batches:
-            trees, encoded, made = [], [], []
-            before = batch.column(5)
-            for text, chars, tokens, leaves, edits in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4, 6)], strict=True):
-                tree = PieceTree(text, ints(chars), ints(tokens), ints(leaves))
-                encoded.append(sum(tree.edit(own, e["pos"] or 0, e["deleted"] or 0, e["inserted"] or "") for e in edits or [] if e))
-                made.append(len(edits or []))
+            listed = [[e for e in edits or [] if e] for edits in batch.column(7).to_pylist()]
+            rows = [k for k, edits in enumerate(listed) if edits]
+            trees, encoded = [], np.zeros(len(listed), dtype=np.int64)
+            touched = batch.take(pa.array(rows, type=pa.int64()))
+            for k, text, *stored in zip(rows, *[touched.column(i).to_pylist() for i in range(1, 6)], strict=True):
+                tree = PieceTree(text, *[np.frombuffer(x, dtype=kind) for x, kind in zip(stored, (INT, INT, INT, SUM), strict=True)])
+                encoded[k] = sum(tree.edit(own, e["pos"] or 0, e["deleted"] or 0, e["inserted"] or "") for e in listed[k])
                 trees.append(tree)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_state_columns(trees), before, pa.array(made, type=pa.int64()), pa.array(encoded, type=pa.int64())], names=["id", "text", "piece_chars", "piece_tokens", "leaf_pieces", "n_tokens", "tokens_before", "n_edits", "encoded_pieces"])
+            places = np.arange(len(listed))
+            places[rows] = len(listed) + np.arange(len(rows))
+            columns = [pa.concat_arrays([batch.column(i), new]).take(pa.array(places)) for i, new in enumerate(_state_columns(trees), start=1)]
+            made = pc.cast(pc.fill_null(pc.list_value_length(batch.column(7)), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(6), made, pa.array(encoded)], names=["id", *STATE_NAMES, "tokens_before", "n_edits", "encoded_pieces"])
 
-    columns = ["id", "text", "piece_chars", "piece_tokens", "leaf_pieces", "n_tokens", F.col("edits").cast(EDIT).alias("edits")]
+    columns = ["id", *STATE_NAMES, F.col("edits").cast(EDIT).alias("edits")]
     return state.select(*columns).mapInArrow(run, f"id {kind}, {STATE}, tokens_before long, n_edits long, encoded_pieces long")

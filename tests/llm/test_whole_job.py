@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, packing, personal, queries
+from speechloom.llm import decontaminate, editcount, packing, personal, queries
 from speechloom.llm.common import BLOCK_BYTES
 
 
@@ -42,3 +43,41 @@ def test_documents_are_packed_under_three_limits(spark):
         sequences.setdefault(r["sequence_id"], []).append(r["length"])
     assert all(sum(s) <= 64 and len(s) <= 3 and sum(s) - len(s) <= 40 for s in sequences.values())
     assert max(map(len, sequences.values())) == 3 and max(sum(s) - len(s) for s in sequences.values()) == 40
+
+
+def test_sums_are_kept_and_only_edited_rows_change(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(editcount, "LEAF", 4)
+    ranks, pattern = queries.tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(1, "one two three four five six seven eight nine ten. " * 9), (2, "left alone " * 30), (3, ""), (4, None), (None, "no id"), (2, "left alone")]
+    state = editcount.build_state(spark.createDataFrame(rows, "doc_id long, text string"), ranks, pattern)
+    put = [(1, 1, 200, 9, "x " * 40), (1, 2, 0, 3, ""), (3, 1, 0, 0, "new text"), (4, 1, 3, 1, "é")]
+    edits = spark.createDataFrame(put, "id long, seq int, pos long, deleted long, inserted string")
+    out = editcount.apply_edits(editcount.attach_edits(state, edits), ranks, pattern)
+    before, after = ({(r["id"], r["text"]): r for r in df.collect()} for df in (state, out))
+    for r in after.values():
+        sizes, sums = np.frombuffer(r["leaf_pieces"], "<i4"), np.frombuffer(r["node_sums"], "<i8").reshape(2, -1)
+        assert sizes.sum() * 4 == len(r["piece_chars"]) == len(r["piece_tokens"])
+        for heap, name in zip(sums, ("piece_chars", "piece_tokens"), strict=True):
+            pieces, width = np.frombuffer(r[name], "<i4"), len(heap) // 2
+            leaves = [int(x.sum()) for x in np.split(pieces, np.cumsum(sizes)[:-1])]
+            assert heap[width : width + len(leaves)].tolist() == leaves and not heap[width + len(leaves) :].any()
+            assert all(heap[k] == heap[2 * k] + heap[2 * k + 1] for k in range(1, width))
+        assert sums[0, 1] == len(r["text"]) and sums[1, 1] == r["n_tokens"]
+        if r["n_edits"] == 0:
+            assert all(before[r["id"], r["text"]][c] == r[c] for c in state.columns) and r["encoded_pieces"] == 0
+    again = editcount.apply_edits(editcount.attach_edits(out.select(*state.columns), edits), ranks, pattern).collect()
+    own = editcount.counter(ranks, pattern)
+    assert len(again) == 6 and all(r["n_tokens"] == sum(own.counts(own.split(r["text"]))) for r in again)
+
+
+def test_an_edit_reads_few_leaves():
+    import public_tokenizers
+
+    own = editcount.counter(queries.tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "word " * 200_000
+    pieces = own.split(text)
+    tree = editcount.PieceTree(text, [len(p) for p in pieces], own.counts(pieces))
+    tree.edit(own, 500_000, 3, "new")
+    assert sum(not isinstance(x, int) for x in tree.leaves) <= 4
