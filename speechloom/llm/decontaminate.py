@@ -6,12 +6,14 @@ term's postings lie in blocks with their largest impact. A passage first adds up
 per range of segments (numpy, no false dismissals); only passages that reach the threshold run block-max
 WAND, which retrieves every segment at or above it. Each retrieved item is then verified: enough of both its
 question's and its answer's word 3-grams must stand in the passage or beside it. The index is made by Spark
-and broadcast in shards of a fixed number of segments; documents are never shuffled.
+and broadcast in shards of a fixed number of segments, many of them at once, so that the documents, which are never
+shuffled, are read once for thousands of segments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,14 @@ from pyspark.sql import functions as F
 
 from speechloom.llm.common import blocks, staged, word_hashes
 
-#: Words of a segment and of a passage; passages overlap by half, so each segment lies inside one.
+#: Words of a segment and of a passage; passages overlap by half, so a segment of this length lies inside one.
 SEGMENT, PASSAGE = 48, 96
-#: Segments of one broadcast shard, and of a range that shares upper bounds.
-SHARD_SEGMENTS, RANGE = 1024, 2
+#: Segments of one shard, of all shards that are broadcast for one pass over the documents, and of a range that shares
+#: upper bounds. Hashing deals twice as many shards and passes, since it is uneven. The bounds of a shard of 512
+#: segments are some 1 MB, and 9 MB if no two segments share a word.
+SHARD_SEGMENTS, PASS_SEGMENTS, RANGE = 1024, 16_384, 2
+#: Steps in which the bounds are stored, rounded up.
+STEPS = 255
 #: Postings of a block.
 BLOCK = 16
 #: Fixed BM25 parameters, the share of a segment's weight that retrieves it, and the shares that verify it.
@@ -73,7 +79,7 @@ def index_postings(items: DataFrame, id_col: str = "item_id", text_col: str = "t
 
 
 class Shard:
-    """Inverted index of at most SHARD_SEGMENTS segments, with what verifies their items."""
+    """Inverted index of about SHARD_SEGMENTS / 2 segments, with what verifies their items."""
 
     def __init__(self, rows: list[tuple], items: dict[int, str]) -> None:
         segments = sorted({(r[0], r[1]) for r in rows})
@@ -87,9 +93,7 @@ class Shard:
         self.segments = [np.array([s for s, _ in sorted(postings[t])]) for t in self.terms]
         self.impacts = [np.array([i for _, i in sorted(postings[t])]) for t in self.terms]
         self.block_max = [[float(x[at : at + BLOCK].max()) for at in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.bounds = np.zeros((len(self.terms), -(-len(segments) // RANGE)), dtype=np.float32)
-        for k, (s, i) in enumerate(zip(self.segments, self.impacts, strict=True)):
-            np.maximum.at(self.bounds[k], s // RANGE, i.astype(np.float32))
+        self.step = max(float(x.max()) for x in self.impacts) / STEPS
         self.grams, self.longest = {}, 0  # bytes of the longest word
         for item, text in items.items():
             words = words_of(text)
@@ -99,6 +103,22 @@ class Shard:
             self.longest = max(self.longest, *map(len, words), 0)
         self.reach = max([PASSAGE, *(reach(q, a) for q, a, _ in self.grams.values())])
 
+    @cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the terms in order, and their numbers; made by each worker, like the bounds."""
+        found, _, _ = word_hashes(np.frombuffer(b" ".join(self.terms), dtype=np.uint8))
+        order = np.argsort(found)
+        return found[order], order
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        """Largest impact of each term in each range of segments, in steps, rounded up."""
+        bounds = np.zeros((len(self.terms), -(-len(self.item) // RANGE)), dtype=np.uint8)
+        term = np.repeat(np.arange(len(self.terms)), [len(x) for x in self.segments])
+        steps = np.ceil(np.concatenate(self.impacts) / self.step - 1e-9).clip(1, STEPS)
+        np.maximum.at(bounds, (term, np.concatenate(self.segments) // RANGE), steps.astype(np.uint8))
+        return bounds
+
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Segments whose impacts over these terms reach the threshold, by block-max WAND."""
         lists = [[0, t, float(self.impacts[t].max())] for t in terms]  # position, term, largest impact
@@ -150,12 +170,13 @@ def word_grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def passages_above(shard: Shard, hashes: np.ndarray, order: np.ndarray, words: np.ndarray, limits: np.ndarray) -> list[int]:
+def passages_above(shard: Shard, words: np.ndarray, limits: np.ndarray) -> list[int]:
     """Numbers of the half passages that begin a passage whose upper bound in some range reaches the threshold.
 
     words: term hash per word; limits: the word at which each half begins, and the end. A passage is a half
     and the next one, and each of its terms counts once, with its largest impact in the range.
     """
+    hashes, order = shard.hashes
     at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
     known = np.flatnonzero(hashes[at] == words)
     half, term = np.searchsorted(limits, known, side="right") - 1, order[at[known]]
@@ -164,8 +185,8 @@ def passages_above(shard: Shard, hashes: np.ndarray, order: np.ndarray, words: n
         return []
     passage, term = key // len(hashes), key % len(hashes)
     begins = np.flatnonzero(np.diff(passage, prepend=-1))
-    sums = np.add.reduceat(shard.bounds[term], begins, axis=0)
-    return passage[begins][sums.max(axis=1) >= THRESHOLD - 1e-3].tolist()
+    sums = np.add.reduceat(shard.bounds[term], begins, axis=0, dtype=np.uint16)  # a passage has at most PASSAGE terms
+    return passage[begins][sums.max(axis=1) * shard.step >= THRESHOLD - 1e-3].tolist()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -179,24 +200,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     unique = items.where(F.col(item_col).isNotNull()).groupBy(F.col(item_col).cast("long").alias("item_id")).agg(F.max(item_text_col).alias("text"))
     unique = staged(unique, "decontaminate-items")
     postings = staged(index_postings(unique), "decontaminate-postings")
-    totals = postings.groupBy("item").agg(F.countDistinct("place").alias("n"))
+    totals = staged(postings.groupBy("item").agg(F.countDistinct("place").alias("n")), "decontaminate-totals")
     n_segments = totals.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-n_segments // (SHARD_SEGMENTS // 2)))  # hashed to shards, which may be uneven
+    passes = max(1, -(-n_segments // (PASS_SEGMENTS // 2)))
+    dealt = F.pmod(F.xxhash64("item"), F.lit(passes))  # all segments of an item meet in one pass
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {kind}, item_id long, score double, question_share double, answer_share double"
     out = None
-    for k in range(shards if n_segments else 0):
-        mine = F.pmod(F.xxhash64("item"), F.lit(shards)) == k
-        rows = [tuple(r) for r in postings.where(mine).select("item", "place", "term", "impact").collect()]
-        texts_of = dict(unique.withColumnRenamed("item_id", "item").where(mine).select("item", "text").collect())
-        if not rows:
-            continue
-        found = docs.select(id_col, text_col).mapInArrow(_search(spark.sparkContext.broadcast(Shard(rows, {i: t or "" for i, t in texts_of.items()}))), fields)
+    for k, n in totals.groupBy(dealt.alias("pass")).agg(F.sum("n").alias("n")).sort("pass").collect():
+        shards, index = -(-n // (SHARD_SEGMENTS // 2)), []
+        for j in range(shards):
+            own = postings.where((dealt == k) & (F.pmod(F.xxhash64("item", "place"), F.lit(shards)) == j))
+            rows = [tuple(r) for r in own.select("item", "place", "term", "impact").collect()]
+            texts = unique.join(F.broadcast(own.select(F.col("item").alias("item_id")).distinct()), "item_id", "left_semi").collect()
+            if rows:
+                index.append(Shard(rows, {r["item_id"]: r["text"] or "" for r in texts}))
+        found = docs.select(id_col, text_col).mapInArrow(_search(spark.sparkContext.broadcast(index)), fields)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], fields)
 
 
-def tail(shard: Shard, joined: bytes, starts: np.ndarray, ends: np.ndarray, first: int, end: int) -> bytes:
+def tail(reach: int, longest: int, joined: bytes, starts: np.ndarray, ends: np.ndarray, first: int, end: int) -> bytes:
     """The last words of a part of a text, which go in front of its next part.
 
     They hold every passage whose reach crosses the cut, with the reach before it, from a half passage of the
@@ -204,17 +228,14 @@ def tail(shard: Shard, joined: bytes, starts: np.ndarray, ends: np.ndarray, firs
     are shortened to one byte more than those, so they still match none.
     """
     half = PASSAGE // 2
-    begin = first + max(0, end - first - 2 * shard.reach - PASSAGE) // half * half
-    return b"".join(joined[starts[i] : min(ends[i], starts[i] + shard.longest + 1)] + b" " for i in range(begin, end))
+    begin = first + max(0, end - first - 2 * reach - PASSAGE) // half * half
+    return b"".join(joined[starts[i] : min(ends[i], starts[i] + longest + 1)] + b" " for i in range(begin, end))
 
 
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = index.value
-        data = np.frombuffer(b" ".join(shard.terms), dtype=np.uint8)
-        hashes, _, _ = word_hashes(data)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
+        shards = index.value
+        reach, longest = max(x.reach for x in shards), max(x.longest for x in shards)
         for batch in batches:
             ids, values = batch.column(0), [(t or "").lower().encode("utf-8", "replace").translate(_SPACED) for t in batch.column(1).to_pylist()]
             rows, carried, done = [], {}, [0] * len(values)
@@ -229,10 +250,11 @@ def _search(index):
                 # halves of passages: they begin anew with each text
                 firsts = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for _, p in parts]))
                 if done[parts[-1][0]] < len(values[parts[-1][0]]):
-                    carried[parts[-1][0]] = tail(shard, joined, starts, ends, int(firsts[-2]), int(firsts[-1]))
+                    carried[parts[-1][0]] = tail(reach, longest, joined, starts, ends, int(firsts[-2]), int(firsts[-1]))
                 limits = np.concatenate([np.arange(a, max(b, a + 1), PASSAGE // 2) for a, b in zip(firsts[:-1], firsts[1:], strict=True)] + [firsts[-1:]])
                 limits = np.unique(limits)
-                rows += _verified(shard, joined, starts, ends, limits, firsts, parts, passages_above(shard, hashes, order, words, limits))
+                for shard in shards:
+                    rows += _verified(shard, joined, starts, ends, limits, firsts, parts, passages_above(shard, words, limits))
             best: dict[tuple[int, int], tuple] = {}
             for row, item, score, q, a in rows:
                 best[row, item] = tuple(map(max, best.get((row, item), (0.0, 0.0, 0.0)), (score, q, a)))

@@ -81,3 +81,30 @@ def test_an_edit_reads_few_leaves():
     tree = editcount.PieceTree(text, [len(p) for p in pieces], own.counts(pieces))
     tree.edit(own, 500_000, 3, "new")
     assert sum(not isinstance(x, int) for x in tree.leaves) <= 4
+
+
+def edited(rng, text, share):
+    """The text with a share of its words replaced."""
+    words = text.split()
+    for k in rng.sample(range(len(words)), round(share * len(words))):
+        words[k] = "other" + words[k][:3].lower()
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("segments", "share"), [(None, 0.05), ((2, 8), 0.05)])
+def test_edited_items_are_found_whatever_the_shards(spark, monkeypatch, segments, share):
+    if segments:
+        monkeypatch.setattr(decontaminate, "SHARD_SEGMENTS", segments[0])
+        monkeypatch.setattr(decontaminate, "PASS_SEGMENTS", segments[1])
+    rng = random.Random(23)
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
+    long = (10_000, " ".join(f"long{k} item{k % 7}" for k in range(150)) + "? " + " ".join(f"reply{k}" for k in range(60)) + ".")  # several segments
+    listed = [*map(tuple, items.collect()), long]
+    filler = lambda n: " ".join("fill" + "".join(rng.choices("abcdef", k=4)) for _ in range(n))
+    rows = [(i, f"{filler(rng.randint(0, 150))} {edited(rng, t, share)} {filler(60)}") for i, t in listed] + [(-1, filler(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(listed, "item_id long, text string")).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in found}) == len(found)
+    hits = {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
+    assert -1 not in {r["doc_id"] for r in found} and 10_000 in hits
+    assert len(hits) >= 0.9 * len(listed)
