@@ -34,7 +34,7 @@ STEPS = 255
 BLOCK = 16
 #: Fixed BM25 parameters, the share of a segment's weight that retrieves it, and the shares that verify it.
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.6, 0.6
+THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.4, 0.3
 #: Words of the n-grams that verify an item.
 GRAM = 3
 WORD_CHARS = "[a-z0-9\\x{80}-\\x{10FFFF}]+"

@@ -91,7 +91,7 @@ def edited(rng, text, share):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("segments", "share"), [(None, 0.05), ((2, 8), 0.05)])
+@pytest.mark.parametrize(("segments", "share"), [(None, 0.05), ((2, 8), 0.05), (None, 0.1)])
 def test_edited_items_are_found_whatever_the_shards(spark, monkeypatch, segments, share):
     if segments:
         monkeypatch.setattr(decontaminate, "SHARD_SEGMENTS", segments[0])
