@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -73,21 +72,25 @@ class Assigner:
         away holds the rounded-down distances to the pivots (n, positions, pivots), so a true one is below away + 1.
         """
         n, positions, _ = parts.shape
-        bound = np.zeros((n, positions, self.book.shape[1]), dtype=np.int64)
+        widest = max(int(away.max(initial=0)), int(self.high.max(initial=0)))
+        kind = np.int16 if widest < 32_000 else np.int32
+        away, low, high = away.astype(kind), self.low.astype(kind), self.high.astype(kind)
+        bound = np.zeros((n, positions, self.book.shape[1]), dtype=kind)
         for k in range(away.shape[2]):
-            d = away[:, :, k, None]
-            np.maximum(bound, np.maximum(d - self.high[None, :, k], self.low[None, :, k] - 1 - d), out=bound)
-        bound *= bound
+            gap = away[:, :, k, None] - high[None, :, k]
+            np.maximum(bound, gap, out=bound)
+            np.subtract(low[None, :, k] - 1, away[:, :, k, None], out=gap)
+            np.maximum(bound, gap, out=bound)
         flat, at = bound.reshape(n * positions, -1), np.tile(np.arange(positions), n)
         own, row = parts.reshape(n * positions, -1), np.arange(n * positions)
-        best, held, tried = np.full(len(row), np.iinfo(np.int64).max), flat, []
-        for _ in range(min(ORDERED, flat.shape[1])):
+        entry = flat.argmin(axis=1)
+        best, held = squares(own, self.book[at, entry]), flat.copy() if flat.shape[1] > 1 else flat
+        for _ in range(min(ORDERED, flat.shape[1]) - 1):
+            held[row, entry] = np.iinfo(kind).max
             entry = held.argmin(axis=1)
-            tried.append(entry)
             best = np.minimum(best, squares(own, self.book[at, entry]))
-            held = held.copy() if held is flat else held
-            held[row, entry] = np.iinfo(np.int64).max
-        open_ = flat <= best[:, None]  # equal bounds stay: an entry of lower index may be as near
+        # an integer bound is at most a distance if it is at most its rounded-down root; equal ones stay, as an entry of lower index may be as near
+        open_ = flat <= np.minimum(roots(best), np.iinfo(kind).max).astype(kind)[:, None]
         r, e = np.nonzero(open_)  # at least the nearest of those tried
         d = squares(own[r], self.book[at[r], e])
         begins = np.searchsorted(r, row)
@@ -117,7 +120,6 @@ def vector_codes(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds:
     """
     if not 0 < entries <= 256:
         raise ValueError("a code has two hexadecimal digits, so there are 1 to 256 entries")
-    spark = vectors.sparkSession
     x = F.col("vector")
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
