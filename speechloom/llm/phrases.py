@@ -15,6 +15,7 @@ once for all of its edges. What follows are joins of the tables of frequent phra
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ from speechloom.llm.perplexity import by_language
 ORDER = 4
 #: Bytes of text that are worked on as one numpy block, and distinct phrases that a task holds.
 BLOCK_BYTES, HELD = 1 << 19, 1 << 20
+#: Documents of which every STRIDE-th edge or end shows where ranges begin, and how many of these count.
+SAMPLED, STRIDE, SAMPLED_GRAMS = 2000, 16, 50_000
+#: Rows of a sorted partition that are worked on at once.
+GATHERED = 1 << 14
 #: Bytes of two neighbours that are compared as a block; longer ones are compared one by one.
 COMPARED = 64
 #: Edges of a path that one row holds.
@@ -117,37 +122,63 @@ def summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by("gram", use_threads=False).aggregate([("n", "sum")]).rename_columns(["gram", "n"])
 
 
-def edges_and_ends(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): counted edges and ends of whole texts, by task; docs has columns lang (not null) and text."""
+def counted_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """(lang, table of gram and n in order of gram): edges and ends of batches of (lang, text), counted a bounded number at a time."""
+    held: dict[str, list[pa.Table]] = {}
+    size = 0
+    for batch in batches:
+        langs, values = batch.column(0).to_pylist(), texts(batch.column(1))
+        for lang in dict.fromkeys(langs):
+            tails: dict[int, bytes] = {}
+            for block in parts([v for m, v in zip(langs, values, strict=True) if m == lang]):
+                counted = pc.value_counts(block_phrases(block, tails))
+                held.setdefault(lang, []).append(pa.table({"gram": counted.field(0), "n": counted.field(1)}))
+                size += len(counted)
+                if size > 2 * HELD:
+                    held = {k: [summed(v)] for k, v in held.items()}
+                    size = sum(len(t) for v in held.values() for t in v)
+                    if size > HELD:
+                        yield from ((k, v[0].sort_by("gram")) for k, v in held.items())
+                        held, size = {}, 0
+    yield from ((k, summed(v).sort_by("gram")) for k, v in held.items())
+
+
+def range_bounds(docs: DataFrame, ranges: int) -> list[tuple[bytes, bytes]]:
+    """Where ranges of about as many edges and ends begin, as (lang, gram), by a sample of about SAMPLED documents.
+
+    The bounds decide where a phrase is counted, and nothing else. The driver gets SAMPLED_GRAMS rows, about.
+    """
+    n = docs.count()
+    if not n or ranges < 2:
+        return []
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, found in counted_phrases(batches):
+            few = found.column(0).take(pa.array(np.arange(0, len(found), STRIDE)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(few), type=pa.string()), few.combine_chunks()], names=["lang", "gram"])
+
+    sample = docs.sample(min(1.0, SAMPLED / n), seed=13).mapInArrow(thinned, "lang string, gram string")
+    kept = sample.withColumn("n", F.xxhash64("lang", "gram")).orderBy("n").limit(SAMPLED_GRAMS).select("lang", "gram")
+    found = sorted((r["lang"].encode(), r["gram"].encode()) for r in kept.collect())
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+
+
+def dealt_phrases(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n): counted edges and ends of whole texts, in ranges that are sorted; docs has columns lang (not null) and text."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[pa.Table]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, tables in held.items():
-                # in order, so that neighbours in the exchange share their beginnings
-                for b in summed(tables).sort_by("gram").to_batches(max_chunksize=1 << 15):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), type=pa.string()), b.column(0), b.column(1)], names=["lang", "gram", "n"])
-            held.clear()
-
-        for batch in batches:
-            langs, values = batch.column(0).to_pylist(), texts(batch.column(1))
-            for lang in dict.fromkeys(langs):
-                tails: dict[int, bytes] = {}
-                for block in parts([v for m, v in zip(langs, values, strict=True) if m == lang]):
-                    counted = pc.value_counts(block_phrases(block, tails))
-                    held.setdefault(lang, []).append(pa.table({"gram": counted.field(0), "n": counted.field(1)}))
-                    size += len(counted)
-                    if size > 2 * HELD:
-                        held = {k: [summed(v)] for k, v in held.items()}
-                        size = sum(len(t) for v in held.values() for t in v)
-                        if size > HELD:
-                            yield from out()
-                            size = 0
-        yield from out()
-
-    return docs.mapInArrow(run, "lang string, gram string, n long")
+        for lang, found in counted_phrases(batches):
+            gram, n = (c.combine_chunks() for c in found.columns)
+            own = lang.encode()
+            cuts = [bisect_left(range(len(gram)), b, key=lambda k: gram[k].as_py().encode()) for m, b in bounds if m == own]
+            at = sum(m < own for m, _ in bounds) + np.searchsorted(cuts, np.arange(len(gram)), side="right")
+            whole = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([lang]).take(pa.array(np.zeros(len(gram), dtype=np.int32))), gram, n], names=["range", "lang", "gram", "n"])
+            yield from (whole.slice(k, 1 << 15) for k in range(0, len(gram), 1 << 15))
+
+    counted = docs.mapInArrow(run, "range int, lang string, gram string, n long")
+    return counted.repartitionById(ranges, F.col("range")).drop("range").sortWithinPartitions("lang", "gram")
 
 
 def shared_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -167,6 +198,23 @@ def shared_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum(shared, least)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Columns of GATHERED rows or more, from batches that are small for the sake of long texts; the gram as bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield _columns(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    lang, gram, n = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+    return lang, gram.cast(pa.binary()), n.to_numpy()
+
+
 def flows(sorted_grams: DataFrame, least: int) -> DataFrame:
     """(lang, k, phrase, n) from edges and ends that are sorted within partitions: counts of phrases of k words.
 
@@ -184,27 +232,27 @@ def flows(sorted_grams: DataFrame, least: int) -> DataFrame:
             plain = [p.replace(b"\0", b" ").replace(b"\t", b"\0").decode() for p in phrases]
             return pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array([k] * len(n), type=pa.int32()), pa.array(plain, type=pa.string()), pa.array(n, type=pa.int64())], names=["lang", "k", "phrase", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs, grams, n = batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_numpy()
+        for lang, gram, number in gathered(batches):
             head = carried is not None
             if head:
-                langs, grams, n = [carried[0], *langs], [carried[1], *grams], np.concatenate(([0], n))
-            data = np.frombuffer(b"".join(grams) or b"\1", dtype=np.uint8)
-            offsets = np.concatenate(([0], np.cumsum([len(g) for g in grams])))
+                lang, gram = (pa.concat_arrays([pa.array([c], type=x.type), x]) for c, x in zip(carried, (lang, gram), strict=True))
+            n = np.concatenate(([0], number)) if head else number
+            offsets = np.frombuffer(gram.buffers()[1], dtype=np.int32)[gram.offset : gram.offset + len(gram) + 1].astype(np.int64)
+            data = np.frombuffer(gram.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]][offsets[0] :]
+            offsets -= offsets[0]
             sizes = np.diff(offsets)
-            names, codes = np.unique(langs, return_inverse=True)
-            for name, s in zip(names.tolist(), np.bincount(codes, weights=n).astype(np.int64).tolist(), strict=True):
+            named = lang.dictionary_encode()
+            names, codes = named.dictionary.to_pylist(), named.indices.to_numpy()
+            for name, s in zip(names, np.bincount(codes, weights=n).astype(np.int64).tolist(), strict=True):
                 words[name] = words.get(name, 0) + s
             other = np.concatenate(([True], codes[1:] != codes[:-1]))
             # where the first k words of each row end, -1 if it has fewer
-            gaps = np.flatnonzero(data == 0) if offsets[-1] else np.zeros(0, dtype=np.int64)
+            gaps = np.flatnonzero(data == 0)
             rows = np.searchsorted(offsets, gaps, side="right") - 1
-            count = np.bincount(rows, minlength=len(grams))
-            until = np.full((len(grams), ORDER + 1), -1, dtype=np.int64)
+            count = np.bincount(rows, minlength=len(gram))
+            until = np.full((len(gram), ORDER + 1), -1, dtype=np.int64)
             until[rows, 1 + np.arange(len(rows)) - np.searchsorted(rows, rows)] = gaps - offsets[rows]
-            until[np.arange(len(grams)), count + 1] = sizes
+            until[np.arange(len(gram)), count + 1] = sizes
             common = np.concatenate(([0], shared_bytes(data, offsets)))
             before = np.concatenate(([-1], sizes[:-1]))
             for k in range(1, ORDER + 1):
@@ -220,7 +268,7 @@ def flows(sorted_grams: DataFrame, least: int) -> DataFrame:
                 goes_on = head and has[0] == 0  # row 0 is the one carried over
                 value[0] += open_[k] if goes_on else 0
                 sums = np.add.reduceat(value, starts)
-                last_open = has[-1] == len(grams) - 1
+                last_open = has[-1] == len(gram) - 1
                 first_border = border[k] and (goes_on or (not head and has[0] == 0))
                 given = sums >= least
                 given[0] |= first_border
@@ -231,10 +279,10 @@ def flows(sorted_grams: DataFrame, least: int) -> DataFrame:
                 chosen = np.flatnonzero(given)
                 if len(chosen):
                     at = has[starts[chosen]]
-                    yield shown([langs[i] for i in at], [grams[i][: until[i, k]] for i in at], k, sums[chosen].tolist())
+                    yield shown([names[codes[i]] for i in at], [data[offsets[i] : offsets[i] + until[i, k]].tobytes() for i in at], k, sums[chosen].tolist())
             if not head:
                 border = [b and until[0, k] >= 0 and b for k, b in enumerate(border)]
-            carried = (langs[-1], grams[-1])
+            carried = (names[codes[-1]], data[offsets[-2] :].tobytes())
         if carried is not None:
             own = carried[1].split(b"\0")
             for k in range(1, len(own) + 1):
@@ -246,8 +294,7 @@ def flows(sorted_grams: DataFrame, least: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, k, phrase, n): phrases of 1 to ORDER words that occur `least` times, and with k = 0 the words of each language."""
-    dealt = edges_and_ends(docs).repartitionByRange("lang", "gram").sortWithinPartitions("lang", "gram")
-    sums = flows(dealt, least).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    sums = flows(dealt_phrases(docs), least).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return staged(sums.where((F.col("k") == 0) | (F.col("n") >= least)), "phrases-counts")
 
 
