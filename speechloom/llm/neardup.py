@@ -18,7 +18,8 @@ number and the others a number made of their digest, above all ids; the id's row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,29 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, bands array<long>, agree binary")
 
 
+class Compare(NamedTuple):
+    """How sketches tell that sets may be similar enough; both give boolean arrays and never miss what they must find."""
+
+    #: Of rows of pairs: (sketches, other sketches, sizes, other sizes, percent).
+    pairs: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray, int], np.ndarray]
+    #: Of a group: (sketches, sizes, percent) gives a function of a member and an array of members.
+    within: Callable[[list[bytes], np.ndarray, int], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def _agreeing_pairs(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS) for v in (x, y))
+    return (a == b).mean(axis=1) >= LEAST_AGREEMENT
+
+
+def _agreeing_within(sketches: list[bytes], n: np.ndarray, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    values = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)
+    return lambda k, near: (values[near] == values[k]).mean(axis=1) >= LEAST_AGREEMENT
+
+
+#: By the share of signature values that agree.
+AGREEMENT = Compare(_agreeing_pairs, _agreeing_within)
+
+
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be similar enough at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -171,12 +195,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         ends = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"))
         while True:
             ends = staged(ends, f"{label}-ends")
-            following = ends.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            if ends.join(following, "component").where("next <> component").isEmpty():
+            onwards = looked_up(ends, "component", ends.select(F.col("node").alias("component"), F.col("component").alias("next")), "next")
+            if onwards.where("next <> component").isEmpty():
                 break
-            ends = ends.join(following, "component").select("node", F.col("next").alias("component"))
-        left = edges.join(ends.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
-        moved = left.join(ends.select(F.col("node").alias("b"), F.col("component").alias("y")), "b").where("x <> y")
+            ends = onwards.select("node", F.col("next").alias("component"))
+        left = looked_up(edges, "a", ends.select(F.col("node").alias("a"), F.col("component").alias("x")), "x")
+        moved = looked_up(left, "b", ends.select(F.col("node").alias("b"), F.col("component").alias("y")), "y").where("x <> y")
         edges = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-edges")
         found = ends if found is None else staged(relinked(found, ends), f"{label}-found")
     if found is not None and not n:
@@ -205,7 +229,15 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def relinked(found: DataFrame, ends: DataFrame) -> DataFrame:
     """(node, component) of found, with components replaced by where they end."""
     later = ends.select(F.col("node").alias("component"), F.col("component").alias("end"))
-    return found.join(later, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    every = sizes.join(later, "component", "left").withColumn("end", F.coalesce("end", "component"))
+    return with_class(found, every, ["component"], "end").select("node", F.col("end").alias("component"))
+
+
+def looked_up(rows: DataFrame, key: str, known: DataFrame, wanted: str) -> DataFrame:
+    """rows with the column `wanted` of known, which has one row per key; a key may have any number of rows."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    return with_class(rows, sizes.join(known, key), [key], wanted)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,6 +251,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = staged(sketch(rows, width), "neardup-sketch")
+    out = components_by_class(sketched, lambda nodes: class_links(rows, nodes, width, percent))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def components_by_class(sketched: DataFrame, find_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of sketched rows (doc_id, n_shingles, high, low, bands, agree).
+
+    find_links takes the classes of equal sets (node, least_id, high, low, n_shingles, bands, agree, size) and gives edges
+    (a, b) between them.
+    """
     filled = sketched.where("doc_id is not null and n_shingles > 0")
     key = ["high", "low", "n_shingles"]
     sized = filled.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("agree").alias("agree"))
@@ -228,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     other = F.col("first").isNotNull() & (F.col("first") != F.struct(*key))
     numbered = sized.join(owner.drop("n"), "least_id", "left").withColumn("node", F.when(other, F.lit(SECOND) + F.shiftrightunsigned(F.xxhash64("high", "low"), 2)).otherwise(F.col("least_id")))
     nodes = staged(numbered.drop("first"), "neardup-nodes")
-    links = class_links(rows, nodes, width, percent)
+    links = find_links(nodes)
     # rows of one id that are in several classes tie these
     several = filled.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
     member = staged(filled.select("doc_id", *key).join(several, "doc_id", "left_semi").join(nodes.select(*key, "node"), key).select("doc_id", "node"), "neardup-several")
@@ -239,33 +281,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = with_class(filled.select("doc_id", *key), placed, key, "component").select("doc_id", "n_shingles", "component")
     alone = sketched.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = found.unionByName(alone)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
 def class_links(rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that join all classes which links connect; nodes (node, least_id, high, low, n_shingles, bands, agree)."""
+    known = tied_clusters(nodes, percent, AGREEMENT)
+    sets = full_sets(rows, known.select("node", "least_id", "high", "low"), width)
+    held = staged(known.select("node", "cluster", "n", "agree").join(sets, "node"), "neardup-held")
+    slim = held.select("cluster", "node", "n")
+    sizes = staged(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * (TILE / TILE_SHINGLES))).alias("size")), "neardup-cluster-sizes")
+    links = staged(pivot_links(held, sizes, percent), "neardup-links")
+    labels = relabelled(held.select("node"), components(links, "neardup-linked"))
+    placed = cluster_rest(staged(slim.join(labels, "node"), "neardup-slim"), sizes).join(held.select("node", "agree", "hashes"), "node")
+    more = tiles(staged(placed, "neardup-placed"), "cluster").groupBy("key", "i", "j").applyInArrow(link_tile(percent, AGREEMENT), "a long, b long")
+    return links.unionByName(staged(more.distinct(), "neardup-more"))
+
+
+def tied_clusters(nodes: DataFrame, percent: int, compare: Compare) -> DataFrame:
+    """(node, cluster, least_id, high, low, n, agree) of classes that share a band with others: links lie within clusters.
+
+    Bands have members in any number, as a template may have millions of variants, so what belongs to a band or a pivot
+    is joined by with_class().
+    """
     buckets = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staged(buckets.join(shared, "band"), "neardup-buckets")
+    buckets = staged(with_class(buckets, shared, ["band"], "size"), "neardup-buckets")
     agree = nodes.select("node", "agree")
     labels = buckets.select("node").distinct().select("node", F.col("node").alias("component"))
-    ties = staged(pivot_ties(buckets, agree, percent), "neardup-ties")
+    ties = staged(pivot_ties(buckets, agree, percent, compare), "neardup-ties")
     labels = staged(relabelled(labels, components(ties, "neardup-tied")), "neardup-labels")
     placed = with_rest(buckets.join(labels, "node"), "band")
-    others = tiles(placed.where("rest_size > 0").join(agree, "node"), "band").groupBy("key", "i", "j").applyInArrow(tie_tile(percent), "a long, b long")
+    others = tiles(placed.join(agree, "node"), "band").groupBy("key", "i", "j").applyInArrow(tie_tile(percent, compare), "a long, b long")
     # edges between the components so far, which hold the nodes
     whole = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(staged(others.distinct(), "neardup-others")), "neardup-clusters")
     clusters = whole.select("node", F.col("component").alias("cluster"))
-    known = nodes.join(clusters, "node").select("node", "cluster", "least_id", "high", "low", F.col("n_shingles").alias("n"), "agree")
-    sets = full_sets(rows, known.select("node", "least_id", "high", "low"), width)
-    held = staged(known.select("node", "cluster", "n", "agree").join(sets, "node"), "neardup-held")
-    slim = held.select("cluster", "node", "n")
-    sizes = staged(slim.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * (TILE / TILE_SHINGLES))).alias("size")), "neardup-cluster-sizes")
-    links = staged(pivot_links(held, sizes, percent), "neardup-links")
-    labels = relabelled(held.select("node"), components(links, "neardup-linked"))
-    placed = cluster_rest(staged(slim.join(labels, "node"), "neardup-slim"), sizes).join(held.select("node", "agree", "hashes"), "node")
-    more = tiles(staged(placed, "neardup-placed"), "cluster").groupBy("key", "i", "j").applyInArrow(link_tile(percent), "a long, b long")
-    return links.unionByName(staged(more.distinct(), "neardup-more"))
+    return nodes.join(clusters, "node").select("node", "cluster", "least_id", "high", "low", F.col("n_shingles").alias("n"), "agree")
 
 
 def rank() -> Column:
@@ -273,61 +324,65 @@ def rank() -> Column:
     return F.struct(F.xxhash64("node").alias("rank"), "node")
 
 
-def pivot_ties(buckets: DataFrame, agree: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class that agrees with its bucket's pivot in enough signature values, and that pivot.
+def pivot_ties(buckets: DataFrame, agree: DataFrame, percent: int, compare: Compare) -> DataFrame:
+    """(a, b): each class whose sketch is similar enough to that of its bucket's pivot, and that pivot.
 
     The pivot is the class with the smallest hash, so the buckets of one family tend to share it.
     """
-    pivots = buckets.groupBy("band").agg(F.min_by(F.struct("node", "n"), rank()).alias("p"))
-    beside = buckets.join(pivots, "band").where((F.col("p.node") != F.col("node")) & sizes_allow(F.col("n"), F.col("p.n"), percent))
-    pairs = beside.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    left = pairs.join(agree.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a")
-    both = left.join(agree.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b").select("a", "b", "x", "y")
+    pivots = buckets.groupBy("band").agg(F.min_by(F.struct("node", "n"), rank()).alias("p"), F.count(F.lit(1)).alias("size"))
+    beside = with_class(buckets.select("band", "node", "n"), pivots, ["band"], "p").where((F.col("p.node") != F.col("node")) & sizes_allow(F.col("n"), F.col("p.n"), percent))
+    pairs = staged(beside.select("node", "n", F.col("p.node").alias("b"), F.col("p.n").alias("m")).distinct(), "neardup-pivot-pairs")
+    both = looked_up(pairs, "b", agree.select(F.col("node").alias("b"), F.col("agree").alias("y")), "y").join(agree.select("node", F.col("agree").alias("x")), "node").select("node", "b", "x", "y", "n", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS) for i in (2, 3))
-            chosen = pa.array(np.flatnonzero((x == y).mean(axis=1) >= LEAST_AGREEMENT))
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            chosen = pa.array(np.flatnonzero(compare.pairs(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def pivot_links(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets.
-
-    The pivots of a heavy cluster are repeated, so that each copy of them meets at most 1 / common.HEAVY of all classes.
-    """
+    """(a, b): classes of a cluster that are linked with one of its PIVOTS pivots, on the full sets."""
     w = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
     chosen = held.select("cluster", "node", F.row_number().over(w).alias("k")).where(F.col("k") <= PIVOTS).select("cluster", "node")
+    near = pivot_overlaps(held, sizes, chosen, held, percent)
+    return near.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select(F.col("node").alias("a"), "b")
+
+
+def pivot_overlaps(held: DataFrame, sizes: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int = 0) -> DataFrame:
+    """(cluster, node, b, n, m, common) of the members of clusters and each of their chosen pivots (cluster, node) of a size that percent allows.
+
+    held: cluster, node, n, hashes; sets: node, n, hashes; sizes: cluster, members. The pivots of a heavy cluster are repeated, so that each
+    copy of them meets at most 1 / common.HEAVY of all classes.
+    """
     total = sizes.agg(F.sum("members").alias("total"))
     heavy = sizes.crossJoin(F.broadcast(total)).where(F.col("members") * common.HEAVY >= F.col("total"))  # one row of totals
     heavy = F.broadcast(heavy.select("cluster", F.ceil(F.col("members") * common.HEAVY / F.col("total")).cast("int").alias("parts")))  # at most common.HEAVY rows
     parts = F.coalesce("parts", F.lit(1))
-    pivots = chosen.join(held.select("node", F.col("n").alias("m"), F.col("hashes").alias("y")), "node").join(heavy, "cluster", "left")
+    pivots = chosen.join(sets.select("node", F.col("n").alias("m"), F.col("hashes").alias("y")), "node").join(heavy, "cluster", "left")
     pivots = pivots.select("cluster", F.col("node").alias("b"), "m", "y", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     dealt = held.join(heavy, "cluster", "left").select("cluster", "node", "n", "hashes", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    both = dealt.join(pivots, ["cluster", "part"]).where((F.col("node") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"), percent)).select("node", "b", "hashes", "y")
+    both = dealt.join(pivots, ["cluster", "part"]).where((F.col("node") != F.col("b")) & sizes_allow(F.col("n"), F.col("m"), percent)).select("cluster", "node", "b", "n", "m", "hashes", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            shared = []
+            for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
-            rows = pa.array(keep, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+                shared.append(int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(shared, type=pa.int64())], names=["cluster", "node", "b", "n", "m", "common"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "cluster long, node long, b long, n long, m long, common long")
 
 
 def with_rest(members: DataFrame, key: str) -> DataFrame:
-    """members (key, node, n, size, component) with rest (not in the first pivot's component) and rest_size of their group."""
-    main = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"))
-    marked = members.join(main, key).withColumn("rest", F.col("component") != F.col("main")).drop("main")
-    return marked.join(marked.groupBy(key).agg(F.count_if("rest").alias("rest_size")), key)
+    """members (key, node, n, size, component) of groups that have a rest, with rest (not in the first pivot's component) and rest_size."""
+    groups = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    marked = with_class(members, groups, [key], "main")
+    marked = staged(marked.withColumn("rest", F.col("component") != F.col("main")).drop("main"), "neardup-marked-bands")
+    return with_class(marked, marked.groupBy(key).agg(F.count_if("rest").alias("rest_size"), F.count(F.lit(1)).alias("size")), [key], "rest_size")
 
 
 def cluster_rest(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -358,16 +413,16 @@ def tiles(placed: DataFrame, key: str) -> DataFrame:
     return right.unionByName(left).withColumnRenamed(key, "key").drop("rest", "rest_size", "size")
 
 
-def tile_candidates(group: pa.Table, percent: int, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def tile_candidates(group: pa.Table, percent: int, component: np.ndarray, compare: Compare) -> Iterator[tuple[int, np.ndarray]]:
     """(left member, right members that may be similar enough) of a tile, across components as they are by then."""
     n = group.column("n").to_numpy()
-    values = np.frombuffer(b"".join(group.column("agree").to_pylist()), dtype=np.uint8).reshape(-1, 2 * PERMUTATIONS)
+    similar = compare.within(group.column("agree").to_pylist(), n, percent)
     side = group.column("left").to_numpy(zero_copy_only=False)
     right = np.flatnonzero(~side)
     for k in np.flatnonzero(side):
         near = right[(component[right] != component[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
         if len(near):
-            near = near[(values[near] == values[k]).mean(axis=1) >= LEAST_AGREEMENT]
+            near = near[similar(k, near)]
         if len(near):
             yield k, near
 
@@ -379,10 +434,10 @@ def joined(component: np.ndarray, members: np.ndarray) -> list[int]:
     return members[at].tolist()
 
 
-def tie_tile(percent: int):
+def tie_tile(percent: int, compare: Compare):
     def run(group: pa.Table) -> pa.Table:
         node, component, a, b = group.column("node").to_numpy(), group.column("component").to_numpy().copy(), [], []
-        for k, near in tile_candidates(group, percent, component):
+        for k, near in tile_candidates(group, percent, component, compare):
             for m in joined(component, np.append(near, k)):
                 a.append(node[k])
                 b.append(node[m])
@@ -391,7 +446,7 @@ def tie_tile(percent: int):
     return run
 
 
-def link_tile(percent: int):
+def link_tile(percent: int, compare: Compare):
     def run(group: pa.Table) -> pa.Table:
         node, component, a, b = group.column("node").to_numpy(), group.column("component").to_numpy().copy(), [], []
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("hashes").to_pylist()]
@@ -399,7 +454,7 @@ def link_tile(percent: int):
         kinds, codes = np.unique(np.concatenate(sets), return_inverse=True)
         begins = np.concatenate(([0], np.cumsum(size)))
         marked = np.zeros(len(kinds), dtype=np.int64)
-        for k, near in tile_candidates(group, percent, component):
+        for k, near in tile_candidates(group, percent, component, compare):
             marked[codes[begins[k] : begins[k + 1]]] = 1
             common = np.array([marked[codes[begins[m] : begins[m + 1]]].sum() for m in near])
             marked[codes[begins[k] : begins[k + 1]]] = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.llm import codes, decontaminate, editcount, neardup, packing, perplexity, personal, phrases, quality, roles, urlrules, warc
+from speechloom.llm import codes, decontaminate, editcount, metricjoin, neardup, packing, perplexity, personal, phrases, quality, roles, urlrules, warc
 from speechloom.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op12_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
@@ -78,5 +82,5 @@ def op13_graph_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_role_repair, op3_contextual_pii, op4_perplexity_bands, op5_minmax_neardup, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc, op12_pivot_codes, op13_graph_phrases)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_role_repair, op3_contextual_pii, op4_perplexity_bands, op5_minmax_neardup, op6_url_rules, op7_subword_classifier, op8_edit_counts, op9_benchmark_leaks, op10_seekable_warc, op11_voronoi_join, op12_pivot_codes, op13_graph_phrases)}
 ORACLES = {"op6_url_rules": urlrules.ORACLE, "op10_seekable_warc": warc.ORACLE, "op12_pivot_codes": codes.ORACLE, "op13_graph_phrases": phrases.ORACLE}
