@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
 from speechloom.operators import sequence
+from speechloom.operators.scan import prefix_scan
 
 BUDGET_MS = 20_000
 #: Gap that merges regions of user activity: four hours in ms.
@@ -126,7 +127,8 @@ class Views:
     @cached_property
     def step(self) -> DataFrame:
         """Metric rows: run, step, loss (NaN at step 1)."""
-        numbered = self.table("events").select(F.col("event_type").alias("run"), F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long").alias("step"), "value")
+        rows = self.table("events").select(F.col("event_type").alias("run"), "event_id", "value")
+        numbered = prefix_scan(rows, ["run"], [F.col("event_id")], {"step": ("sum", F.lit(1).cast("long"))})
         return numbered.select("run", "step", F.when(F.col("step") == 1, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"))
 
     @cached_property

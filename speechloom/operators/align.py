@@ -2,36 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: Characters that stand for the words of a pair; their number is the limit of word_distance().
+#: Characters that stand for the words of a short pair.
 _FIRST, _LAST = 0xE000, 0xF8FF
 _SIGNS = "".join(map(chr, range(_FIRST, _LAST + 1)))
-MOST_WORDS = len(_SIGNS)
+#: Words of a pair, of both sides, up to which the built-in distance serves.
+SHORT_PAIR = 400
 #: Cells of the table of costs that are held at once for one pair.
 MOST_CELLS = 1 << 22
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance by built-ins: each distinct word of the pair becomes one private-use character.
+    """Word-level edit distance; null arrays count as empty.
 
-    For pairs of at most 6,400 distinct words; null beyond, where edit_operations() serves.
+    In short pairs each distinct word becomes one private-use character, and the built-in distance serves; longer pairs
+    go to a function of bit vectors. Short ones hand nulls to it.
     """
+    ref, hyp = (F.coalesce(x, F.array().cast("array<string>")) for x in (ref, hyp))
+    long = F.size(ref) + F.size(hyp) > SHORT_PAIR
+
     def distance(pair: Column) -> Column:
         def spelled(words: Column) -> Column:
             return F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SIGNS), F.array_position(pair["known"], w).cast("int"), F.lit(1))), "")
 
-        return F.when(F.size(pair["known"]) <= len(_SIGNS), F.levenshtein(spelled(pair["ref"]), spelled(pair["hyp"])).cast("long"))
+        return F.levenshtein(spelled(pair["ref"]), spelled(pair["hyp"])).cast("long")
 
     # an array of one pair, so that the distinct words are found once and not for each word
     one = F.array(F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("known")))
-    return F.get(F.transform(one, distance), F.lit(0))
+    short = F.when(~long, F.get(F.transform(one, distance), F.lit(0)))
+    return F.coalesce(short, long_distances(F.when(long, ref), F.when(long, hyp)))
+
+
+def bit_distance(ref: list[str], hyp: list[str]) -> int:
+    """Word-level edit distance by bit vectors: a column of the table of costs is two integers of a bit per word of ref.
+
+    The bits say where the cost rises and where it falls by one from a word to the next, so a word of hyp takes a few
+    operations on len(ref) / 64 machine words. What both sides begin and end with is left out.
+    """
+    n, m = len(ref), len(hyp)
+    begin = next((k for k in range(min(n, m)) if ref[k] != hyp[k]), min(n, m))
+    end = next((k for k in range(min(n, m) - begin) if ref[n - 1 - k] != hyp[m - 1 - k]), min(n, m) - begin)
+    ref, hyp = ref[begin : n - end], hyp[begin : m - end]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(ref):
+        places.setdefault(w, []).append(k)
+    where = {w: bits_at(places[w], len(ref)) for w in places.keys() & set(hyp)}
+    whole, last = (1 << len(ref)) - 1, 1 << (len(ref) - 1)
+    rises, falls, cost = whole, 0, len(ref)
+    for w in hyp:
+        same = where.get(w, 0)
+        flat = (((same & rises) + rises) ^ rises) | same | falls  # where the diagonal step is free, or a fall goes on
+        up = falls | (whole & ~(flat | rises))
+        down = rises & flat
+        cost += bool(up & last) - bool(down & last)
+        up, down = (up << 1) | 1, down << 1
+        rises, falls = (down | (whole & ~(flat | up))) & whole, up & flat & whole
+    return cost
+
+
+def bits_at(places: list[int], size: int) -> int:
+    out = np.zeros(size, dtype=np.uint8)
+    out[places] = 1
+    return int.from_bytes(np.packbits(out, bitorder="little").tobytes(), "little")
+
+
+@F.pandas_udf(LongType())
+def long_distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """bit_distance() of the pairs that are not null."""
+    return pd.Series([None if r is None else bit_distance(list(r), list(h)) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
 def alignment_path(ref: list[str], hyp: list[str]) -> str:
@@ -99,15 +147,23 @@ def operation_counts(ops: Column) -> dict[str, Column]:
     return {name: (F.length(ops) - F.length(F.replace(ops, F.lit(sign)))).cast("long") for name, sign in names.items()}
 
 
-def steps(aligned: DataFrame, *more: str) -> DataFrame:
-    """One row per operation: clip, pos, op, and how many words of ref (i) and hyp (j) are used up by then.
+@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("i", "j")]))
+def words_used(ops: pd.Series) -> pd.DataFrame:
+    """How many words of ref (i) and of hyp (j) are used up by each operation of a string."""
+    signs = [np.frombuffer((o or "").encode(), dtype=np.uint8) for o in ops]
+    return pd.DataFrame({"i": [np.cumsum(s != ord("I"), dtype=np.int32) for s in signs], "j": [np.cumsum(s != ord("D"), dtype=np.int32) for s in signs]})
+
+
+def steps(aligned: DataFrame, row: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """clip and the fields of row(pos, op, i, j), a struct, for each operation of the pairs.
 
-    i and j are counted in the row's own operations, so nothing is shuffled.
+    i and j are counted in one pass over the pair, and the struct is made inside of it, so a row that leaves the pair
+    carries no arrays, and nothing is shuffled.
     """
-    signs = aligned.select("clip", "ref", "hyp", "ops", *more, F.posexplode(F.filter(F.split("ops", ""), lambda s: s != "")).alias("pos", "op"))
-    so_far = F.substring(F.col("ops"), F.lit(1), F.col("pos") + 1)
-    used = {name: F.length(F.replace(so_far, F.lit(other))) for name, other in (("i", "I"), ("j", "D"))}
-    return signs.withColumns(used)
+    counted = aligned.withColumn("__used", words_used("ops"))
+    signs = F.filter(F.split("ops", ""), lambda s: s != "")
+    made = F.transform(signs, lambda op, pos: row(pos, op, F.get(F.col("__used.i"), pos), F.get(F.col("__used.j"), pos)))
+    return counted.select("clip", F.inline(made))
 
 
 def alignment_rows(aligned: DataFrame) -> DataFrame:
@@ -116,10 +172,14 @@ def alignment_rows(aligned: DataFrame) -> DataFrame:
     A word that is inserted takes the label of the next reference word, behind the last one of the last, and
     unknown where there is none.
     """
-    i, j, op = F.col("i"), F.col("j"), F.col("op")
-    named = F.when(op == "C", "correct").when(op == "S", "substitution").when(op == "D", "deletion").otherwise("insertion")
-    label = F.when(op != "I", F.get("lang", i - 1)).otherwise(F.coalesce(F.get("lang", i), F.get("lang", i - 1), F.lit("unknown")))
-    return steps(aligned, "lang").select("clip", F.col("pos").cast("long").alias("pos"), named.alias("operation"), F.when(op == "I", "").otherwise(F.get("ref", i - 1)).alias("reference"), F.when(op == "D", "").otherwise(F.get("hyp", j - 1)).alias("hypothesis"), label.alias("langid"))
+
+    def row(pos: Column, op: Column, i: Column, j: Column) -> Column:
+        named = F.when(op == "C", "correct").when(op == "S", "substitution").when(op == "D", "deletion").otherwise("insertion")
+        label = F.when(op != "I", F.get("lang", i - 1)).otherwise(F.coalesce(F.get("lang", i), F.get("lang", i - 1), F.lit("unknown")))
+        reference, hypothesis = F.when(op == "I", "").otherwise(F.get("ref", i - 1)), F.when(op == "D", "").otherwise(F.get("hyp", j - 1))
+        return F.struct(pos.cast("long").alias("pos"), named.alias("operation"), reference.alias("reference"), hypothesis.alias("hypothesis"), label.alias("langid"))
+
+    return steps(aligned, row)
 
 
 def positional_labels(words: Column, labels: Column) -> Column:
@@ -129,5 +189,8 @@ def positional_labels(words: Column, labels: Column) -> Column:
 
 def counterparts(aligned: DataFrame) -> DataFrame:
     """(clip, pos, word, predicted): each reference word and the word it is aligned with, null where deleted."""
-    i, j = F.col("i"), F.col("j")
-    return steps(aligned).where("op <> 'I'").select("clip", F.col("i").cast("long").alias("pos"), F.get("ref", i - 1).alias("word"), F.when(F.col("op") != "D", F.get("hyp", j - 1)).alias("predicted"))
+
+    def row(_: Column, op: Column, i: Column, j: Column) -> Column:
+        return F.struct(i.cast("long").alias("pos"), F.get("ref", i - 1).alias("word"), F.when(op != "D", F.get("hyp", j - 1)).alias("predicted"), op.alias("__op"))
+
+    return steps(aligned, row).where("__op <> 'I'").drop("__op")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechloom.sources.scratch import staged
+from speechloom.operators.scan import prefix_scan
 
 
 def complete_recordings(audio: DataFrame, chats: DataFrame, words: DataFrame) -> DataFrame:
@@ -24,10 +24,22 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, bucket_ms: int) -> DataFrame:
-    """Pairs with start_ms <= t <= end_ms in the same rec, by an equi-join on the time buckets that intervals cover."""
-    covered = intervals.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.greatest("end_ms", "start_ms") / bucket_ms))))
-    placed = points.withColumn("__b", F.floor(F.col("t") / bucket_ms))
-    return placed.join(covered, ["rec", "__b"]).where((F.col("t") >= F.col("start_ms")) & (F.col("t") <= F.col("end_ms"))).drop("__b")
+    """Pairs with start_ms <= t <= end_ms in the same rec, by an equi-join on buckets of time.
+
+    Buckets of level k are bucket_ms * 2 ** k long. An interval lies in the level whose buckets are as long as itself, so
+    in two or three buckets, whatever its length; a point is looked up in one bucket of each level that has intervals.
+    Intervals that end before they start, and nulls, meet nothing.
+    """
+    length = F.col("end_ms") - F.col("start_ms")
+    leveled = intervals.where(length >= 0).withColumn("__k", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / bucket_ms))).cast("int"))
+
+    def bucket(at: str) -> Column:
+        return F.floor(F.col(at) / (F.lit(float(bucket_ms)) * F.pow(F.lit(2.0), F.col("__k")))).cast("long")
+
+    covered = leveled.withColumn("__b", F.explode(F.sequence(bucket("start_ms"), bucket("end_ms"))))
+    levels = leveled.select("__k").distinct()  # one row for each power of two, 64 at most
+    placed = points.crossJoin(F.broadcast(levels)).withColumn("__b", bucket("t"))
+    return placed.join(covered, ["rec", "__k", "__b"]).where((F.col("t") >= F.col("start_ms")) & (F.col("t") <= F.col("end_ms"))).drop("__b", "__k")
 
 
 def held_out_keys(clips: DataFrame, seed: int, train_fraction: float) -> DataFrame:
@@ -74,18 +86,22 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Rows with the sum of value up to each of them, over the whole table in order.
+    """Rows with the sum of value up to each of them, over the whole table in order."""
+    return prefix_scan(df, [], order, {name: ("sum", value.cast("long"))})
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, median: the middle value of a column, or the mean of the two; null without values. NaN counts as the largest.
 
-    Sums are made per range partition, which is written once, and shifted by the sums of the partitions
-    before, so no task sorts the whole table.
+    Equal values are counted first; the middle is found by the running count of the distinct ones, which lie in range
+    partitions, so no task holds the column.
     """
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    upto = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = staged(spread.withColumn("__n", F.sum(value).over(upto)), "running")
-    sizes = local.groupBy("__p").agg(F.sum(value).alias("__size"))
-    # a row per partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
-    return local.join(F.broadcast(before), "__p").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__p", "__n", "__before")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_total(counts, [F.col("__v")], F.col("__n"), "__upto")
+    total = counts.agg(F.sum("__n").alias("__total"))  # one row
+    begin, rank = F.col("__upto") - F.col("__n"), [F.floor((F.col("__total") + k) / 2) for k in (1, 2)]
+    middle = [F.max(F.when((begin < r) & (F.col("__upto") >= r), F.col("__v"))) for r in rank]
+    return placed.crossJoin(F.broadcast(total)).agg((0.5 * middle[0] + 0.5 * middle[1]).alias("median"))
 
 
 def search(rows: DataFrame, term: str, columns: list[str], status: str = "all") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from speechloom.functions import values as vx
 from speechloom.operators import sequence
 from speechloom.plans.registry import query
-from speechloom.sources import files
+from speechloom.sources import files, wav
 from speechloom.sources.scratch import scratch
 
 
@@ -128,17 +128,31 @@ def src_recordings(v):
     return found.select(F.regexp_replace("stem", "user_", "").cast("long").alias("rec"), "stem")
 
 
-@query("src_wav_durations", """SELECT vec_id AS rec, CASE WHEN error IS NULL THEN size / 2 / rate::DOUBLE END AS seconds, error FROM (SELECT vec_id, 2 * (1000 + vec_id % 50 * 160) AS size, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 8000 END AS rate,
-  CASE WHEN vec_id % 11 = 0 THEN 'no WAV header' WHEN vec_id % 7 = 0 THEN 'invalid frame rate' WHEN vec_id % 13 = 0 THEN 'truncated' END AS error FROM embeddings)""")
+@query("src_wav_durations", """SELECT vec_id AS rec, CASE WHEN error IS NULL THEN n / rate::DOUBLE END AS seconds, error FROM (SELECT vec_id, len(embedding) - vec_id % 30 AS n, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 8000 END AS rate,
+  CASE WHEN vec_id % 11 = 0 THEN 'no WAV header' WHEN vec_id % 23 = 0 THEN 'unknown format' WHEN vec_id % 17 = 0 THEN 'no fmt chunk' WHEN vec_id % 19 = 0 THEN 'no data chunk' WHEN vec_id % 7 = 0 THEN 'invalid frame rate' WHEN vec_id % 13 = 0 THEN 'truncated' END AS error FROM embeddings)""")
 def src_wav_durations(v):
+    """WAV files of the vectors' samples: a format of 16, 18 or 40 bytes, chunks of even and odd size around it, and broken ones."""
     k = F.col("vec_id")
 
     def little_endian(value, size):
-        digits = F.lpad(F.hex(value), 2 * size, "0")
-        return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+        digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+        return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+
+    def chunk(name, body):
+        """A chunk in hexadecimal digits; body is too."""
+        size = F.length(body) / 2
+        return F.concat(F.hex(F.lit(name)), little_endian(size, 4), body, F.when(size % 2 == 1, "00").otherwise(""))
 
-    size = 2 * (1000 + k % 50 * 160)
     rate = F.when(k % 7 == 0, 0).when(k % 2 == 0, 16000).otherwise(8000)
-    parts = [F.unhex(F.lit("52494646")), little_endian(size + 36, 4), F.unhex(F.lit("57415645666D7420")), little_endian(F.lit(16), 4), F.unhex(F.lit("01000100")), little_endian(rate, 4), little_endian(rate * 2, 4), F.unhex(F.lit("0200100064617461")), little_endian(size, 4)]
-    raw = v.table("embeddings").select(k.alias("rec"), (size + 44 - F.when(k % 13 == 0, 10).otherwise(0)).alias("length"), F.concat(*parts).alias("whole"))
-    return files.wav_fields(raw.select("rec", "length", F.when(F.col("rec") % 11 == 0, F.substring("whole", 1, 20)).otherwise(F.col("whole")).alias("content")))
+    kind = F.when(k % 23 == 0, 3).when(k % 3 == 2, 0xFFFE).otherwise(1)
+    basic = F.concat(little_endian(kind, 2), little_endian(F.lit(1), 2), little_endian(rate, 4), little_endian(rate * 2, 4), F.lit("02001000"))
+    extension = F.when(k % 3 == 1, "0000").when(k % 3 == 2, "16001000040000000100000000001000800000aa00389b71").otherwise("")
+    pcm = vx.quantise_pcm(F.slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(1), (F.size("embedding") - k % 30).cast("int")))
+    samples = F.array_join(F.transform(pcm, lambda x: little_endian(F.pmod(x, F.lit(65536)), 2)), "")
+    note = F.when(k % 5 > 1, chunk("LIST", F.hex(F.concat(F.lit("INFO"), F.repeat(F.lit("x"), (k % 5).cast("int")))))).otherwise("")
+    fmt, data = chunk("fmt ", F.concat(basic, extension)), chunk("data", samples)
+    body = F.when(k % 17 == 0, F.concat(note, data, fmt)).when(k % 19 == 0, F.concat(note, fmt)).otherwise(F.concat(note, fmt, note, data, F.when(k % 13 == 0, "").otherwise(note)))
+    whole = F.unhex(F.concat(F.hex(F.lit("RIFF")), little_endian(F.length(body) / 2 + 4, 4), F.hex(F.lit("WAVE")), body))
+    cut = F.when(k % 11 == 0, 10).otherwise(F.length("whole") - F.when((k % 13 == 0) & (k % 19 != 0), 10).otherwise(0))
+    files_ = v.table("embeddings").select(k.alias("rec"), k, whole.alias("whole")).select("rec", F.substring("whole", F.lit(1), cut.cast("int")).alias("content"))
+    return wav.wav_fields(files_.withColumn("length", F.length("content").cast("long")))

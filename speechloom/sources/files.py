@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechloom.functions.text import SPEECH_LINE, speech_parts, stem, transcript_display
 from speechloom.functions.values import parse_offset_timestamp
+from speechloom.sources.wav import wav_files
 
 WORD_SCHEMA = "utterance_id string, surface string, langid string"
 #: Fixed values of the run table: its number columns, the first four of which are integers.
@@ -89,25 +90,13 @@ def descriptor(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("title", F.posexplode("recordings").alias("p", "rec"), F.to_json("paths").alias("paths")).select("title", (F.col("p") + 1).cast("long").alias("position"), "rec", "paths")
 
 
-def _little_endian(content: Column, at: int, size: int) -> Column:
-    parts = [F.substring(F.hex(F.substring(content, at + k, 1)), 1, 2) for k in reversed(range(size))]
-    return F.conv(F.concat(*parts), 16, 10).cast("long")
+def wav_durations(spark: SparkSession, folder: str, pattern: str = "*.wav", key: str | None = None) -> DataFrame:
+    """(rec, seconds, error) of the WAV files of a folder; files that cannot be read have an error.
 
-
-def wav_durations(spark: SparkSession, folder: str) -> DataFrame:
-    """(rec, seconds, error) of the WAV files of a folder; files that cannot be read have an error."""
-    return wav_fields(_files(spark, folder, "*.wav").select(stem(F.col("path")).alias("rec"), "length", "content"))
-
-
-def wav_fields(raw: DataFrame) -> DataFrame:
-    """(rec, seconds, error) from canonical 44-byte WAV headers; raw: rec, length of the file, content."""
-    raw = raw.select("rec", "length", F.substring("content", 1, 44).alias("h"))
-    long_enough = F.length("h") == 44
-    magic = F.hex(F.substring("h", 1, 4)) == F.hex(F.lit("RIFF").cast("binary"))
-    rate, align, size = (F.when(long_enough, _little_endian(F.col("h"), at, n)) for at, n in ((25, 4), (33, 2), (41, 4)))
-    error = F.when(~long_enough | ~magic, "no WAV header").when((rate <= 0) | (align <= 0), "invalid frame rate").when(size > F.col("length") - 44, "truncated")
-    found = raw.select("rec", error.alias("error"), rate.alias("rate"), align.alias("align"), size.alias("size"))
-    return found.select("rec", F.when(F.col("error").isNull(), F.try_divide(F.floor(F.try_divide("size", "align")), F.col("rate"))).alias("seconds"), "error")
+    Files without bytes are not in the list, as Spark leaves them out. key: as in recordings().
+    """
+    found = _files(spark, folder, pattern, key)
+    return wav_files(found.select(_named(F.col("path"), key).alias("rec"), "path", "length", "content"), folder)
 
 
 def run_results(spark: SparkSession, path: str) -> DataFrame:
