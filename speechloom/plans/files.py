@@ -129,7 +129,7 @@ def src_recordings(v):
 
 
 @query("src_wav_durations", """SELECT vec_id AS rec, CASE WHEN error IS NULL THEN n / rate::DOUBLE END AS seconds, error FROM (SELECT vec_id, len(embedding) - vec_id % 30 AS n, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 8000 END AS rate,
-  CASE WHEN vec_id % 11 = 0 THEN 'no WAV header' WHEN vec_id % 23 = 0 THEN 'unknown format' WHEN vec_id % 17 = 0 THEN 'no fmt chunk' WHEN vec_id % 19 = 0 THEN 'no data chunk' WHEN vec_id % 7 = 0 THEN 'invalid frame rate' WHEN vec_id % 13 = 0 THEN 'truncated' END AS error FROM embeddings)""")
+  CASE WHEN vec_id % 11 = 0 THEN 'no WAV header' WHEN vec_id % 17 = 0 THEN 'no fmt chunk' WHEN vec_id % 23 = 0 THEN 'unknown format' WHEN vec_id % 19 = 0 THEN 'no data chunk' WHEN vec_id % 7 = 0 THEN 'invalid frame rate' WHEN vec_id % 13 = 0 THEN 'truncated' END AS error FROM embeddings)""")
 def src_wav_durations(v):
     """WAV files of the vectors' samples: a format of 16, 18 or 40 bytes, chunks of even and odd size around it, and broken ones."""
     k = F.col("vec_id")
