@@ -34,8 +34,8 @@ from speechloom.llm.neardup import Compare, components, digest, full_sets, joine
 
 #: Counters of shingles, and how many of them one row holds. A shingle is common if its counter reaches COMMON of the
 #: rows, and LEAST_COMMON. Only shingles in the lower quarter of the order are counted, as others seldom begin one.
-SLOTS, RANGES = 1 << 22, 64
-COMMON, LEAST_COMMON = 1 / 2000, 32
+SLOTS, RANGES = 1 << 23, 128
+COMMON, LEAST_COMMON = 1 / 10_000, 16
 COUNTED_BELOW = np.uint64(1 << 62)
 #: Bits of parities: at least, at most.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
@@ -50,7 +50,7 @@ SLACK = 1e-9
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(42)).astype(np.int64)
+    return (mix(hashes ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def common_slots(rows: DataFrame, width: int) -> np.ndarray:
@@ -62,18 +62,19 @@ def common_slots(rows: DataFrame, width: int) -> np.ndarray:
     span = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, dtype=np.int64)
+        seen = np.zeros(SLOTS, dtype=np.uint32)
         n = 0
         for batch in batches:
             n += batch.num_rows
             sets = [s[s < COUNTED_BELOW] for s in shingle_hashes(texts(batch.column(1)), width)]
             if sets:
-                seen += np.bincount(slots(np.concatenate(sets)), minlength=SLOTS)
+                at, n_ = np.unique(slots(np.concatenate(sets)), return_counts=True)
+                seen[at] += n_.astype(np.uint32)
         if n:
             for k in range(RANGES):
                 own = seen[k * span : (k + 1) * span]
                 at = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].astype(np.uint32).tobytes()]), pa.array([0 if k else n])], names=["range", "at", "n", "documents"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()]), pa.array([0 if k else n])], names=["range", "at", "n", "documents"])
 
     counted = staged(rows.mapInArrow(count, "range long, at binary, n binary, documents long"), "metric-counts")
     least = max(LEAST_COMMON, (counted.agg(F.sum("documents")).first()[0] or 0) * COMMON)  # one row

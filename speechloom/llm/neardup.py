@@ -266,10 +266,10 @@ def components_by_class(sketched: DataFrame, find_links: Callable[[DataFrame], D
     sized = filled.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("agree").alias("agree"))
     # of classes with one smallest id, the one with the smallest digest has it for its number
     sized = staged(sized, "neardup-sized")
-    owner = sized.groupBy("least_id").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    owner = staged(sized.groupBy("least_id").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-owners")
     other = F.col("first").isNotNull() & (F.col("first") != F.struct(*key))
     numbered = sized.join(owner.drop("n"), "least_id", "left").withColumn("node", F.when(other, F.lit(SECOND) + F.shiftrightunsigned(F.xxhash64("high", "low"), 2)).otherwise(F.col("least_id")))
-    nodes = staged(numbered.drop("first"), "neardup-nodes")
+    nodes = numbered.drop("first")  # few classes share a least id, so this is read from the written table again
     links = find_links(nodes)
     # rows of one id that are in several classes tie these
     several = filled.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
@@ -305,6 +305,7 @@ def tied_clusters(nodes: DataFrame, percent: int, compare: Compare) -> DataFrame
     is joined by with_class().
     """
     buckets = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
+    buckets = staged(with_neighbours(buckets, "band"), "neardup-neighbours")
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = staged(with_class(buckets, shared, ["band"], "size"), "neardup-buckets")
     agree = nodes.select("node", "agree")
@@ -319,6 +320,29 @@ def tied_clusters(nodes: DataFrame, percent: int, compare: Compare) -> DataFrame
     return nodes.join(clusters, "node").select("node", "cluster", "least_id", "high", "low", F.col("n_shingles").alias("n"), "agree")
 
 
+def with_neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, node, n) without most of those whose key, a number, no other row has: only what borders a range is not told apart.
+
+    Rows are ranged by key and node, so a heavy key lies in many ranges; one exchange drops what is alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            same = np.diff(whole.column(0).to_numpy()) == 0
+            keep = np.append(same, False) | np.append(matched if held is not None else first, same)
+            yield whole.slice(0, whole.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, matched, first = whole.slice(whole.num_rows - 1), bool(keep[-1]), False
+        if held is not None:
+            yield held
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.select(key, "node", "n").repartitionByRange(key, "node").sortWithinPartitions(key).mapInArrow(run, kinds)
+
+
 def rank() -> Column:
     """The order in which classes are chosen as pivots."""
     return F.struct(F.xxhash64("node").alias("rank"), "node")
@@ -379,7 +403,7 @@ def pivot_overlaps(held: DataFrame, sizes: DataFrame, chosen: DataFrame, sets: D
 
 def with_rest(members: DataFrame, key: str) -> DataFrame:
     """members (key, node, n, size, component) of groups that have a rest, with rest (not in the first pivot's component) and rest_size."""
-    groups = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    groups = members.groupBy(key).agg(F.min_by("component", rank()).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2")  # of two, one is the pivot
     marked = with_class(members, groups, [key], "main")
     marked = staged(marked.withColumn("rest", F.col("component") != F.col("main")).drop("main"), "neardup-marked-bands")
     return with_class(marked, marked.groupBy(key).agg(F.count_if("rest").alias("rest_size"), F.count(F.lit(1)).alias("size")), [key], "rest_size")
