@@ -7,6 +7,9 @@ of docs, whatever their names, are passed on as they are. An empty table gives a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,25 @@ from speechloom.llm import decontaminate, neardup, packing, personal, quality
 from speechloom.llm.common import fresh, staged, table
 from speechloom.llm.queries import tokenizer_file
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns that stages read or write.
+OWN = ("doc_id", "text", "n_chars")
 #: Documents whose probability of label 1 is lower are rejected.
 LEAST_QUALITY = 0.5
 
 
+def any_names(stage: Stage) -> Stage:
+    """The stage over docs whose further columns may have any names, also such as `a.b`: it sees plain ones."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in OWN else f"column_{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@any_names
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on a bounded sample of labelled ones, does not reject.
 
@@ -29,6 +47,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
+@any_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, a null id being the largest.
 
@@ -44,6 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return numbered.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
+@any_names
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is confirmed. Rows with equal id and text share their fate."""
     name = fresh(docs, "name")
@@ -53,6 +73,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.join(leaks, name, "left_anti").select(*docs.columns)
 
 
+@any_names
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind in brackets; n_chars follows."""
     return personal.mask_personal_data(docs).select(*docs.columns)

@@ -1,8 +1,9 @@
 """WARC archives as seekable Zstandard bundles.
 
 Records are grouped into independent Zstandard frames. A bundle begins with a warcinfo record in a frame of its
-own and ends with a skippable frame that holds the seek table of the public seekable format; its index maps each record's identifier to (frame, offset in
-the frame's decompressed bytes). A bundle is one row of a table (bundle id, archive bytes, index) that Spark
+own and ends with two skippable frames: the record index, which maps each record's identifier to (frame, offset in
+the frame's decompressed bytes), and the seek table of the public seekable format. So an archive is searchable by
+itself, wherever it is copied. A bundle is one row of a table (bundle id, archive bytes, index) that Spark
 writes to shared storage, so a write is atomic per task, survives lost executors and needs no local disk;
 export_bundles() turns rows into .warc.zst files.
 """
@@ -28,6 +29,8 @@ BUNDLE_BYTES = 8 << 20
 #: Fixed values of the public seekable format: magic numbers of a skippable frame and of the footer.
 SKIPPABLE_MAGIC = 0x184D2A5E
 FOOTER_MAGIC = 0x8F92EAB1
+#: What the frame of the record index begins with.
+INDEX_MAGIC = b"record index 1\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BUNDLES = "bundle_id long, archive binary, record_ids array<string>, frames array<int>, offsets array<long>"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -49,7 +52,7 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3,
 
     Null payloads are empty. Payloads below min_revisit_bytes are always responses. A null id is never the
     smallest unless all are null; rows that repeat the smallest id are responses too. Null URLs are written
-    as empty. Record identifiers name page ids, so they are as unique as these. date is every record's
+    as empty; line ends, and bytes of URLs that are no UTF-8, are percent-encoded. Record identifiers name page ids, so they are as unique as these. date is every record's
     WARC-Date, by default the time of this call. An empty table gives no bundles; other columns are not read.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -78,6 +81,7 @@ def write_bundles(pages: DataFrame, min_revisit_bytes: int = 0, level: int = 3,
         def close_bundle() -> pa.RecordBatch:
             nonlocal bundle
             close_frame()
+            archive.extend(record_index(ids, frames, offsets))
             archive.extend(seek_table(sizes))
             out = pa.RecordBatch.from_pydict({"bundle_id": [bundle], "archive": [bytes(archive)], "record_ids": [list(ids)], "frames": [list(frames)], "offsets": [list(offsets)]}, schema=pa.schema([("bundle_id", pa.int64()), ("archive", pa.binary()), ("record_ids", pa.list_(pa.string())), ("frames", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))]))
             bundle += 1
@@ -124,7 +128,7 @@ def warc_record(page: int | None, url: bytes, payload: bytes, digest: str, refer
         ("WARC-Type", b"response" if refers_to is None else b"revisit"),
         ("WARC-Record-ID", record_id(page).encode()),
         ("WARC-Date", date.encode()),
-        ("WARC-Target-URI", url.replace(b"\r", b"%0D").replace(b"\n", b"%0A")),
+        ("WARC-Target-URI", header_value(url)),
         ("WARC-Payload-Digest", b"sha1:" + digest.encode()),
         ("Content-Type", b"application/http; msgtype=response"),
     ]
@@ -134,6 +138,33 @@ def warc_record(page: int | None, url: bytes, payload: bytes, digest: str, refer
     return framed(fields, head + payload if refers_to is None else head)
 
 
+def header_value(url: bytes) -> bytes:
+    """A URL as a header line holds it: line ends and bytes that are no UTF-8 are percent-encoded."""
+    plain = "".join(f"%{ord(c) - 0xDC00:02X}" if "\udc80" <= c <= "\udcff" else c for c in url.decode("utf-8", "surrogateescape"))
+    return plain.replace("\r", "%0D").replace("\n", "%0A").encode()
+
+
+def record_index(ids: list[str], frames: list[int], offsets: list[int]) -> bytes:
+    """Skippable frame that maps each record's identifier to its frame and its offset there; readers of Zstandard pass over it."""
+    import zstandard
+
+    content = INDEX_MAGIC + zstandard.ZstdCompressor().compress("".join(f"{i} {f} {o}\n" for i, f, o in zip(ids, frames, offsets, strict=True)).encode())
+    return struct.pack("<II", SKIPPABLE_MAGIC, len(content)) + content
+
+
+def indexed_records(archive: bytes) -> list[tuple[str, int, int]]:
+    """(identifier, frame, offset) of the records of an archive, from the frame behind those that its seek table names."""
+    import zstandard
+
+    start = sum(size for _, size in frame_spans(archive))
+    magic, length = struct.unpack("<II", archive[start : start + 8])
+    size = length + 8
+    if magic != SKIPPABLE_MAGIC or archive[start + 8 : start + 8 + len(INDEX_MAGIC)] != INDEX_MAGIC:
+        raise ValueError("the archive has no record index")
+    lines = zstandard.ZstdDecompressor().decompress(archive[start + 8 + len(INDEX_MAGIC) : start + size]).decode().splitlines()
+    return [(name, int(frame), int(offset)) for name, frame, offset in (line.rsplit(" ", 2) for line in lines)]
+
+
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     """Skippable frame: (compressed, decompressed) size per frame, then the footer."""
     entries = b"".join(struct.pack("<II", c, d) for c, d in sizes)

@@ -697,7 +697,7 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_pipeline_edges(spark, sf, odd):
-    rows = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "name", "label", "lm", "hash", "__group", "__id"))])  # names that clash
+    rows = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "name", "label", "lm", "hash", "__group", "__id", "a.b", "text.x", "back`tick", "``"))])  # names that clash, or need quotes
     for name, stage in stages.STAGES[:-1]:
         assert stage(spark, rows, sf).columns == rows.columns, name
     texts = [f"{w} " * 3 + "and so on for a while" for w in ("one", "two")]
