@@ -40,11 +40,11 @@ def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], *wanted: st
     Rows of heavy classes are joined by a broadcast of these classes, at most HEAVY, so that copies of one text
     do not meet in one task.
     """
-    total = classes.agg(F.sum("size").alias("total"))
-    marked = classes.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("size") * HEAVY >= F.col("total"))  # one row of totals
+    total = classes.agg(F.sum("size").alias("__total"))
+    marked = classes.crossJoin(F.broadcast(total)).withColumn("__heavy", F.col("size") * HEAVY >= F.col("__total"))  # one row of totals
     own = [F.col(c).alias(f"__{c}") for c in wanted]
-    near = rows.join(F.broadcast(marked.where("heavy").select(*keys, *own, F.lit(True).alias("__heavy"))), keys, "left")
-    far = near.where("__heavy is null").select(*rows.columns).join(marked.where("not heavy").select(*keys, *own), keys)
+    near = rows.join(F.broadcast(marked.where("__heavy").select(*keys, *own, F.lit(True).alias("__heavy"))), keys, "left")
+    far = near.where("__heavy is null").select(*rows.columns).join(marked.where("not __heavy").select(*keys, *own), keys)
     out = [*rows.columns, *[f"__{c}" for c in wanted]]
     both = near.where("__heavy").select(*out).unionByName(far.select(*out))
     return both.withColumnsRenamed({f"__{c}": c for c in wanted})

@@ -38,8 +38,8 @@ SHARD_ENTRIES, BROADCAST_BYTES, ENTRY = 1 << 20, 64 << 20, 12
 BLOCK_CHARS, HELD = 1 << 18, 1 << 19
 #: Languages whose discounts and bands are broadcast.
 MOST_LANGUAGES = 10_000
-#: Texts of one block of the way without broadcast.
-BLOCK_TEXTS = 2048
+#: Texts, and bytes of texts, of one block of the way without broadcast, about; a longer text is a block by itself.
+BLOCK_TEXTS, BLOCK_TEXT_BYTES = 1 << 15, 16 << 20
 #: Bytes that count as symbols.
 SYMBOL_BYTES = frozenset(b"#*$%&|<>")
 
@@ -149,7 +149,8 @@ def discounted(level: DataFrame) -> DataFrame:
 
 def by_language(rows: DataFrame) -> DataFrame:
     """A table of one row per language, to be broadcast if it is checked to be small: most rows share a language."""
-    return F.broadcast(rows) if rows.count() <= MOST_LANGUAGES else rows
+    small = staged(rows, "perplexity-languages")  # so that they are not made again to be counted
+    return F.broadcast(small) if small.count() <= MOST_LANGUAGES else small
 
 
 def train(docs: DataFrame) -> DataFrame:
@@ -344,9 +345,10 @@ def score(rows: DataFrame, entries: DataFrame) -> DataFrame:
                 yield judge_texts(batch.columns, find)
 
         return rows.mapInArrow(run, fields)
-    # blocks of texts in the order of arrival, written once, so that both of their uses see the same
-    number = F.floor(F.monotonically_increasing_id() / BLOCK_TEXTS)
-    placed = staged(rows.withColumn("block", number.cast("long")), "perplexity-blocks")
+    # blocks of bounded rows and bytes; their two uses share one exchange, and texts are written nowhere else
+    size = rows.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).first()  # one row
+    blocks = max(1, -(-size["texts"] // BLOCK_TEXTS), -(-(size["bytes"] or 0) // BLOCK_TEXT_BYTES))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(blocks)).cast("long"))
 
     def ask(group: pa.Table) -> pa.Table:
         wanted = requests(group.column("lang").to_pylist(), group.column("text").to_pylist())

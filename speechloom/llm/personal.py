@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.llm.common import LOWER, blocks, mix, staged, word_hashes
+from speechloom.llm.neardup import looked_up
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that patterns discover.
@@ -30,8 +31,8 @@ SEEDS = (r"[0-9a-f]{32,}",)
 ROUNDS = 3
 #: A pattern needs so many distinct known instances, and this confidence in the end.
 MIN_INSTANCES, MIN_CONFIDENCE = 3, 0.8
-#: Pattern hashes of about 8 bytes that are broadcast at a time; the texts are read once for each such shard.
-SHARD_PATTERNS = 1 << 20
+#: Bits of the filter of wanted patterns, which is broadcast; ranges in which it is made; pairs that a task holds.
+FILTER_BITS, FILTER_RANGES, HELD_PAIRS = 1 << 26, 64, 1 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -167,13 +168,59 @@ def hashed_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern").mapInArrow(run, "pattern string, hash long")
 
 
-def occurrences(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(hash, total): how often the two words of each pattern stand side by side before a third word."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))  # about SHARD_PATTERNS hashes
+def pattern_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over the hashes of a table, as packed bits: its size does not depend on the table's.
+
+    Tasks give the bits that they set by range; ranges are combined by Spark.
+    """
+    span = FILTER_BITS // FILTER_RANGES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for batch in batches:
+            for at in filter_bits(batch.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in range(FILTER_RANGES):
+            own = seen[k * span // 8 : (k + 1) * span // 8]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own.tobytes()], type=pa.binary())], names=["range", "bits"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, np.zeros(span // 8, dtype=np.uint8)) | np.frombuffer(bits, dtype=np.uint8)
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bits.tobytes()], type=pa.binary())], names=["range", "bits"])
+
+    kind = "range long, bits binary"
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in wanted.select("hash").mapInArrow(mark, kind).repartition(FILTER_RANGES, "range").mapInArrow(combine, kind).collect():  # FILTER_BITS bits in all
+        out[r["range"] * span // 8 : (r["range"] + 1) * span // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def filter_bits(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The two places of each hash in the filter."""
+    for other in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
+        yield (mix(hashes ^ np.uint64(other)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, total): how often the two words of each pattern stand side by side before a third word.
+
+    One pass over the texts, whatever the number of patterns: a task adds up the pairs that pass a filter of the wanted
+    ones, and the sums are joined with these.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(pattern_filter(wanted))  # FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        total = np.zeros(len(keys), dtype=np.int64)
+        bits, held, size = shared.value, [], 0
+
+        def summed() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64))], names=["hash", "total"])
+
         for batch in batches:
             values = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
             for _, parts in blocks(values):
@@ -183,12 +230,17 @@ def occurrences(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
                     continue
                 owner = np.searchsorted(np.cumsum([len(p) + 1 for _, p in parts]), starts, side="right")
                 pair = mix(words[:-2] * np.uint64(3) + words[1:-1])[owner[:-2] == owner[2:]]
-                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                total += np.bincount(at[keys[at] == pair], minlength=len(keys))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(total[found])], names=["hash", "total"])
+                pair = pair[np.all([bits[at >> 3] >> (at & 7) & 1 for at in filter_bits(pair)], axis=0)]
+                held.append(np.unique(pair, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_PAIRS:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
 
-    return docs.mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
+    found = docs.mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
+    return found.join(wanted.select("hash").distinct(), "hash", "left_semi")
 
 
 def learn_patterns(docs: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int = ROUNDS) -> dict[str, float]:
@@ -196,25 +248,21 @@ def learn_patterns(docs: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int
     graph = staged(edges(docs.select("text"), seeds), "pii-graph")
     support = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
     wanted = staged(hashed_patterns(support.where(F.col("instances") >= MIN_INSTANCES)), "pii-patterns")
-    shards = -(-wanted.count() // SHARD_PATTERNS)
-    if not shards:
+    if wanted.isEmpty():
         return {}
-    totals = None
-    for k in range(shards):
-        mine = wanted.where(F.pmod(F.xxhash64("hash"), F.lit(shards)) == k).select("hash").distinct()
-        hashes = mine.toArrow().column("hash").to_numpy()
-        if len(hashes):
-            found = occurrences(docs.select("text"), hashes)
-            totals = found if totals is None else totals.unionByName(found)
-    totals = staged(wanted.join(totals, "hash").select("pattern", "total"), "pii-totals")
-    graph = graph.join(totals, "pattern")
-    score = graph.groupBy("instance").agg(F.max(F.col("known").cast("double")).alias("score"))
+    totals = staged(wanted.join(occurrences(docs.select("text"), wanted), "hash").select("pattern", "total"), "pii-totals")
+    # a pattern may stand before any number of instances, so what belongs to it is joined by size
+    graph = staged(looked_up(graph, "pattern", totals, "total"), "pii-wanted")
+    known = graph.groupBy("instance").agg(F.max(F.col("known").cast("double")).alias("known"))
+    score = known.select("instance", F.col("known").alias("score"))
     for k in range(rounds):
         # a pattern of few occurrences is shrunk towards no confidence by two more without an identifier
-        by_pattern = graph.join(score, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("hits"), F.max("total").alias("total"), F.sum(F.when(F.col("score") > 0.5, 1).otherwise(0)).alias("instances"))
+        by_pattern = looked_up(graph, "instance", score, "score").groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("hits"), F.max("total").alias("total"), F.sum(F.when(F.col("score") > 0.5, 1).otherwise(0)).alias("instances"))
         confident = by_pattern.where(F.col("instances") >= MIN_INSTANCES).select("pattern", F.least(F.lit(1.0), F.col("hits") / (F.col("total") + 2)).alias("confidence"))
         confident = staged(confident, f"pii-round-{k}")
-        score = graph.join(confident, "pattern", "left").groupBy("instance").agg(F.greatest(F.max(F.col("known").cast("double")), F.max(F.coalesce("confidence", F.lit(0.0)))).alias("score"))
+        if k + 1 < rounds:
+            best = looked_up(graph, "pattern", confident, "confidence").groupBy("instance").agg(F.max("confidence").alias("confidence"))
+            score = known.join(best, "instance", "left").select("instance", F.greatest("known", F.coalesce("confidence", F.lit(0.0))).alias("score"))
     return {r[0]: r[1] for r in confident.where(F.col("confidence") >= MIN_CONFIDENCE).collect()}  # each occurs at least eight times
 
 

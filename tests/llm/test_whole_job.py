@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.llm import decontaminate, editcount, packing, personal, queries
+from speechloom.llm import common, decontaminate, editcount, packing, personal, queries
 from speechloom.llm.common import BLOCK_BYTES
 
 
@@ -32,10 +32,60 @@ def test_rare_patterns_are_learned_beside_many_candidates(spark, monkeypatch):
     docs = logs.unionByName(rare)
     assert personal.learn_patterns(docs).keys() == {"account key"}
     learned = personal.learn_patterns(rare)
-    monkeypatch.setattr(personal, "SHARD_PATTERNS", 1)
+    monkeypatch.setattr(personal, "HELD_PAIRS", 1)
+    monkeypatch.setattr(personal, "FILTER_RANGES", 2)
+    monkeypatch.setattr(common, "HEAVY", 4)
     assert learned.keys() == {"account key"} and personal.learn_patterns(rare) == learned
 
 
+def test_pattern_totals_equal_plain_counting(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["aa", "Bb", "cc", "dd", "ee"]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "aa bb"]
+    wanted = ["aa bb", "cc cc", "ee dd", "zz zz"]
+    hashes = spark.createDataFrame([(w, int(personal.pattern_hashes([w]).view("int64")[0])) for w in wanted], "pattern string, hash long")
+    found = personal.occurrences(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), hashes).join(hashes, "hash")
+    want = {}
+    for t in texts:
+        words = (t or "").lower().split()
+        for pair in zip(words, words[1:], words[2:], strict=False):
+            want[" ".join(pair[:2])] = want.get(" ".join(pair[:2]), 0) + 1
+    assert {r["pattern"]: r["total"] for r in found.collect()} == {w: want[w] for w in wanted if w in want}
+
+
+def test_confidences_equal_a_plain_version(spark, monkeypatch):
+    rng = random.Random(4)
+    lines = []
+    for k in range(400):
+        pattern = rng.choice(["account key", "ticket number", "see page", "our code"])
+        core = f"u{rng.randint(0, 40)}@mail.org" if rng.random() < {"account key": 0.9, "ticket number": 0.6, "see page": 0.05, "our code": 0.3}[pattern] else f"{rng.choice('XYZ')}{rng.randint(0, 30)}-77Q"
+        lines.append(f"{pattern} {core} then")
+    docs = spark.createDataFrame([(x,) for x in lines], "text string")
+    monkeypatch.setattr(personal, "MIN_CONFIDENCE", 0.0)
+    got = personal.learn_patterns(docs)
+    edges, totals = {}, {}
+    for text in lines:
+        spans = personal.Spans(personal.base_spans(text))
+        for pattern, start, end, core in personal.candidates(text):
+            e = edges.setdefault((pattern, core), [False, 0])
+            e[0] |= spans.overlap(start, end)
+            e[1] += 1
+        w = text.lower().split()
+        for i in range(len(w) - 2):
+            totals[f"{w[i]} {w[i + 1]}"] = totals.get(f"{w[i]} {w[i + 1]}", 0) + 1
+    support = {p: sum(q == p for q, _ in edges) for p, _ in edges}
+    edges = {k: v for k, v in edges.items() if support[k[0]] >= personal.MIN_INSTANCES}
+    known = {c: max(float(v[0]) for (_, d), v in edges.items() if d == c) for _, c in edges}
+    score = dict(known)
+    for _ in range(personal.ROUNDS):
+        sure = {}
+        for p in {p for p, _ in edges}:
+            mine = [(c, v[1]) for (q, c), v in edges.items() if q == p]
+            if sum(score[c] > 0.5 for c, _ in mine) >= personal.MIN_INSTANCES:
+                sure[p] = min(1.0, sum(score[c] * n for c, n in mine) / (totals[p] + 2))
+        score = {c: max(known[c], *[sure.get(p, 0.0) for p, d in edges if d == c]) for c in known}
+    assert got.keys() == sure.keys() and all(abs(got[p] - sure[p]) < 1e-9 for p in sure) and len(sure) > 1
+
+
 def test_documents_are_packed_under_three_limits(spark):
     docs = spark.createDataFrame([(k, " ".join(["word"] * (1 + k % 90))) for k in range(180)], "doc_id long, text string")
     sequences = {}
