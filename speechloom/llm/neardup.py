@@ -41,6 +41,8 @@ TILE, TILE_SHINGLES = 1024, 1 << 22
 SECOND = 1 << 62
 #: Edges that one task joins; more are contracted in rounds first.
 SMALL_EDGES = 200_000
+#: Ids that are broadcast to find their texts, 16 bytes each; more ids are joined with the texts.
+FEW_IDS = 1 << 20
 #: Pivots of a cluster.
 PIVOTS = 8
 
@@ -170,8 +172,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             names = np.array([digest(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["least_id", "high", "low", "hashes"])
 
-    # written first, so that Spark knows their size: few ids need no shuffle of the texts
+    # written first, so that they are counted: few ids need no shuffle of the texts
     ids = staged(nodes.select(F.col("least_id").alias("doc_id")).distinct(), "neardup-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     found = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "least_id long, high long, low long, hashes binary")
     # rows that repeat an id and a set are one
     return found.join(nodes, ["least_id", "high", "low"]).groupBy("node").agg(F.first("hashes").alias("hashes"))
