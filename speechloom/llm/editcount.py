@@ -256,7 +256,12 @@ def build_state(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
 
 def attach_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
-    """state with the column edits, from rows (id, seq, pos, deleted, inserted) applied in order of seq."""
+    """state with the column edits, from rows (id, seq, pos, deleted, inserted) applied in order of seq.
+
+    Of equal seq, null ones first, the order is that of pos, deleted and inserted; repeated edits are applied again. Edits
+    of an id without a state, or of a null id, change nothing; an id without edits has null edits. The edits of one id are
+    one row, as its text is.
+    """
     listed = edits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "deleted", "inserted"))).alias("e"))
     listed = listed.select("id", F.transform("e", lambda x: F.struct(x["pos"].cast("long").alias("pos"), x["deleted"].cast("long").alias("deleted"), x["inserted"].alias("inserted"))).alias("edits"))
     return state.join(listed, "id", "left")

@@ -141,20 +141,38 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_se
 def pack_examples(examples: DataFrame, capacity: int, max_segments: int, max_loss: int, id_col: str = "example_id", tokens_col: str = "n_tokens", loss_col: str = "n_loss") -> DataFrame:
     """Pack whole instruction examples by their sizes: id, sequence_id, n_tokens, n_loss.
 
-    Null sizes count as 0. An example above a limit raises ValueError: it has to be cut first.
+    Null sizes count as 0. An example above a limit raises ValueError: it has to be cut first. Null and repeated ids and
+    repeated rows are packed one by one; an empty table gives an empty result; other columns are not read. A task packs
+    blocks of BLOCK examples and takes the emptiest bin of each block on to the next one, so it ends with one open bin.
     """
     size = np.array([capacity, max_segments, max_loss])
     key = examples.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
+        ids, tokens, loss = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def emit(bins: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+            nonlocal sequence
+            order = [k for one in bins for k, _, _ in one]
+            of = np.repeat(np.arange(sequence, sequence + len(bins)), [len(one) for one in bins])
+            sequence += len(bins)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(order, type=pa.int64())), pa.array(of, type=pa.int64()), pa.array(tokens[order], type=pa.int64()), pa.array(loss[order], type=pa.int64())], names=["id", "sequence_id", "n_tokens", "n_loss"])
+
+        def bins() -> list[list[tuple[int, int, int]]]:
+            return dot_product_bins(np.stack([tokens, np.ones_like(tokens), loss], axis=1), size)
+
         for batch in batches:
-            tokens, loss = (np.array([v or 0 for v in batch.column(i).to_pylist()], dtype=np.int64) for i in (1, 2))
-            order, of = [], []
-            for one in dot_product_bins(np.stack([tokens, np.ones_like(tokens), loss], axis=1), size) if len(tokens) else []:
-                order += [k for k, _, _ in one]
-                of += [sequence] * len(one)
-                sequence += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order, type=pa.int64())), pa.array(of, type=pa.int64()), pa.array(tokens[order], type=pa.int64()), pa.array(loss[order], type=pa.int64())], names=["id", "sequence_id", "n_tokens", "n_loss"])
+            ids = batch.column(0) if ids is None else pa.concat_arrays([ids, batch.column(0)])
+            more = [np.array([v or 0 for v in batch.column(i).to_pylist()], dtype=np.int64) for i in (1, 2)]
+            tokens, loss = np.concatenate([tokens, more[0]]), np.concatenate([loss, more[1]])
+            if len(tokens) >= BLOCK:
+                found = bins()
+                open_ = min(range(len(found)), key=lambda k: sum(tokens[j] for j, _, _ in found[k]))
+                left = [k for k, _, _ in found.pop(open_)]
+                yield emit(found)
+                ids, tokens, loss = ids.take(pa.array(left, type=pa.int64())), tokens[left], loss[left]
+        if len(tokens):
+            yield emit(bins())
 
     return examples.select(id_col, tokens_col, loss_col).mapInArrow(pack, f"id {key}, sequence_id long, n_tokens long, n_loss long")

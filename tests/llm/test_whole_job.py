@@ -158,3 +158,24 @@ def test_edited_items_are_found_whatever_the_shards(spark, monkeypatch, segments
     hits = {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
     assert -1 not in {r["doc_id"] for r in found} and 10_000 in hits
     assert len(hits) >= 0.9 * len(listed)
+
+
+def test_examples_are_packed_across_batches(spark):
+    rng = random.Random(6)
+    rows = [(k if k % 50 else None, rng.choice([None, 5, 100, 500]), rng.choice([None, 0, 90, 250])) for k in range(6000)]
+    df = spark.createDataFrame(rows, "example_id long, n_tokens long, n_loss long").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = packing.pack_examples(df, capacity=1024, max_segments=6, max_loss=512).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
+    assert sorted((str(r["id"]), r["n_tokens"], r["n_loss"]) for r in got) == sorted((str(i), t or 0, n or 0) for i, t, n in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["n_tokens"], 1, r["n_loss"]))
+    sums = [tuple(map(sum, zip(*b, strict=True))) for b in bins.values()]
+    assert all(t <= 1024 and s <= 6 and n <= 512 for t, s, n in sums)
+    # each limit acts, and no more bins are open than one for each block of examples
+    assert any(s == 6 for _, s, _ in sums) and any(n > 480 for _, _, n in sums) and any(t > 1000 for t, _, _ in sums)
+    least = max(sum(t or 0 for _, t, _ in rows) / 1024, len(rows) / 6, sum(n or 0 for _, _, n in rows) / 512)
+    assert len(bins) <= 1.25 * least + 3
