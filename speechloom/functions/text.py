@@ -24,9 +24,25 @@ def _plain_words(text: Column) -> Column:
     return split_words(drop_punctuation(F.translate(text, "_<>", " ")))
 
 
+def _nesting(text: Column) -> Column:
+    """How deep matched parentheses are nested: the largest fall of the number of open ones, in one pass over the signs."""
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"), F.lit(0).alias("fall"))
+
+    def step(s: Column, sign: Column) -> Column:
+        now = F.when(sign == "(", s["open"] + 1).otherwise(F.greatest(s["open"] - 1, F.lit(0)))
+        most = F.greatest(s["most"], now)
+        return F.struct(now.alias("open"), most.alias("most"), F.greatest(s["fall"], most - now).alias("fall"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("([()])"), F.lit(1)), start, step, lambda s: s["fall"])
+
+
 def training_words(surface: Column) -> Column:
-    """Words kept for training: parenthesised text goes innermost first, then <>, punctuation, www and xxx."""
-    rounds = F.sequence(F.lit(0), F.length(surface) - F.length(F.replace(surface, F.lit("("))))
+    """Words kept for training: parenthesised text goes innermost first, then <>, punctuation, www and xxx.
+
+    Each round takes all innermost parentheses, so there are as many rounds as matched ones are nested.
+    """
+    depth = _nesting(surface)
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
     bare = F.aggregate(rounds, surface, lambda s, _: F.regexp_replace(s, r"\([^()]*\)", ""))
     return F.filter(_plain_words(bare), lambda w: ~F.lower(w).isin("www", "xxx"))
 

@@ -129,3 +129,24 @@ def test_wav_errors_and_large_files(spark, tmp_path):
         file.write(b"data" + struct.pack("<I", 16000) + bytes(16000))
     found = {r["rec"]: (r["seconds"], r["error"]) for r in files.wav_durations(spark, str(tmp_path)).collect()}
     assert found == {"order": (None, "no fmt chunk"), "none": (None, "no data chunk"), "float": (None, "unknown format"), "cut": (None, "truncated"), "half": (None, "no fmt chunk"), "wide": (None, "invalid frame rate"), "other": (None, "no WAV header"), "large": (1.0, None)}
+
+
+def test_training_words_of_any_parentheses(spark):
+    import re
+    import time
+
+    from speechloom.functions import text as tx
+
+    def loop(t):
+        while re.search(r"\([^()]*\)", t):
+            t = re.sub(r"\([^()]*\)", "", t)
+        return [w for w in "".join(c for c in t.replace("<", "").replace(">", "").replace("_", " ") if c not in "().,").split() if w.lower() not in ("www", "xxx")]
+
+    rng = random.Random(8)
+    given = ["".join(rng.choice("()ab (") for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", ")(", "((a)b", "a)b(c", "www (xxx) Www"]
+    got = spark.createDataFrame(list(enumerate(given)), "k long, t string").select("k", tx.training_words(F.col("t")).alias("w")).collect()
+    assert {r["k"]: r["w"] for r in got} == {k: loop(t) for k, t in enumerate(given)}
+    # ten thousand side by side are one round
+    began = time.time()
+    wide = spark.createDataFrame([("x (y) " * 10_000 + "(" * 10_000,)], "t string").select(F.size(tx.training_words(F.col("t"))).alias("n")).first()["n"]
+    assert wide == 10_000 and time.time() - began < 20
