@@ -99,9 +99,8 @@ def sink_manifest_csv(v):
 @query("src_dataset_json", "SELECT 'corpus' AS title, row_number() OVER (ORDER BY rec) AS position, rec FROM audio")
 def src_dataset_json(v):
     folder = scratch(v.spark, "descriptor")
-    listed = v.audio.agg(F.array_sort(F.collect_list("rec")).alias("recordings"))
-    listed.select(F.lit("corpus").alias("title"), "recordings", F.struct(F.lit("audio/").alias("audio_dir")).alias("paths")).write.json(folder)
-    return files.descriptor(v.spark, folder).select("title", "position", "rec")
+    files.write_descriptor(v.audio, folder, "corpus", {"audio_dir": "audio/"})
+    return files.descriptor_lines(v.spark, folder).select("title", "position", "rec")
 
 
 @query("src_run_results", "SELECT run AS run_name, max(step) AS evaluation_step, count(*) AS clips, min(loss) FILTER (NOT isnan(loss)) AS loss, 'NaN'::DOUBLE AS lid_accuracy FROM step GROUP BY run")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom.functions.text import SPEECH_LINE, speech_parts, stem, transcript_display
 from speechloom.functions.values import parse_offset_timestamp
+from speechloom.operators.tables import ranked
 from speechloom.sources.wav import wav_files
 
 WORD_SCHEMA = "utterance_id string, surface string, langid string"
@@ -85,11 +88,40 @@ def write_manifest(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def descriptor(spark: SparkSession, path: str) -> DataFrame:
-    """(title, position, rec, paths) of a data set's JSON descriptor: one row per recording."""
+    """(title, position, rec, paths) of a data set's JSON descriptor in one file: one row per recording.
+
+    The document is one row until its list is exploded, so it ends at 2 GB; descriptor_lines() has no such end.
+    """
     doc = spark.read.json(path, multiLine=True)
     return doc.select("title", F.posexplode("recordings").alias("p", "rec"), F.to_json("paths").alias("paths")).select("title", (F.col("p") + 1).cast("long").alias("position"), "rec", "paths")
 
 
+def write_descriptor(recordings: DataFrame, folder: str, title: str, paths: dict[str, str]) -> None:
+    """A data set's descriptor as text files which, one after another in the order of their names, are one JSON document.
+
+    recordings: rec. A line is a recording, in order of name, so that no row holds the list.
+    """
+    placed = ranked(recordings.select("rec").distinct(), [F.col("rec")], "place")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))  # one row
+    quoted = F.to_json(F.array("rec"))
+    name = F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.when(F.col("place") < F.col("total"), ",").otherwise(""))
+    lines = placed.crossJoin(F.broadcast(total)).select("place", name.alias("line"))
+    head = json.dumps({"title": title, "paths": paths, "recordings": []}, ensure_ascii=False).removesuffix("]}")
+    ends = total.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit(head).alias("line")), F.struct((F.col("total") + 1).alias("place"), F.lit("]}").alias("line")))))
+    whole = lines.unionByName(ends).repartitionByRange("place").sortWithinPartitions("place")
+    whole.select(F.col("line").alias("value")).write.text(folder)
+
+
+def descriptor_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(title, position, rec, paths) of a descriptor that write_descriptor() has written, line by line."""
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(folder).select("value", F.struct(F.col("_metadata.file_name"), block, F.monotonically_increasing_id()).alias("at"))
+    head = lines.where(F.startswith("value", F.lit("{"))).select(F.from_json(F.concat("value", F.lit("]}")), "title string, paths map<string, string>").alias("h"))  # one row
+    names = lines.where(F.startswith("value", F.lit('"'))).select("at", F.from_json(F.concat(F.lit("["), F.regexp_replace("value", ",$", ""), F.lit("]")), "array<string>")[0].alias("rec"))
+    placed = ranked(names, [F.col("at")], "position")
+    return placed.crossJoin(F.broadcast(head)).select("h.title", "position", "rec", F.to_json("h.paths").alias("paths"))
+
+
 def wav_durations(spark: SparkSession, folder: str, pattern: str = "*.wav", key: str | None = None) -> DataFrame:
     """(rec, seconds, error) of the WAV files of a folder; files that cannot be read have an error.
 

@@ -150,3 +150,20 @@ def test_training_words_of_any_parentheses(spark):
     began = time.time()
     wide = spark.createDataFrame([("x (y) " * 10_000 + "(" * 10_000,)], "t string").select(F.size(tx.training_words(F.col("t"))).alias("n")).first()["n"]
     assert wide == 10_000 and time.time() - began < 20
+
+
+def test_descriptor_without_a_row_of_all_names(spark, many_partitions, tmp_path):
+    import json
+
+    names = [f'r"{k}\\ é,' if k % 7 == 0 else f"rec {k:03}" for k in range(90)]
+    rows = spark.createDataFrame([(n,) for n in [*names, names[0]]], "rec string")
+    files.write_descriptor(rows, str(tmp_path / "d"), 'Ti"tle', {"audio_dir": "a/"})
+    parts = sorted((tmp_path / "d").glob("part-*"))
+    whole = "".join(p.read_text() for p in parts)
+    assert len(parts) > 1 and json.loads(whole) == {"title": 'Ti"tle', "paths": {"audio_dir": "a/"}, "recordings": sorted(names)}
+    found = files.descriptor_lines(spark, str(tmp_path / "d")).orderBy("position").collect()
+    assert [(r["title"], r["position"], r["rec"], r["paths"]) for r in found] == [('Ti"tle', k, n, '{"audio_dir":"a/"}') for k, n in enumerate(sorted(names), 1)]
+    (tmp_path / "one.json").write_text(whole)
+    assert [r["rec"] for r in files.descriptor(spark, str(tmp_path / "one.json")).orderBy("position").collect()] == sorted(names)
+    files.write_descriptor(rows.limit(0), str(tmp_path / "e"), "none", {})
+    assert files.descriptor_lines(spark, str(tmp_path / "e")).collect() == []
