@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 HOST_PATH_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Patterns that block where no host/path rule fits.
 PATTERN_RULES = ["||ads-track", "||casino-win", "spam-farm.*", "||*adult-x^", "cheap-pills.example.com/", "|free-bets*", "/doubleclick/*/ad^", "*--*-.", "^banner^*.gif|"]
-#: More rules than this are not broadcast.
-MAX_BROADCAST_RULES = 100_000
+#: More rules than this are not broadcast; a token's URLs are then dealt to so many copies of its rules.
+MAX_BROADCAST_RULES, SALTS = 100_000, 64
 TOKEN = "[a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,21 +96,30 @@ def filter_urls(pages: DataFrame, host_path: DataFrame, patterns: DataFrame, id_
     targets = base.select(F.concat("host", "path").alias("target")).where("target <> ''").distinct()
     own = F.array_distinct(F.regexp_extract_all(lower(F.col("target")), F.lit(f"({TOKEN})"), F.lit(1)))
     tokens = targets.select("target", F.explode(F.concat(F.array(F.lit("")), own)).alias("token"))
-    index = rule_index(host_path_rules(host_path).unionByName(pattern_rules(patterns)), tokens)
+    rules = host_path_rules(host_path).unionByName(pattern_rules(patterns))
+    few = rules.count() <= MAX_BROADCAST_RULES
+    index = rule_index(rules, tokens, few)
     fits = F.when(F.col("exact"), F.expr("rlike(target, regex)")).otherwise(F.rlike(lower(F.col("target")), F.col("regex")))
-    hits = tokens.join(index, "token").where(fits)
+    if few:
+        hits = tokens.join(F.broadcast(index), "token").where(fits)
+    else:  # a token may be in every URL, so its URLs are dealt to SALTS copies of its rules
+        dealt = tokens.withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(SALTS)))
+        hits = dealt.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["token", "salt"]).where(fits)
     best = hits.groupBy("target").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best"))
     judged = base.join(best, F.concat("host", "path") == best["target"], "left")
     return judged.select(F.col(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
-def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+def rule_index(rules: DataFrame, tokens: DataFrame, few: bool) -> DataFrame:
     """Rules with the one of their tokens that the fewest URLs hold (ties: the first in order); the empty one without any."""
-    hint = F.broadcast if rules.count() <= MAX_BROADCAST_RULES else lambda x: x
     wanted = rules.select("exact", "regex", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token")).distinct()
-    counts = tokens.join(hint(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    names = wanted.select("token").distinct()
+    if few:  # only the rules' own tokens are counted
+        counts = tokens.join(F.broadcast(names), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(names, "token")
     rarest = wanted.join(counts, "token", "left").groupBy("exact", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rare"))
-    return hint(rules.drop("tokens").join(rarest, ["exact", "regex"]).select("rule", "verdict", "weight", "exact", "regex", F.col("rare.token").alias("token")))
+    return rules.drop("tokens").join(rarest, ["exact", "regex"]).select("rule", "verdict", "weight", "exact", "regex", F.col("rare.token").alias("token"))
 
 
 ORACLE = r"""
