@@ -12,6 +12,7 @@ shuffled, are read once for thousands of segments.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -203,23 +204,42 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     totals = staged(postings.groupBy("item").agg(F.countDistinct("place").alias("n")), "decontaminate-totals")
     n_segments = totals.agg(F.sum("n")).first()[0] or 0
     passes = max(1, -(-n_segments // (PASS_SEGMENTS // 2)))
-    dealt = F.pmod(F.xxhash64("item"), F.lit(passes))  # all segments of an item meet in one pass
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {kind}, item_id long, score double, question_share double, answer_share double"
+    index = staged(built_shards(postings, unique, totals, passes), "decontaminate-shards")
     out = None
-    for k, n in totals.groupBy(dealt.alias("pass")).agg(F.sum("n").alias("n")).sort("pass").collect():
-        shards, index = -(-n // (SHARD_SEGMENTS // 2)), []
-        for j in range(shards):
-            own = postings.where((dealt == k) & (F.pmod(F.xxhash64("item", "place"), F.lit(shards)) == j))
-            rows = [tuple(r) for r in own.select("item", "place", "term", "impact").collect()]
-            texts = unique.join(F.broadcast(own.select(F.col("item").alias("item_id")).distinct()), "item_id", "left_semi").collect()
-            if rows:
-                index.append(Shard(rows, {r["item_id"]: r["text"] or "" for r in texts}))
-        found = docs.select(id_col, text_col).mapInArrow(_search(spark.sparkContext.broadcast(index)), fields)
+    for k in sorted(r["pass"] for r in index.select("pass").distinct().collect()):  # a number per pass
+        shards = [pickle.loads(r["shard"]) for r in index.where(F.col("pass") == k).orderBy("number").collect()]  # PASS_SEGMENTS segments, about
+        shared = spark.sparkContext.broadcast(shards)
+        found = docs.select(id_col, text_col).mapInArrow(_search(shared), fields)
+        if passes > 1:  # written, so that only one pass's index is held at a time
+            found = staged(found, "decontaminate-found")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], fields)
 
 
+def built_shards(postings: DataFrame, items: DataFrame, totals: DataFrame, passes: int) -> DataFrame:
+    """(pass, number, shard): the index in shards of about SHARD_SEGMENTS / 2 segments, each made by a task and pickled.
+
+    postings: item, place, term, impact; items: item_id, text; totals: item, n. All segments of an item are in one pass.
+    """
+    own = F.pmod(F.xxhash64("item"), F.lit(passes)).alias("pass")
+    numbers = totals.groupBy(own).agg(F.ceil(F.sum("n") / (SHARD_SEGMENTS // 2)).alias("shards"))  # a row per pass
+    placed = postings.select(own, "item", "place", "term", "impact").join(F.broadcast(numbers), "pass")
+    placed = placed.select("pass", F.pmod(F.xxhash64("item", "place"), F.col("shards")).alias("number"), "item", "place", "term", "impact")
+    # an item's text stands beside its postings, at place -1
+    beside = placed.select("pass", "number", "item").distinct().join(items.select(F.col("item_id").alias("item"), "text"), "item")
+    beside = beside.select("pass", "number", "item", F.lit(-1).alias("place"), F.coalesce("text", F.lit("")).alias("term"), F.lit(0.0).alias("impact"))
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = list(zip(*[group.column(c).to_pylist() for c in ("item", "place", "term", "impact")], strict=True))
+        shard = Shard([r for r in rows if r[1] >= 0], {r[0]: r[2] for r in rows if r[1] < 0})
+        return pa.table({"pass": group.column("pass")[:1], "number": group.column("number")[:1], "shard": pa.array([pickle.dumps(shard)], type=pa.binary())})
+
+    return placed.unionByName(beside).groupBy("pass", "number").applyInArrow(build, "pass long, number long, shard binary")
+
+
 def tail(reach: int, longest: int, joined: bytes, starts: np.ndarray, ends: np.ndarray, first: int, end: int) -> bytes:
     """The last words of a part of a text, which go in front of its next part.
 
