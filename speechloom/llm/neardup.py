@@ -308,7 +308,7 @@ def tied_clusters(nodes: DataFrame, percent: int, compare: Compare) -> DataFrame
     is joined by with_class().
     """
     buckets = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    buckets = staged(with_neighbours(buckets, "band"), "neardup-neighbours")
+    buckets = staged(with_neighbours(buckets, "band", percent), "neardup-neighbours")
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = staged(with_class(buckets, shared, ["band"], "size"), "neardup-buckets")
     agree = nodes.select("node", "agree")
@@ -323,10 +323,11 @@ def tied_clusters(nodes: DataFrame, percent: int, compare: Compare) -> DataFrame
     return nodes.join(clusters, "node").select("node", "cluster", "least_id", "high", "low", F.col("n_shingles").alias("n"), "agree")
 
 
-def with_neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, node, n) without most of those whose key, a number, no other row has: only what borders a range is not told apart.
+def with_neighbours(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """rows (key, node, n) without most of those whose key, a number, no other row of a size that percent allows has.
 
-    Rows are ranged by key and node, so a heavy key lies in many ranges; one exchange drops what is alone.
+    In the order of sizes, a row has such a partner only if one of its neighbours is one. Rows are ranged by key, size and
+    node, so a heavy key lies in many ranges; what borders a range is kept. One exchange drops what is alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +336,8 @@ def with_neighbours(rows: DataFrame, key: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            same = np.diff(whole.column(0).to_numpy()) == 0
+            n = whole.column(2).to_numpy()
+            same = (np.diff(whole.column(0).to_numpy()) == 0) & (100 * n[:-1] >= percent * n[1:])
             keep = np.append(same, False) | np.append(matched if held is not None else first, same)
             yield whole.slice(0, whole.num_rows - 1).filter(pa.array(keep[:-1]))
             held, matched, first = whole.slice(whole.num_rows - 1), bool(keep[-1]), False
@@ -343,7 +345,7 @@ def with_neighbours(rows: DataFrame, key: str) -> DataFrame:
             yield held
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select(key, "node", "n").repartitionByRange(key, "node").sortWithinPartitions(key).mapInArrow(run, kinds)
+    return rows.select(key, "node", "n").repartitionByRange(key, "n", "node").sortWithinPartitions(key, "n").mapInArrow(run, kinds)
 
 
 def rank() -> Column:

@@ -39,7 +39,7 @@ BLOCK_CHARS, HELD = 1 << 18, 1 << 19
 #: Languages whose discounts and bands are broadcast.
 MOST_LANGUAGES = 10_000
 #: Texts, and bytes of texts, of one block of the way without broadcast, about; a longer text is a block by itself.
-BLOCK_TEXTS, BLOCK_TEXT_BYTES = 1 << 15, 16 << 20
+BLOCK_TEXTS, BLOCK_TEXT_BYTES = 1 << 16, 48 << 20
 #: Bytes that count as symbols.
 SYMBOL_BYTES = frozenset(b"#*$%&|<>")
 
