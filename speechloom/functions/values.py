@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +21,21 @@ def safe_ratio(num: Column, den: Column, empty: str = "null") -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Text with this many decimals; a value whose digits end halfway goes to the even one."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """Text with this many decimals of the number's exact binary value, halves to even, as C prints it.
+
+    A negative number that rounds to zero keeps its sign; what is not finite is nan, inf or -inf.
+    """
+    shape = f"%.{digits}f"
+
+    @F.arrow_udf("string")
+    def printed(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else shape % x for x in values.to_pylist()], type=pa.string())
+
+    return printed(value.cast("double"))
 
 
 def percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100)
+    return F.concat(fixed(value * 100, 1), F.lit("%"))
 
 
 def clock(ms: Column) -> Column:
