@@ -75,6 +75,20 @@ def word_tables(spark: SparkSession, folder: str, suffix: str = "_cgwords", key:
     return named.where("utterance_id <> ''").withColumn("utterance_id", F.col("utterance_id").cast("long"))
 
 
+def write_word_bundles(words: DataFrame, folder: str) -> None:
+    """Word tables of many recordings in quoted tab-separated files with a header, the recording's name in the column rec.
+
+    A file holds a million words at most, as one task reads it: its cells may hold line breaks.
+    """
+    words.write.option("maxRecordsPerFile", 1_000_000).option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("quoteAll", True).csv(folder)
+
+
+def word_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """(rec, utterance_id, surface, langid) of files that write_word_bundles() has written; rows without an id go."""
+    raw = spark.read.csv(folder, sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    return raw.select("rec", "utterance_id", "surface", "langid").where("utterance_id <> ''").withColumn("utterance_id", F.col("utterance_id").cast("long"))
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV manifest with quoted newlines; every column is text unless a schema is given."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
