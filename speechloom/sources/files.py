@@ -12,6 +12,8 @@ from speechloom.functions.values import parse_offset_timestamp
 from speechloom.operators.tables import ranked
 from speechloom.sources.wav import wav_files
 
+#: What ends a transcript in a bundle: the format's last line.
+CHAT_END = "\n@End\n"
 WORD_SCHEMA = "utterance_id string, surface string, langid string"
 #: Fixed values of the run table: its number columns, the first four of which are integers.
 RESULT_FIELDS = ("evaluation_step", "clips", "reference_words", "word_errors", "wer", "loss", "token_loss", "language_id_loss", "lid_accuracy")
@@ -46,6 +48,21 @@ def chat_lines(spark: SparkSession, folder: str, pattern: str = "*.cha", key: st
     return lines.select("rec", (F.col("p") + 1).cast("long").alias("line_no"), "line")
 
 
+def write_chat_bundles(transcripts: DataFrame, folder: str) -> None:
+    """Transcripts (rec, text) in text files of many: a record is a name on a line of its own and the text, and ends with a line @End.
+
+    There are as many files as partitions, however many recordings. Names hold no line break and texts no line @End.
+    """
+    transcripts.select(F.concat("rec", F.lit("\n"), "text").alias("value")).write.option("lineSep", CHAT_END).text(folder)
+
+
+def chat_bundle_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(rec, line_no, line) of bundles that write_chat_bundles() has written, as chat_lines() gives them of single files."""
+    text = F.replace(F.make_valid_utf8("value"), F.lit("\r"), F.lit(""))
+    rows = spark.read.option("lineSep", CHAT_END).text(folder).select(F.posexplode(F.split(text, "\n")).alias("p", "line"), F.substring_index("value", "\n", 1).alias("rec"))
+    return rows.where("p > 0").select("rec", F.col("p").cast("long").alias("line_no"), "line")
+
+
 def chat_tiers(lines: DataFrame) -> DataFrame:
     """Lines with kind (header, speech, translation or other), speaker, shown text, start_ms and end_ms."""
     line = F.col("line")

@@ -4,6 +4,7 @@ from pathlib import Path
 
 from speechloom.plans import files as plans
 from speechloom.plans import registry
+from speechloom.sources import files
 
 
 def conversations(spark, path, n):
@@ -19,9 +20,24 @@ def shared(spark, monkeypatch, path):
     monkeypatch.setattr(plans, "scratch", lambda _, label: f"{path}/out/{label}-x")
 
 
+def test_transcripts_share_files(spark, tmp_path, monkeypatch):
+    conversations(spark, tmp_path, 200)
+    shared(spark, monkeypatch, tmp_path)
+    rows = registry.QUERIES["src_chat_lines"](spark, str(tmp_path)).collect()
+    assert len(rows) == 200 and {r["n"] for r in rows} == {7}
+    assert 0 < len(written(f"{tmp_path}/out", "chat")) <= 8
+
+
 def test_word_tables_share_files(spark, tmp_path, monkeypatch):
     conversations(spark, tmp_path, 200)
     shared(spark, monkeypatch, tmp_path)
     rows = registry.QUERIES["src_word_tsv"](spark, str(tmp_path)).collect()
     assert len(rows) == 200 * 3 * 5 and len({r["rec"] for r in rows}) == 200
     assert 0 < len(written(f"{tmp_path}/out", "tsv")) <= 16
+
+
+def test_bundle_keeps_lines(spark, tmp_path):
+    texts = [("a b/ü", "@Begin\n*MAR:\tone\r\n\n@Ending\n%eng:\t@End "), ("c", ""), ("d", "last\n")]
+    files.write_chat_bundles(spark.createDataFrame(texts, "rec string, text string").coalesce(1), f"{tmp_path}/b")
+    got = sorted(map(tuple, files.chat_bundle_lines(spark, f"{tmp_path}/b").collect()))
+    assert got == sorted((rec, k, line) for rec, text in texts for k, line in enumerate(text.replace("\r", "").split("\n"), 1))
