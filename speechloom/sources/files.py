@@ -37,6 +37,17 @@ def recordings(spark: SparkSession, folder: str, pattern: str = "*.wav", key: st
     return _files(spark, folder, pattern, key).select("path", _named(F.col("path"), key).alias("rec"), "length").orderBy("path")
 
 
+def write_recording_bundles(lines: DataFrame, folder: str) -> None:
+    """Recordings (path, content) in a Parquet table; a row is a piece of one, such as a line, so that no row holds a long one."""
+    lines.select("path", F.octet_length("content").cast("long").alias("length"), "content").write.parquet(folder)
+
+
+def bundled_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, rec, length) of a table that write_recording_bundles() has written, as recordings() gives them of single files."""
+    found = spark.read.parquet(folder).groupBy("path").agg(F.sum("length").alias("length"))
+    return found.select("path", stem(F.col("path")).alias("rec"), "length").orderBy("path")
+
+
 def chat_lines(spark: SparkSession, folder: str, pattern: str = "*.cha", key: str | None = None) -> DataFrame:
     """(rec, line_no, line) of transcripts, in file order; bytes that are no UTF-8 are replaced.
 
