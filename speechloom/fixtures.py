@@ -92,8 +92,12 @@ class Views:
 
     @cached_property
     def pair(self) -> DataFrame:
-        """Reference and hypothesis words of whole turns: clip, turn, ref, hyp, lang (one short in some clips)."""
-        base = self.table("conversations").select(F.concat_ws("_", "conv_id", "turn").alias("clip"), "turn", tx.wer_words(F.col("text")).alias("ref"))
+        """Reference and hypothesis words of whole turns: clip, turn, ref, hyp, lang (one short in some clips).
+
+        Turns are dealt to as many tasks as a shuffle has, since the table may lie in few row groups.
+        """
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        base = self.table("conversations").repartition(tasks, "conv_id", "turn").select(F.concat_ws("_", "conv_id", "turn").alias("clip"), "turn", tx.wer_words(F.col("text")).alias("ref"))
 
         def heard(w: Column, i: Column) -> Column:
             return F.when(i % 7 == 6, F.lit(None)).when(i % 5 == 4, F.lit("zz")).when(i % 11 == 10, F.concat(w, F.lit("qq"))).otherwise(w)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -82,58 +84,74 @@ def long_distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else bit_distance(list(r), list(h)) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
-def alignment_path(ref: list[str], hyp: list[str]) -> str:
+def alignment_path(ref: Sequence, hyp: Sequence) -> str:
     """Operations C, S, D, I from left to right; on ties equal words, then S, then D, then I, from the end.
 
-    Of a large pair only the first row of each band of rows is kept, and a band is worked out again on the way
-    back: memory grows with the longer text times the root of the other.
+    The table of costs is two bits a cell: whether the diagonal step to it is free, and whether the cost rises from the
+    word of ref before. Of a large pair only the state before each band of columns is kept, and a band is worked out
+    again on the way back: memory grows with the longer text times the root of the other. Equal words at the end are
+    correct whatever is before them.
     """
-    words = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    a, b = (np.array([words[w] for w in x], dtype=np.int32) for x in (ref, hyp))
-    n, m = len(a), len(b)
-    band = max(n, 1) if (n + 1) * (m + 1) <= MOST_CELLS else isqrt(n) + 1
-    kept = {0: np.arange(m + 1, dtype=np.int32)}  # the first row of costs of each band
-    for i in range(band, n, band):
-        kept[i] = cost_rows(a[i - band : i], b, kept[i - band], i - band)[-1]
-    i, j, out = n, m, []
-    first, cost = n + 1, kept[0][None, :]
-    while i or j:
-        if i <= first and (i or first):  # go on in the band above
-            first = max(0, (i - 1) // band * band) if i else 0
-            cost = cost_rows(a[first:i], b[:j], kept[first][: j + 1], first)
-        k = i - first
-        if i and j and a[i - 1] == b[j - 1] and cost[k, j] == cost[k - 1, j - 1]:
+    n, m = len(ref), len(hyp)
+    end = next((k for k in range(min(n, m)) if ref[n - 1 - k] != hyp[m - 1 - k]), min(n, m))
+    n, m = n - end, m - end
+    where: dict = {}
+    for k in range(n):
+        where[ref[k]] = where.get(ref[k], 0) | 1 << k
+    band = max(m, 1) if (n + 1) * (m + 1) <= MOST_CELLS else isqrt(m) + 1
+    kept = {0: ((1 << n) - 1, 0)}  # before each band, where the costs of a column rise and fall
+    for j in range(band, m, band):
+        kept[j] = cost_columns(where, hyp[j - band : j], n, *kept[j - band])[2]
+    i, j, first, out = n, m, m, []
+    while i and j:
+        if j <= first:  # go on in the band to the left
+            first = (j - 1) // band * band
+            free, rises, _ = cost_columns(where, hyp[first:j], n, *kept[first])
+        if ref[i - 1] == hyp[j - 1]:
             out.append("C")
             i, j = i - 1, j - 1
-        elif i and j and cost[k, j] == cost[k - 1, j - 1] + 1:
+        elif not free[j - 1 - first] >> (i - 1) & 1:
             out.append("S")
             i, j = i - 1, j - 1
-        elif i and cost[k, j] == cost[k - 1, j] + 1:
+        elif rises[j - 1 - first] >> (i - 1) & 1:
             out.append("D")
             i -= 1
         else:
             out.append("I")
             j -= 1
-    return "".join(reversed(out))
-
-
-def cost_rows(a: np.ndarray, b: np.ndarray, row: np.ndarray, number: int) -> np.ndarray:
-    """The row of costs (row `number` of the whole table) and those that follow it for the words of a."""
-    steps = np.arange(len(b) + 1, dtype=np.int32)
-    cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    cost[0] = row
-    for i in range(1, len(a) + 1):
-        cost[i, 0] = number + i
-        np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1, out=cost[i, 1:])
-        cost[i] = np.minimum.accumulate(cost[i] - steps) + steps
-    return cost
+    return "D" * i + "I" * j + "".join(reversed(out)) + "C" * end
+
+
+def cost_columns(where: dict, hyp: Sequence, n: int, rises: int, falls: int) -> tuple[list[int], list[int], tuple[int, int]]:
+    """The bits of the columns of the words of hyp, and the state behind them; where: at which of n places of ref a word is.
+
+    A bit of the first list says that the cost is that of the diagonal neighbour, one of the second that it is the cost of
+    the word of ref before and one more. rises and falls are the state of the column before.
+    """
+    whole = (1 << n) - 1
+    free, up = [], []
+    for w in hyp:
+        same = where.get(w, 0)
+        flat = ((((same & rises) + rises) ^ rises) | same | falls) & whole
+        right = ((falls | (whole & ~(flat | rises))) << 1) | 1
+        left = (rises & flat) << 1
+        rises, falls = (left | ~(flat | right)) & whole, right & flat
+        free.append(flat)
+        up.append(rises)
+    return free, up, (rises, falls)
+
 
+@F.arrow_udf(StringType())
+def edit_operations(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """One operation string per pair of word arrays; null arrays count as empty.
 
-@F.pandas_udf(StringType())
-def edit_operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """One operation string per pair of word arrays; null arrays count as empty."""
-    none: list[str] = []
-    return pd.Series([alignment_path(list(r) if r is not None else none, list(h) if h is not None else none) for r, h in zip(ref, hyp, strict=True)], dtype=object)
+    Words become numbers for the whole batch at once, so that only one pair's are Python objects at a time.
+    """
+    words = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    ends = [np.cumsum([0, *pc.fill_null(pc.list_value_length(x), 0).to_pylist()]).tolist() for x in (ref, hyp)]
+    sides = words[: ends[0][-1]], words[ends[0][-1] :]
+    cut = [lambda k, side=side, at=at: side[at[k] : at[k + 1]].tolist() for side, at in zip(sides, ends, strict=True)]
+    return pa.array([alignment_path(cut[0](k), cut[1](k)) for k in range(len(ref))], type=pa.string())
 
 
 def with_operations(pairs: DataFrame) -> DataFrame:
@@ -147,11 +165,20 @@ def operation_counts(ops: Column) -> dict[str, Column]:
     return {name: (F.length(ops) - F.length(F.replace(ops, F.lit(sign)))).cast("long") for name, sign in names.items()}
 
 
-@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("i", "j")]))
-def words_used(ops: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("i", "j")]))
+def words_used(ops: pa.Array) -> pa.Array:
     """How many words of ref (i) and of hyp (j) are used up by each operation of a string."""
-    signs = [np.frombuffer((o or "").encode(), dtype=np.uint8) for o in ops]
-    return pd.DataFrame({"i": [np.cumsum(s != ord("I"), dtype=np.int32) for s in signs], "j": [np.cumsum(s != ord("D"), dtype=np.int32) for s in signs]})
+    ops = pc.fill_null(ops, "")
+    sizes = pc.binary_length(ops).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    signs = np.frombuffer("".join(ops.to_pylist()).encode(), dtype=np.uint8)
+
+    def counted(other: str) -> pa.Array:
+        upto = np.concatenate([[0], np.cumsum(signs != ord(other))])  # over all strings of the batch
+        own = upto[1:] - np.repeat(upto[ends[:-1]], sizes)
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(own, type=pa.int32()))
+
+    return pa.StructArray.from_arrays([counted("I"), counted("D")], names=["i", "j"])
 
 
 def steps(aligned: DataFrame, row: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
